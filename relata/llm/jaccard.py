@@ -63,10 +63,10 @@ def shingles(col: pa.Array, n: int = N) -> list[np.ndarray]:
         if hi - lo >= n:
             out.append(np.unique(grams[lo : hi - n + 1]))
         elif hi > lo:
-            key = np.uint64(hi - lo)
+            key = np.array([hi - lo], np.uint64)
             for x in h[lo:hi]:
                 key = key * np.uint64(0x94D049BB133111EB) + x
-            out.append(mix(np.array([key], np.uint64)))
+            out.append(mix(key))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
