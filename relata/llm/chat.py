@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relata.llm.common import load, stored
+from relata.llm.common import lean, load, stored
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -122,7 +122,7 @@ def prefix_tree(conversations: DataFrame, vocabulary: str = VOCABULARY) -> tuple
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.binary())), pa.array(path, pa.binary())], names=["conv_id", "turns", "keys", "path"])
 
     kind = dict(convs.dtypes)["conv_id"]
-    keyed = convs.mapInArrow(chain, f"conv_id {kind}, turns {_TURNS}, keys array<binary>, path binary")
+    keyed = convs.mapInArrow(lean(chain), f"conv_id {kind}, turns {_TURNS}, keys array<binary>, path binary")
     keyed = stored(keyed, "chat-keys")
     n = max(1, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # ids grow with the partition, and partitions are ranges of (path, conv_id): the rank is the place in the walk
@@ -147,7 +147,7 @@ def prefix_tree(conversations: DataFrame, vocabulary: str = VOCABULARY) -> tuple
 
     node_type = pa.list_(pa.struct([("key", pa.binary()), ("first", pa.int64()), ("length", pa.int64()), ("text_from", pa.int64()), ("text_to", pa.int64()), ("loss", pa.bool_())]))
     node_sql = "array<struct<key:binary,first:bigint,length:bigint,text_from:bigint,text_to:bigint,loss:boolean>>"
-    emitted = stored(tails.mapInArrow(emit, f"rank long, conv_id {kind}, ids binary, n_ids long, above array<binary>, nodes {node_sql}"), "chat-segments")
+    emitted = stored(tails.mapInArrow(lean(emit), f"rank long, conv_id {kind}, ids binary, n_ids long, above array<binary>, nodes {node_sql}"), "chat-segments")
 
     # stream offsets: totals of the ranges (one row a partition) and running sums inside each
     part = F.shiftright("rank", 33)
@@ -193,7 +193,7 @@ def read_back(segments: DataFrame, members: DataFrame, vocabulary: str = VOCABUL
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     kind = dict(members.dtypes)["conv_id"]
-    return convs.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return convs.mapInArrow(lean(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

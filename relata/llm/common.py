@@ -6,6 +6,7 @@ and all executors share; a lost executor therefore never takes an intermediate r
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -91,6 +92,27 @@ def id_bucket(df: DataFrame, key: str, rows_per_bucket: int = 2048, splits: int
     return i * parts + F.least(F.greatest(sub, F.lit(0)), F.lit(parts - 1))
 
 
+def lean(step):
+    """Wrap an Arrow step so that its worker gives freed memory back when a partition ends (workers stay and share an
+    executor's memory with later stages)."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1, from 0) and bytes of an Arrow string array without nulls, uncopied."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,7 +125,7 @@ def utf8_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], data[offs[0] : offs[-1]]
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20, most_rows: int = 4096):
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20, most_rows: int = 4096):
     """Cut a batch by rows so that each part has about ``most_bytes`` of text (one long row may exceed it)."""
     if not batch.num_rows:
         return

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.common import load, slices, utf8_parts, word_hashes, word_spans
+from relata.llm.common import lean, load, slices, utf8_parts, word_hashes, word_spans
 
 WINDOW = 13
 MOST_BYTES = 32 << 20
@@ -167,7 +167,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
                     yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *map(pa.array, more)], names=[*(part.schema.names[i] for i in kept), *names])
 
         kept = [i for i, c in enumerate(docs.columns) if keep_text or c != text]
-        return docs.mapInArrow(scan, ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in kept) + ", " + _SCHEMA)
+        return docs.mapInArrow(lean(scan), ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in kept) + ", " + _SCHEMA)
     out = _in_blocks(docs, items, text, window, share, blocks)
     return out if keep_text else out.drop(text)
 
@@ -189,7 +189,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, text: str, window: int, share:
                     key = part.column(part.schema.get_field_index("_row")).take(pa.array(keep, pa.int64()))
                     yield pa.RecordBatch.from_arrays([key, pa.array([hits[i] for i in keep], pa.list_(pa.int64())), pa.array([names[i] for i in keep], pa.list_(pa.string()))], names=["_row", "_hits", "_items"])
 
-        part = keyed.select("_row", text).dropDuplicates(["_row"]).mapInArrow(scan, "_row long, _hits array<long>, _items array<string>")
+        part = keyed.select("_row", text).dropDuplicates(["_row"]).mapInArrow(lean(scan), "_row long, _hits array<long>, _items array<string>")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
     words = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(F.split(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")))

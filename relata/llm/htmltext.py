@@ -25,7 +25,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from relata.llm.common import load, slices
+from relata.llm.common import lean, load, slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -218,7 +218,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     types = dict(kept.dtypes)
-    return kept.mapInArrow(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    return kept.mapInArrow(lean(run), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.common import forget, load, mix, order_key, slices, stored, utf8_parts, word_hashes, word_spans
+from relata.llm.common import forget, lean, load, mix, order_key, slices, stored, utf8_parts, word_hashes, word_spans
 from relata.llm.components import components
 
 N = 5
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, text: str, n: int, bands: int, rows: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["_d", "_set", "_n", "_bands"])
 
     d = docs.select(order_key("doc_id").alias("_d"), F.col(text).alias("_text"))
-    return d.mapInArrow(run, "_d long, _set binary, _n long, _bands array<long>")
+    return d.mapInArrow(lean(run), "_d long, _set binary, _n long, _bands array<long>")
 
 
 def _verified(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ def similar(docs: DataFrame, text: str = "text", n: int = N, share: tuple[int, i
         if len(rows_of) > 1:
             yield done()
 
-    checked = stored(work.mapInArrow(verify, "u long, v long, links long"), "links")
+    checked = stored(work.mapInArrow(lean(verify), "u long, v long, links long"), "links")
     counts = checked.groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "c")
     linked = components(checked.where("u <> v").select("u", "v"))
     named = classes.join(linked.withColumnRenamed("vertex", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))

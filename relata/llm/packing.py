@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.common import load, slices, stored
+from relata.llm.common import lean, load, slices, stored
 from relata.llm.tokens import WORD_VOCABULARY, crc, encoder, with_end
 
 CAPACITY = 2048
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, text: str, vocabulary: str, capacity: int, keep_ids:
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return d.mapInArrow(cut, _PIECE.format(kind=dict(d.dtypes)["doc_id"]) + ", ids binary" * keep_ids)
+    return d.mapInArrow(lean(cut), _PIECE.format(kind=dict(d.dtypes)["doc_id"]) + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, text: str = "text", vocabulary: str = WORD_VOCABULARY, capacity: int = CAPACITY, group: int = GROUP, keep_ids: bool = False) -> DataFrame:
@@ -121,7 +121,7 @@ def pack(docs: DataFrame, text: str = "text", vocabulary: str = WORD_VOCABULARY,
         yield from out.combine_chunks().to_batches(max_chunksize=100_000)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return dealt.mapInArrow(place, schema)
+    return dealt.mapInArrow(lean(place), schema)
 
 
 def op8_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.common import load, mix, slices, stored, utf8_parts
+from relata.llm.common import lean, load, mix, slices, stored, utf8_parts
 
 MOST_LABELLED = 4096
 DIMENSIONS = 1024
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most_labelled: i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([x.tobytes() for x in raw], pa.binary())], names=["doc_id", "y", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = stored(d.mapInArrow(run, f"doc_id {kind}, y int, x binary"), "labelled").sort("doc_id", "x").limit(most_labelled).collect()
+    rows = stored(d.mapInArrow(lean(run), f"doc_id {kind}, y int, x binary"), "labelled").sort("doc_id", "x").limit(most_labelled).collect()
     raw = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), DIMENSIONS)
     return Model(raw, np.array([r["y"] for r in rows], dtype=np.float32))
 
@@ -155,7 +155,7 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", most_labelled:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*part.schema.names, "score", "predicted"])
 
     marked = docs.withColumn("held_out", held_out())
-    return marked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + ", score double, predicted int")
+    return marked.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + ", score double, predicted int")
 
 
 def op10_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

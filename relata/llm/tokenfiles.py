@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm import files
-from relata.llm.common import fresh_dir, id_bucket, load, order_key, slices, stored
+from relata.llm.common import fresh_dir, id_bucket, lean, load, order_key, slices, stored
 from relata.llm.tokens import WORD_VOCABULARY, encoder, with_end
 
 _HEAD = struct.Struct("<4sIIIQQQQQQ")
@@ -148,7 +148,7 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", vocabulary: str
         if state["keys"]:
             yield close()
 
-    made = stored(d.select("_key", "_text", "_bucket").mapInArrow(save, "name string, bucket long, part int, n_ids long"), "token-files")
+    made = stored(d.select("_key", "_text", "_bucket").mapInArrow(lean(save), "name string, bucket long, part int, n_ids long"), "token-files")
     out, before = [], 0
     for row in sorted(made.collect(), key=lambda r: (r["bucket"], r["part"])):
         out.append((row["name"], before))
@@ -175,7 +175,7 @@ def read_documents(spark: SparkSession, folder: str, listing: list[tuple[str, in
                         yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[lo : lo + len(crcs)].astype(np.int64)), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = spark.createDataFrame(listing, "name string, before long").repartition(min(len(listing), 4 * spark.sparkContext.defaultParallelism))
-    return rows.mapInArrow(read, schema)
+    return rows.mapInArrow(lean(read), schema)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

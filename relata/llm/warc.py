@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm import files
-from relata.llm.common import fresh_dir, load, slices, stored
+from relata.llm.common import fresh_dir, lean, load, slices, stored
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 2000
@@ -111,7 +111,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
         if out is not None:
             out.close()
 
-    return stored(p.mapInArrow(save, "key binary, file string, offset long, length long"), "captures")
+    return stored(p.mapInArrow(lean(save), "key binary, file string, offset long, length long"), "captures")
 
 
 def build_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> list[tuple[bytes, str, int, int]]:
@@ -145,7 +145,7 @@ def build_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
         if out is not None:
             out.close()
 
-    made = stored(ranged.mapInArrow(save, "first binary, file string, offset long, length long"), "directory")
+    made = stored(ranged.mapInArrow(lean(save), "first binary, file string, offset long, length long"), "directory")
     return sorted((bytes(r[0]), r[1], r[2], r[3]) for r in made.collect())  # about MOST_BLOCKS rows at most
 
 
@@ -207,9 +207,9 @@ def look_up(wanted: DataFrame, directory: list[tuple[bytes, str, int, int]], fol
         for f in index.open.values():
             f.close()
 
-    asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(ask, "key binary, block long").distinct()
+    asked = wanted.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInArrow(lean(ask), "key binary, block long").distinct()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return asked.repartition(parts, "block").sortWithinPartitions("block", "key").mapInArrow(fetch, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return asked.repartition(parts, "block").sortWithinPartitions("block", "key").mapInArrow(lean(fetch), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
