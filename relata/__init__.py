@@ -1,0 +1 @@
+"""Relata: open information extraction and ontology induction as PySpark DataFrame operators."""
