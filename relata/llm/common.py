@@ -173,7 +173,8 @@ def word_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(int(lengths.max()), base))))
     body = padded[np.repeat(starts, lengths) + at].astype(np.uint64) + np.uint64(1)
-    sums = np.add.reduceat(body * powers[at], np.cumsum(lengths) - lengths)
+    body = np.append(body * powers[at], np.uint64(0))  # an empty word's sum is cut to 0 below
+    sums = np.where(lengths > 0, np.add.reduceat(body, np.cumsum(lengths) - lengths), np.uint64(0))
     return mix(sums + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
