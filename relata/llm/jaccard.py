@@ -164,7 +164,8 @@ def similar(docs: DataFrame, text: str = "text", n: int = N, share: tuple[int, i
     member = groups.join(shape, "root").select("vertex", "root", "rep", "size", "_want", "blocks", F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int").alias("b"))
     d = docs.select(order_key("doc_id").alias("rep"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
     # each block meets every block of its group once: (p, q) with p <= q
-    work = member.join(d, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a merge join at every size: the texts are shuffled once, and members are never broadcast, however few
+    work = member.join(d.hint("merge"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.select("root", F.least("b", "other").alias("p"), F.greatest("b", "other").alias("q"), "b", "vertex", "size", "_want", "_text")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     work = work.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "vertex")
