@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from relata.config import DEFAULT, NO_RELATION, Config
 from relata.functions.scores import margin_uncertainty
 from relata.operators import labels as L
+from relata.sources.scratch import stored
 
 FEATURES = 2**14
 
@@ -101,10 +102,10 @@ def run_rounds(pairs: DataFrame, records: DataFrame, oracle, rounds: int = 3, k:
     records = records.select(*cols)
     for r in range(1, rounds + 1):
         q = select_queries(pairs, records, train(records, cfg), k, cfg)
-        answers = ask(q, oracle, 0).persist()
+        answers = ask(q, oracle, 0)
         n = answers.count()
         if n:
-            records = L.latest(records.withColumn("seq", F.lit(-1).cast("long")).unionByName(answers.select(*cols, "seq"))).select(*cols).persist()
+            records = stored(L.latest(records.withColumn("seq", F.lit(-1).cast("long")).unionByName(answers.select(*cols, "seq"))).select(*cols), "records")
         history.append({"round": r, "queried": n, "total_labels": records.count(), "model_fitted": train(records, cfg).is_fitted})
         if not n:
             break

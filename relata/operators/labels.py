@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from relata.config import DEFAULT, NO_RELATION, Config
 from relata.functions import text as T
 from relata.functions.scores import bucket, calibrated, heuristic_uncertainty, raw_confidence
+from relata.sources.scratch import stored
 
 ORACLE = "oracle"
 
@@ -103,7 +104,7 @@ def seed(records: DataFrame, pairs: DataFrame, examples: DataFrame, negatives: D
         j = new.join(old, "key", "left").withColumn("_before", F.coalesce(F.lag("label").over(w), "_old"))
         return j.where((F.coalesce("_by", F.lit("")) != ORACLE) & (F.col("_before").isNull() | (F.col("_before") != F.col("label")))).drop("_before", "_old", "_by")
 
-    fresh = written(pos, old)
+    fresh = stored(written(pos, old), "seeds")
     cap = max_negatives if max_negatives is not None else max(fresh.count(), 1)
     chosen = negative_cap(structural_pairs(pairs, negatives), cap)
     neg = label_records(chosen.withColumns({"label": F.lit(NO_RELATION), "source": F.lit("induced_seed_neg")}))

@@ -68,7 +68,7 @@ def similarity_patterns(profiles: DataFrame, cfg: Config = DEFAULT, by: tuple[st
     with fewer than three entities have none. A cluster of minimum size two is a component of the close pairs."""
     enough = profiles.groupBy(*by).agg(F.countDistinct("entity").alias("_n")).where("_n >= 3").drop("_n")
     p = profiles.join(enough, list(by), "left_semi")
-    roots = connected(close_entities(tfidf(p, cfg, by), cfg, by), by)
+    roots = connected(close_entities(stored(tfidf(p, cfg, by), "vectors"), cfg, by), by)
     groups = roots.groupBy(*by, "root").agg(F.sort_array(F.collect_list("entity")).alias("entities"))
     words = p.join(roots, [*by, "entity"]).select(*by, "root", "first", F.posexplode("words").alias("_i", "word"))
     top = words.groupBy(*by, "root", "word").agg(F.count("*").alias("_n"), F.min(F.struct("first", "_i")).alias("_at"))

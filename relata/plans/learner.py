@@ -20,6 +20,7 @@ from relata.operators import text as X
 from relata.schemas import LABELS
 from relata.sources.annotate import shape_sentences
 from relata.sources.export import clean
+from relata.sources.scratch import stored
 from relata.sources.stores import PathStore, append_label_log, load_state, read_label_log, save_state
 
 log = logging.getLogger("relata")
@@ -74,7 +75,7 @@ class Learner:
     def _load_labels(self) -> DataFrame:
         if self.labels_path:
             with contextlib.suppress(Exception):  # no log yet
-                return read_label_log(self.spark, self.labels_path).persist()
+                return stored(read_label_log(self.spark, self.labels_path), "records")
         return self.spark.createDataFrame([], LABELS)
 
     def _rules(self, docs: DataFrame) -> DataFrame:
@@ -86,37 +87,38 @@ class Learner:
         began = time.time()
         docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         text = self.resolver(docs) if resolve_coreference else docs
-        sents = self.annotate(text).persist()
+        # stages are written to the shared folder: later ones read them several times, and plans stay short
+        sents = stored(self.annotate(text), "sentences")
         ments = X.mentions(sents)
-        names = X.name_map(text, ments).persist()
+        names = stored(X.name_map(text, ments), "names")
         concepts = X.concepts(X.canonical(ments, "text", names, self.aliases), sents.select("doc_id", "sent_id", F.explode("chunks").alias("c")).select("doc_id", "sent_id", "c.*"), self.cfg)
         order = Window.partitionBy("doc_id").orderBy("sent_id", "pair_idx")
         pairs = X.entity_pairs(sents, self.cfg)
         for c in ("entity1", "entity2"):
             pairs = X.canonical(pairs, c, names, self.aliases, "_c").withColumn(c, F.col("_c")).drop("_c")
         pairs = pairs.withColumn("seq", F.row_number().over(order).cast("long"))
-        found = X.proposition_candidates(sents, self.cfg).persist()
-        props = X.propositions(found, names, self.aliases).withColumn("seq", F.row_number().over(order).cast("long")).persist()
+        found = stored(X.proposition_candidates(sents, self.cfg), "candidates")
+        props = stored(X.propositions(found, names, self.aliases).withColumn("seq", F.row_number().over(order).cast("long")), "propositions")
         negatives = X.structural_negatives(found, names, self.aliases)
 
-        digests = pathstats.new_documents(text, self.store.digests()).select("doc_id", "digest").persist()
+        digests = stored(pathstats.new_documents(text, self.store.digests()).select("doc_id", "digest"), "digests")
         if not digests.isEmpty():
             self.store.add(props.join(digests, "doc_id", "left_semi"), digests)
-        counts = self.store.slot_counts().persist()
+        counts = stored(self.store.slot_counts(), "counts")
         self.state, kind = induce.fit(counts, self.state, self.cfg)
-        label = induce.label_table(self.spark, self.state).persist()
+        label = stored(induce.label_table(self.spark, self.state), "labels")
         support = pathstats.support_of(counts)
-        props = labels.with_raw_confidence(induce.annotate(props, label), support, label, self.state.median, self.cfg).persist()
-        patterns = similarity.similarity_patterns(X.context_profiles(sents), self.cfg).persist()
+        props = stored(labels.with_raw_confidence(induce.annotate(props, label), support, label, self.state.median, self.cfg), "propositions")
+        patterns = stored(similarity.similarity_patterns(stored(X.context_profiles(sents), "profiles"), self.cfg), "patterns")
 
-        pairs = labels.tag_pairs(pairs, props.withColumn("confidence", F.col("raw"))).persist()
+        pairs = stored(labels.tag_pairs(pairs, props.withColumn("confidence", F.col("raw"))), "pairs")
         examples = labels.induced_examples(props.withColumn("confidence", F.col("raw")))
         if train_model:
-            self.records = labels.seed(self.records, pairs, examples, negatives).persist()
+            self.records = stored(labels.seed(self.records, pairs, examples, negatives), "records")
             if use_active_learning and oracle is not None:
                 self.records, _ = active.run_rounds(pairs, self.records, oracle, 1, self.cfg.al_batch, self.cfg)
             self.model = active.train(self.records, self.cfg)
-        self.result = dict(concepts=concepts, pairs=pairs, propositions=props, patterns=patterns, negatives=negatives, schema=schema.with_depth(schema.parents(label, counts, self.cfg)), pass_kind=kind, documents=text, raw=docs)
+        self.result = dict(concepts=concepts, pairs=pairs, propositions=props, patterns=patterns, negatives=negatives, schema=schema.with_depth(stored(schema.parents(label, counts, self.cfg), "schema")), pass_kind=kind, documents=text, raw=docs)
         self._calibrate()
         self._consolidate()
         if graph:
@@ -145,7 +147,7 @@ class Learner:
             bins = self.spark.createDataFrame([(b, *v) for b, v in self.state.calibration.items()], "bucket int, correct int, total int")
             main = labels.proposition_edges(labels.calibrate(r["propositions"], bins, cfg=self.cfg), self.cfg)
         r["similarity_hypotheses"] = similar
-        r["relations"] = labels.consolidate(main, similar.select(*main.columns), by=by).persist()
+        r["relations"] = stored(labels.consolidate(main, similar.select(*main.columns), by=by), "relations")
 
     def _save(self) -> None:
         if self.path:
@@ -176,7 +178,7 @@ class Learner:
         cols = [c.split()[0] for c in LABELS.split(", ")]
         given = example | {"key": key, "label": answer.strip() or NO_RELATION, "source": labels.ORACLE}
         new = self.spark.createDataFrame([tuple(given.get(c) for c in cols)], LABELS)
-        self.records = labels.latest(self.records.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))).drop("seq").persist()
+        self.records = stored(labels.latest(self.records.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))).drop("seq"), "records")
         if self.labels_path:
             append_label_log(new, self.labels_path)
         self.model = active.train(self.records, self.cfg)

@@ -11,6 +11,7 @@ from relata.config import DEFAULT, Config
 from relata.operators import induce, pathstats
 from relata.operators import text as X
 from relata.sources.annotate import shape_sentences
+from relata.sources.scratch import stored
 from relata.sources.stores import PathStore, load_state, save_state
 
 
@@ -26,15 +27,16 @@ class Ingest:
     def batch(self, docs: DataFrame, batch_id: int = 0) -> DataFrame:
         """Ingest documents; those seen before (by digest) count for nothing, so a batch that runs twice changes nothing.
         Returns the propositions of the new ones with their labels."""
-        fresh = pathstats.new_documents(docs.select("doc_id", "text"), self.store.digests()).persist()
-        found = X.proposition_candidates(self.annotate(fresh), self.cfg)
-        props = X.propositions(found, X.name_map(fresh.withColumn("doc_id", F.col("doc_id").cast("string")), X.mentions(self.annotate(fresh)))).persist()
+        fresh = stored(pathstats.new_documents(docs.select("doc_id", "text"), self.store.digests()), "fresh")
+        sents = stored(self.annotate(fresh), "sentences")
+        found = X.proposition_candidates(sents, self.cfg)
+        props = X.propositions(found, X.name_map(fresh.withColumn("doc_id", F.col("doc_id").cast("string")), X.mentions(sents)))
+        props = stored(props, "propositions")
         if not fresh.isEmpty():
             self.store.add(props, fresh)
-            counts = self.store.slot_counts().persist()
+            counts = stored(self.store.slot_counts(), "counts")
             self.state, kind = induce.fit(counts, self.state, self.cfg)
             self.passes.append(kind)
-            counts.unpersist()
             if self.path:
                 save_state(self.state, f"{self.path}/state", self.spark)
         return induce.annotate(props, induce.label_table(self.spark, self.state))
