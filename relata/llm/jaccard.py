@@ -42,9 +42,10 @@ def choose_bands(threshold: float, recall: float = 0.999, most_hashes: int = 128
     """(bands, rows): the largest rows whose bands reach the recall at the threshold within the hashes."""
     best = (1, 1)
     for rows in range(1, most_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        miss = math.log1p(-(threshold**rows)) if threshold < 1 else -math.inf  # of one band, as a logarithm
+        bands = max(1, math.ceil(math.log(1 - recall) / miss))
         if bands * rows <= most_hashes:
-            best = (max(1, bands), rows)
+            best = (bands, rows)
     return best
 
 

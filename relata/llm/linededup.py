@@ -57,12 +57,12 @@ def suffix_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         after = levels[-1].withColumns({"_a2": F.max("_a").over(w), "_b2": F.max("_b").over(w)}).where(F.col("_a2").isNotNull())
         pair = after.select(*_ID, "_i", F.xxhash64(F.lit(3), "_a", "_b", "_a2", "_b2").alias("_a"), F.xxhash64(F.lit(5), "_b2", "_a2", "_b", "_a").alias("_b"))
         levels.append(_shared_classes(pair, f"runs{len(levels)}"))
-    return levels[:-1] if levels[-1].isEmpty() else levels
+    return levels[:-1] if len(levels) > 1 and levels[-1].isEmpty() else levels
 
 
 def longest_earlier(levels: list[DataFrame]) -> DataFrame:
     """(_d, _t, _i, _length): the longest run of lines that starts at a suffix and has an earlier occurrence."""
-    found, open_groups = [], None
+    open_groups = None
     for k in range(len(levels) - 1, -1, -1):
         # suffixes that are alone or first at 2^(k+1) enter here with the group of their first 2^k lines
         here = levels[k]
@@ -72,8 +72,7 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
         groups = entering if open_groups is None else open_groups.unionByName(entering)
         if k == 0:
             first = groups.groupBy("_a", "_b", "_lo").agg(F.min(_at()).alias("_first"))
-            found.append(groups.join(first, ["_a", "_b", "_lo"]).where(F.col("_first") < _at()).select(*_ID, "_i", F.col("_lo").alias("_length")))
-            break
+            return groups.join(first, ["_a", "_b", "_lo"]).where(F.col("_first") < _at()).select(*_ID, "_i", F.col("_lo").alias("_length"))
         half = 2 ** (k - 1)
         after = levels[k - 1].select(*_ID, F.col("_i").alias("_j"), F.col("_a").alias("_a2"), F.col("_b").alias("_b2")).distinct()
         g = groups.withColumn("_j", F.col("_i") + F.col("_lo")).join(after, [*_ID, "_j"], "left").drop("_j")
@@ -84,7 +83,7 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
         up = g.where("_n > 1").select(F.col("_ua").alias("_a"), F.col("_ub").alias("_b"), *_ID, "_i", (F.col("_lo") + half).alias("_lo"))
         down = g.where((F.col("_n").isNull()) | (F.col("_first") == _at())).select("_a", "_b", *_ID, "_i", "_lo")
         open_groups = up.unionByName(down)
-    return found[0] if found else levels[0].limit(0).select(*_ID, "_i", F.lit(0).alias("_length"))
+    raise ValueError("no level")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
