@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from relata.llm.common import lean, load, slices, utf8_parts, word_hashes, word_spans
 
 WINDOW = 13
-MOST_BYTES = 32 << 20
+MOST_BYTES = 4 << 20  # of benchmark text; its windows take about 40 times as much
 _TABLE_BITS = 20
 _STRETCH = 192
 
@@ -175,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 def _in_blocks(docs: DataFrame, items: DataFrame, text: str, window: int, share: int, blocks: int) -> DataFrame:
     """As above for a large benchmark: every block's tables in turn, hits merged per document row."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = docs.withColumn("_row", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary")))
     found = None
     for b in range(blocks):
         pairs = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b).collect()]
@@ -189,7 +189,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, text: str, window: int, share:
                     key = part.column(part.schema.get_field_index("_row")).take(pa.array(keep, pa.int64()))
                     yield pa.RecordBatch.from_arrays([key, pa.array([hits[i] for i in keep], pa.list_(pa.int64())), pa.array([names[i] for i in keep], pa.list_(pa.string()))], names=["_row", "_hits", "_items"])
 
-        part = keyed.select("_row", text).dropDuplicates(["_row"]).mapInArrow(lean(scan), "_row long, _hits array<long>, _items array<string>")
+        part = keyed.select("_row", text).dropDuplicates(["_row"]).mapInArrow(lean(scan), "_row string, _hits array<long>, _items array<string>")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
     words = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(F.split(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")))
