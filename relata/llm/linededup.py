@@ -124,4 +124,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_lines(docs)
-    return out.select("doc_id", "text", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_lines", "n_deleted", F.to_json("deleted_runs").alias("deleted_runs"))
+    return out.select("doc_id", "text", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_lines", "n_deleted")
