@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relata.llm.common import id_bucket, load, order_key
+from relata.llm.common import id_bucket, load, order_key, stored
 
 RATES = (16, 64, 256, 1024)  # a subset holds one lexicon term in so many
 SUBSETS = 16  # of each rate
@@ -101,7 +101,7 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
 
 def imatch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", df_low: float = 0.001, df_high: float = 0.05) -> DataFrame:
     """Fingerprints of all documents and of their half-replaced texts, with likenesses (see the module)."""
-    lex = lexicon(docs, text, df_low, df_high)
+    lex = stored(lexicon(docs, text, df_low, df_high), "lexicon")  # its size is checked, then it is broadcast: one count of terms serves both
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs, doc_id, text)
