@@ -1,8 +1,8 @@
 """Operator 10 - quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
 A text's features are hashed 3- and 4-grams of its shape (runs of letters in one case become one sign, digits one sign; other
-signs stay, so "THIS!! THAT!!" gives "U!! U!! "), its hashed words' endings, and a few ranges: length, share of repeated lines,
-signs per word. Weighted by tf-idf they are projected on the leading eigenvectors of a labelled sample (latent semantic analysis).
+signs stay, so "THIS!! THAT!!" gives "U!! U!! ") and a few ranges: length, share of repeated lines, of words that repeat
+the one before, signs per word, capitals. Weighted by tf-idf they are projected on the leading eigenvectors of a labelled sample (latent semantic analysis).
 The sample's vectors and labels are broadcast, at most ``most_labelled`` rows; every document's cosines to all of them are exact,
 in blocks, and its ``neighbours`` nearest vote with weight cosine^``power``.
 
@@ -16,6 +16,7 @@ counts. Extra columns are ignored.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from relata.llm.common import lean, load, mix, slices, stored, utf8_parts
 
 MOST_LABELLED = 4096
 DIMENSIONS = 1024
-RANGES = 64  # the last features
+RANGES = 80  # the last features
 LATENT = 64
 NEIGHBOURS = 25
 POWER = 12
@@ -70,12 +71,14 @@ def features(col: pa.Array) -> np.ndarray:
     words = np.maximum(np.bincount(row2[_LETTER[shape]], minlength=n), 1)
     signs = np.bincount(row[~_LETTER[_SHAPE[data]] & (data != 32) & (data != 10)], minlength=n)
     upper = np.bincount(row[_SHAPE[data] == ord("U")], minlength=n)
-    again = np.zeros(n)
+    again, stutter = np.zeros(n), np.zeros(n)
     for i, text in enumerate(col.to_pylist()):
         lines = [x for x in text.split("\n") if x]
         again[i] = 1 - len(set(lines)) / len(lines) if lines else 0
+        pieces = text.split()
+        stutter[i] = sum(map(operator.eq, pieces, pieces[1:])) / len(pieces) if pieces else 0
     base = DIMENSIONS - RANGES
-    ranges = [np.minimum(np.log2(size + 1), 19).astype(int), 20 + np.minimum(again * 12, 11).astype(int), 32 + np.minimum(signs / words * 6, 15).astype(int), 48 + np.minimum(upper / np.maximum(size, 1) * 24, 15).astype(int)]
+    ranges = [np.minimum(np.log2(size + 1), 19).astype(int), 20 + np.minimum(again * 12, 11).astype(int), 32 + np.minimum(signs / words * 6, 15).astype(int), 48 + np.minimum(upper / np.maximum(size, 1) * 24, 15).astype(int), 64 + np.minimum(stutter * 30, 15).astype(int)]
     for r in ranges:
         out[np.arange(n), base + r] = 1
     return out
