@@ -1,23 +1,22 @@
-"""Helpers shared by the training-data operators.
+"""Helpers shared by the training-data operators: ranges of ids, Arrow text buffers, words.
 
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the one folder that the driver
-and all executors share; a lost executor therefore never takes an intermediate result with it.
+``stored``, ``forget`` and ``fresh_dir`` are the library's own: lineage is cut by writing Parquet below ``spark.checkpoint.dir``, the
+one folder that the driver and all executors share, so a lost executor never takes an intermediate result with it.
 """
 
 from __future__ import annotations
 
 import ctypes
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relata.sources.scratch import forget, fresh_dir, shared_dir, stored  # noqa: F401
+
 _LOWEST = -(2**63)
-_OWN_DIR: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,40 +24,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` if set; else (tests, single machine) one folder per process."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="relata-"))
-    return _OWN_DIR[0]
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/relata-{uuid.uuid4().hex[:12]}-{name}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: cuts lineage, survives executor loss."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._relata_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table made by :func:`stored` that nothing reads any more."""
-    path = getattr(df, "_relata_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def order_key(col: str) -> Column:
     """A non-null long that sorts like the id (null first)."""
     return F.coalesce(F.col(col).cast("long"), F.lit(_LOWEST))
