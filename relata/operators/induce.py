@@ -1,221 +1,280 @@
 """Relation induction: full passes, incremental passes, and the policy that picks between them.
 
-Distances, thresholds, clusters, medoids and cohesion are DataFrames. What is sequential by definition runs on the driver: unique
-labels with carry-over, and the running reference distance that sparse blocks take from populated ones. The driver holds
-the relation inventory for that (a path, its support and its label: the vocabulary of paths, not the corpus).
+The relation inventory (paths, labels, medoids, clusters of the pass before) is a set of tables; the driver sees counts, a row per
+block of argument types, and the few last terms of the running reference distance. What a record-at-a-time loop would
+do in sequence is done in rounds:
+
+* Labels. A cluster takes the label of the earlier cluster it overlaps most (first in order of processing where several claim
+  one); these names are reserved. All others get their readable label, numbered in order of processing where it repeats.
+* The rest of a large block, and changed paths of an incremental pass, go to the closest medoid within the threshold. Those
+  without one lead clusters of their own, which later paths may join: a path leads if no earlier one near it does, which
+  is settled in rounds (each settles all paths whose earlier neighbours are settled).
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relata.config import DEFAULT, RELATED_TO, Config
+from relata.config import DEFAULT, Config
+from relata.functions.text import readable_label
 from relata.operators import cluster as C
 from relata.operators import dirt, pathstats
 from relata.sources.scratch import forget, stored
 
-
-def readable(path: str) -> str:
-    return re.sub(r"[^A-Z0-9_]", "", path.replace("→", "_").upper())[:40] or RELATED_TO
-
-
-def unique(label: str, used: set[str]) -> str:
-    """The label, or with the first free suffix from _2."""
-    out, k = label, 2
-    while out in used:
-        out, k = f"{label}_{k}", k + 1
-    used.add(out)
-    return out
+LABELS = "path string, label string"
+MEDOIDS = "label string, medoid string, sx string, sy string"
+COHESION = "label string, cohesion double"
+PREVIOUS = "part string, path string, label string"
+SUPPORT = "path string, support long"
+TABLES = {"labels": LABELS, "medoids": MEDOIDS, "cohesion": COHESION, "previous": PREVIOUS, "support": SUPPORT}
+_FOLD = 64  # terms of the running reference that a double can hold
 
 
 @dataclass
 class State:
-    """What a pass leaves behind. Tables are small (a row per path at most) and kept by the caller's store."""
+    """What a pass leaves behind: tables (None: empty), and on the driver a row per block and per calibration bin."""
 
-    labels: dict[str, str] = field(default_factory=dict)  # path -> label
-    medoids: dict[str, tuple[str, str, str]] = field(default_factory=dict)  # label -> (medoid, sx, sy)
-    cohesion: dict[str, float] = field(default_factory=dict)
+    labels: DataFrame | None = None
+    medoids: DataFrame | None = None
+    cohesion: DataFrame | None = None
+    previous: DataFrame | None = None  # members of each cluster; the rest of a block counts as single clusters
+    support: DataFrame | None = None
     thresholds: dict[tuple[str, str], float] = field(default_factory=dict)
-    smoothed: dict[tuple[str, str], float] = field(default_factory=dict)  # running thresholds
-    previous: list[tuple[frozenset[str], str]] = field(default_factory=list)
+    smoothed: dict[tuple[str, str], float] = field(default_factory=dict)
     reference: float | None = None
     calibration: dict[int, tuple[int, int]] = field(default_factory=dict)
-    support: dict[str, int] = field(default_factory=dict)
     median: float = 1.0
+    n_medoids: int = 0
     fits: int = 0
     singletons: int = 0
 
+    def table(self, spark: SparkSession, name: str) -> DataFrame:
+        found = getattr(self, name)
+        return spark.createDataFrame([], TABLES[name]) if found is None else found
+
 
 def needs_full(state: State, n: int, changed: int, new_block: bool, cfg: Config = DEFAULT) -> bool:
     return (
-        not state.medoids
+        not state.n_medoids
         or state.fits >= cfg.recluster_every
         or changed > max(1, n // 2)
         or new_block
-        or state.singletons > max(2, len(state.medoids) // 10)
+        or state.singletons > max(2, state.n_medoids // 10)
     )
 
 
-def carry_over(members: list[str], used: set[str], rep: str, previous: list[tuple[frozenset[str], str]], cfg: Config) -> str:
-    own, best = frozenset(members), (0.0, "")
-    for old, label in previous:
-        shared = len(own & old)
-        if shared:
-            j = shared / len(own | old)
-            if j > best[0] or j == best[0] and label < best[1]:
-                best = (j, label)
-    if best[1] and best[0] >= cfg.label_carryover_jaccard and best[1] not in used:
-        used.add(best[1])
-        return best[1]
-    return unique(readable(rep), used)
+def distances(counts: DataFrame, block: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Pair distances inside blocks; mutual information over all candidate paths."""
+    return dirt.path_distance(dirt.slot_similarity(dirt.slot_pmi(counts, cfg), block))
 
 
-def _blocks(counts: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
-    support = pathstats.support_of(counts)
-    block = stored(pathstats.blocks(support, pathstats.type_signatures(counts), cfg), "blocks")
-    kept = counts.join(block.select("path"), "path")
-    return block, kept
+def _prepared(counts: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame, float]:
+    """Blocks and distances (stored) and the median support."""
+    counts = stored(counts, "counts")
+    block = stored(pathstats.blocks(pathstats.support_of(counts), pathstats.type_signatures(counts), cfg), "blocks")
+    dist = stored(distances(counts.join(block.select("path"), "path"), block, cfg), "distances")
+    forget(counts)
+    return block, dist, float(pathstats.median_support(block.select("path", "support"), cfg).first()["median"])
+
+
+def unique_names(wanted: DataFrame, reserved: DataFrame) -> DataFrame:
+    """(*, label): each row's base name, numbered from _2 in order (``ord``) where it repeats, never a reserved name (label).
+
+    wanted: (id, base, ord). Clashes between numbered names and other bases are rare; each round gives those rows the next
+    numbers of their base.
+    """
+    w = Window.partitionBy("base").orderBy("ord")
+    name = F.when(F.col("_k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("_k").cast("string")))
+    rows = wanted.withColumn("_k", F.row_number().over(w))
+    taken = reserved.select("label").distinct().withColumn("_taken", F.lit(True))
+    while True:
+        rows = rows.withColumn("label", name).join(taken, "label", "left")
+        first = F.row_number().over(Window.partitionBy("label").orderBy("_k", "ord"))
+        rows = stored(rows.withColumn("_clash", F.coalesce("_taken", F.lit(False)) | (first > 1)).drop("_taken"), "names")
+        if rows.where("_clash").isEmpty():
+            return rows.drop("_k", "_clash")
+        top = rows.groupBy("base").agg(F.max("_k").alias("_top"))
+        n = F.sum(F.col("_clash").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.join(top, "base").withColumn("_k", F.when(F.col("_clash"), F.col("_top") + n).otherwise(F.col("_k"))).drop("_top", "_clash", "label")
+
+
+def name_clusters(clusters: DataFrame, order: Column, previous: DataFrame, reserved: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(cluster, label) of clusters (cluster, path, and what ``order`` needs); a cluster is named by its representative path.
+
+    previous: (part, path, label) of the pass before; reserved: labels in use.
+    """
+    clusters = clusters.withColumn("ord", order)
+    own = clusters.groupBy("cluster").agg(F.min("ord").alias("ord"))
+    scores = C.carryover_scores(clusters.select("cluster", "path"), previous.select("path", F.struct("label", "part").alias("label")))
+    best = scores.groupBy("cluster").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), F.col("label.label").alias("label"))).alias("_b"))
+    best = best.where(-F.col("_b.j") >= cfg.label_carryover_jaccard).select("cluster", F.col("_b.label").alias("label"))
+    claims = own.join(best, "cluster").join(reserved.select("label").distinct(), "label", "left_anti")
+    carried = claims.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("ord"))).where("_r = 1").select("cluster", "label")
+    carried = stored(carried, "carried")
+    rest = own.join(carried, "cluster", "left_anti").withColumn("base", readable_label(F.col("cluster")))
+    fresh = unique_names(rest, reserved.select("label").unionByName(carried.select("label")))
+    return stored(carried.unionByName(fresh.select("cluster", "label")), "cluster-names")
+
+
+def follow_leaders(paths: DataFrame, medoids: DataFrame, dist: DataFrame) -> DataFrame:
+    """(path, leads): whether a path without a medoid in reach leads a cluster of its own.
+
+    paths: (path, sx, sy, ord, threshold, may_lead); medoids: (label, medoid, sx, sy). Paths are taken in order: a path leads if it may,
+    no medoid is within its threshold, and no earlier leader of its block is.
+    """
+    far = dirt.nearest_medoid(paths.select("path", "sx", "sy", "threshold"), medoids, dist)
+    free = stored(paths.join(far.where("accepted").select("path"), "path", "left_anti").where("may_lead").select("path", "sx", "sy", "ord", "threshold"), "free")
+    one = free.select("path", "sx", "sy", "ord", "threshold")
+    other = free.select(F.col("path").alias("_q"), F.col("sx").alias("_x"), F.col("sy").alias("_y"), F.col("ord").alias("_o"))
+    near = dist.select(F.col("p").alias("path"), F.col("q").alias("_q"), "distance").unionByName(dist.select(F.col("q").alias("path"), F.col("p").alias("_q"), "distance"))
+    # an edge from each path to the earlier ones that it would join
+    edges = near.join(one, "path").join(other, "_q").where((F.col("sx") == F.col("_x")) & (F.col("sy") == F.col("_y")) & (F.col("_o") < F.col("ord")) & (F.col("distance") <= F.col("threshold")))
+    edges = stored(edges.select("path", "_q"), "near")
+    settled = stored(free.select("path").join(edges.select("path").distinct(), "path", "left_anti").withColumn("leads", F.lit(True)), "leads")
+    while True:
+        open_ = edges.join(settled.select("path"), "path", "left_anti").join(settled.select(F.col("path").alias("_q"), "leads"), "_q", "left")
+        ends = open_.groupBy("path").agg(F.max(F.coalesce("leads", F.lit(False))).alias("_led"), F.min(F.col("leads").isNotNull()).alias("_all"))
+        more = stored(ends.where("_led or _all").select("path", (~F.col("_led")).alias("leads")), "leads")
+        if more.isEmpty():
+            return settled
+        settled = stored(settled.unionByName(more), "leads")
+
+
+def join_nearest(paths: DataFrame, medoids: DataFrame, leaders: DataFrame, dist: DataFrame) -> DataFrame:
+    """(path, label) of paths with a medoid, or an earlier leader, within their threshold; ties to the smaller label.
+
+    leaders: (label, path as medoid, sx, sy, ord).
+    """
+    every = medoids.select("label", "medoid", "sx", "sy", F.lit(None).cast(dict(leaders.dtypes)["ord"]).alias("_mo")).unionByName(leaders.select("label", "medoid", "sx", "sy", F.col("ord").alias("_mo")))
+    d = dist.select(F.col("p").alias("path"), F.col("q").alias("medoid"), "distance").unionByName(dist.select(F.col("q").alias("path"), F.col("p").alias("medoid"), "distance"))
+    pairs = d.join(paths.select("path", "sx", "sy", "ord", "threshold"), "path").join(every, ["medoid", "sx", "sy"])
+    ok = pairs.where((F.col("distance") <= F.col("threshold")) & (F.col("_mo").isNull() | (F.col("_mo") < F.col("ord"))))
+    return ok.groupBy("path").agg(F.min(F.struct("distance", "label")).alias("_b")).select("path", F.col("_b.label").alias("label"))
+
+
+def _thresholds(block: DataFrame, dist: DataFrame, out: State, cfg: Config) -> DataFrame:
+    """Thresholds of the blocks, smoothed over passes; a row per block passes the driver."""
+    spark = block.sparkSession
+    rows = []
+    for r in dirt.block_thresholds(block, dist, out.reference, cfg).collect():
+        key, t = (r["sx"], r["sy"]), r["threshold"]
+        if r["size"] >= 2:
+            old = out.smoothed.get(key)
+            t = t if old is None else cfg.threshold_ema_beta * old + (1 - cfg.threshold_ema_beta) * t
+            out.smoothed[key] = t
+        out.thresholds[key] = t
+        rows.append((*key, t))
+    return spark.createDataFrame(rows, "sx string, sy string, threshold double")
 
 
-def distances(counts: DataFrame, block: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Pair distances inside blocks; mutual information over all candidate paths."""
-    mi = dirt.slot_pmi(counts, cfg)
-    return dirt.path_distance(dirt.slot_similarity(mi, block))
+def _order(populated: Column) -> Column:
+    """Order of processing: populated blocks first, then types; inside a block heads by representative, then the rest."""
+    return F.struct((~populated).cast("int").alias("a"), F.col("sx").alias("b"), F.col("sy").alias("c"), F.col("_tail").alias("d"), (-F.col("support")).alias("e"), F.col("path").alias("f"))
 
 
 def full_pass(counts: DataFrame, state: State | None = None, cfg: Config = DEFAULT) -> State:
     """Cluster all candidate paths inside their blocks and label the clusters."""
     state = state or State()
-    counts = stored(counts, "counts")
-    block, kept = _blocks(counts, cfg)
-    dist = stored(distances(kept, block, cfg), "distances")
-    out = State(smoothed=dict(state.smoothed), reference=state.reference, calibration=dict(state.calibration))
-    out.support = {r["path"]: r["support"] for r in block.select("path", "support").collect()}
-    out.median = float(pathstats.median_support(block.select("path", "support"), cfg).first()["median"])
-    used: set[str] = set()
-    for populated in (True, False):  # populated blocks teach the reference that sparse ones use
-        _label_blocks(block.where((F.col("block_size") >= cfg.min_block_for_gap) == populated), dist, state, out, used, cfg)
-    for table in (dist, block, counts):
-        forget(table)
+    spark = counts.sparkSession
+    block, dist, median = _prepared(counts, cfg)
+    populated = F.col("block_size") >= cfg.min_block_for_gap
+    out = State(smoothed=dict(state.smoothed), reference=state.reference, calibration=dict(state.calibration), median=median)
+    made = []
+    for some in (True, False):  # populated blocks teach the reference that sparse ones use
+        part = block.where(populated == some)
+        made.append(stored(C.cluster_blocks(part, dist, _thresholds(part, dist, out, cfg)), "clusters"))
+        if some:
+            out.reference = running_reference(made[0].join(part.select("path", "support"), "path"), dist, out.reference)
+    heads = made[0].unionByName(made[1])
+    ord_ = _order(populated)
+    shape = block.select("path", "support", "block_size", "is_head")
+    rows = stored(heads.join(shape, "path").withColumn("_tail", F.lit(0)), "heads")
+    names = name_clusters(rows, ord_, state.table(spark, "previous"), spark.createDataFrame([], "label string"), cfg)
+    med = C.medoids(heads.select("cluster", "path"), dist).join(names, "cluster")
+    blocks_of = heads.select(F.col("cluster"), "sx", "sy").distinct()
+    medoids = stored(med.join(blocks_of, "cluster").select("label", "medoid", "sx", "sy"), "medoids")
+    labels = heads.join(names, "cluster").select("path", "label")
+    previous = heads.join(names, "cluster").select(F.col("cluster").alias("part"), "path", "label")
+
+    tail = block.where("not is_head")
+    if not tail.isEmpty():
+        limits = spark.createDataFrame([(*k, v) for k, v in out.thresholds.items()], "sx string, sy string, threshold double")
+        rest = tail.join(F.broadcast(limits), ["sx", "sy"]).withColumn("_tail", F.lit(1)).withColumns({"may_lead": F.lit(True)})  # a row per block
+        rest = stored(rest.withColumn("ord", ord_), "rest")
+        lead = follow_leaders(rest, medoids, dist).where("leads").select("path")
+        lead = stored(rest.join(lead, "path"), "leaders")
+        new = name_clusters(lead.withColumn("cluster", F.col("path")).select("cluster", "path", "ord"), F.col("ord"), state.table(spark, "previous"), names, cfg)
+        leaders = lead.join(new, F.col("path") == F.col("cluster")).select("label", F.col("path").alias("medoid"), "sx", "sy", "ord")
+        joined = join_nearest(rest.join(lead.select("path"), "path", "left_anti"), medoids, leaders, dist)
+        more = stored(joined.unionByName(leaders.select(F.col("medoid").alias("path"), "label")), "rest-labels")
+        labels = labels.unionByName(more)
+        previous = previous.unionByName(more.select(F.col("path").alias("part"), "path", "label"))
+        medoids = medoids.unionByName(leaders.select("label", "medoid", "sx", "sy"))
+    out.labels, out.previous, out.medoids = stored(labels, "labels"), stored(previous, "previous"), stored(medoids, "medoids")
+    coh = C.cohesion(heads.select("cluster", "path"), dist).where("cohesion is not null").join(names, "cluster")
+    out.cohesion = stored(coh.select("label", "cohesion"), "cohesion")
+    out.support = stored(block.select("path", "support"), "support")
+    out.n_medoids = out.medoids.count()
+    for old in (*made, rows, dist, block):
+        forget(old)
     return out
 
 
-def _label_blocks(block: DataFrame, dist: DataFrame, state: State, out: State, used: set[str], cfg: Config) -> None:
-    spark = block.sparkSession
-    sizes = dirt.block_thresholds(block, dist, out.reference, cfg).collect()  # a row per block
-    thr = {}
-    for r in sizes:
-        key, t = (r["sx"], r["sy"]), r["threshold"]
-        if r["size"] >= 2:
-            old = out.smoothed.get(key)
-            t = t if old is None else cfg.threshold_ema_beta * old + (1 - cfg.threshold_ema_beta) * t
-            out.smoothed[key] = t
-        thr[key] = t
-    if not thr:
-        return
-    out.thresholds |= thr
-    table = spark.createDataFrame([(*k, v) for k, v in thr.items()], "sx string, sy string, threshold double")
-    made = stored(C.cluster_blocks(block, dist, table), "clusters")
-    coh = {r["cluster"]: r["cohesion"] for r in C.cohesion(made.select("cluster", "path"), dist).collect()}
-    med = {r["cluster"]: r["medoid"] for r in C.medoids(made.select("cluster", "path"), dist).collect()}
-    groups: dict[tuple[str, str, str], list[str]] = {}
-    for r in made.collect():
-        groups.setdefault((r["sx"], r["sy"], r["cluster"]), []).append(r["path"])
-    forget(made)
-    size = {(r["sx"], r["sy"]): r["size"] for r in sizes}
-    tails: dict[tuple[str, str], list[str]] = {}
-    for r in block.where("not is_head").sort("sx", "sy", "place").collect():
-        tails.setdefault((r["sx"], r["sy"]), []).append(r["path"])
-    for key in sorted(thr):
-        own = sorted((k for k in groups if k[:2] == key), key=lambda k: (-out.support[k[2]], k[2]))
-        for k in own:
-            members, rep = groups[k], k[2]
-            label = carry_over(members, used, rep, state.previous, cfg)
-            out.labels |= dict.fromkeys(members, label)
-            out.medoids[label] = (med[rep], *key)
-            out.previous.append((frozenset(members), label))
-            if coh[rep] is not None:
-                out.cohesion[label] = coh[rep]
-                if size[key] >= cfg.min_block_for_gap:
-                    d = 1 - coh[rep]
-                    out.reference = d if out.reference is None else 0.5 * out.reference + 0.5 * d
-        if key in tails:
-            _assign(spark, tails[key], key, thr[key], dist, state, out, used, cfg)
-
-
-def _assign(spark: SparkSession, paths: list[str], key: tuple[str, str], threshold: float, dist: DataFrame, state: State, out: State, used: set[str], cfg: Config) -> None:
-    """The rest of a block, by support: to the closest medoid within the threshold, else to a cluster of its own, which
-    later ones may join. The distances to all earlier medoids come in one join, those to new ones likewise."""
-    rows = spark.createDataFrame([(p,) for p in paths], "path string")
-    ends = rows.select("path").unionByName(spark.createDataFrame([(m[0],) for m in out.medoids.values() if m[1:] == key], "path string")).distinct()
-    near = dist.join(ends.withColumnRenamed("path", "p"), "p", "left_semi").join(ends.withColumnRenamed("path", "q"), "q", "left_semi").where(F.col("distance") <= threshold)
-    close: dict[str, dict[str, float]] = {}
-    for r in near.collect():
-        close.setdefault(r["p"], {})[r["q"]] = r["distance"]
-        close.setdefault(r["q"], {})[r["p"]] = r["distance"]
-    by_medoid: dict[str, list[str]] = {}
-    for label, m in out.medoids.items():
-        if m[1:] == key:
-            by_medoid.setdefault(m[0], []).append(label)
-    for p in paths:
-        best = min(((d, label) for m, d in close.get(p, {}).items() for label in by_medoid.get(m, [])), default=None)
-        if best:
-            out.labels[p] = best[1]
-        else:
-            label = carry_over([p], used, p, state.previous, cfg)
-            out.labels[p] = label
-            out.medoids[label] = (p, *key)
-            by_medoid[p] = [label]
-        out.previous.append((frozenset([p]), out.labels[p]))
-
-
-def incremental_pass(counts: DataFrame, changed: list[str], state: State, cfg: Config = DEFAULT) -> State:
-    """Assign changed paths to the closest medoid of their block; a path that had a label and finds none keeps it."""
-    block, kept = _blocks(counts, cfg)
-    dist = distances(kept, block, cfg)
+def running_reference(clusters: DataFrame, dist: DataFrame, start: float | None) -> float | None:
+    """The reference after all merged clusters (cluster, path, sx, sy, support) of populated blocks, in order: each halves what was
+    before it, so only the last terms count."""
+    ends = C.cohesion(clusters.select("cluster", "path"), dist).where("size >= 2")
+    order = clusters.where("cluster = path").select("cluster", F.struct("sx", "sy", -F.col("support"), "path").alias("_o"))
+    last = [1 - r["cohesion"] for r in ends.join(order, "cluster").orderBy(F.desc("_o")).limit(_FOLD).collect()][::-1]
+    for d in last:
+        start = d if start is None else 0.5 * start + 0.5 * d
+    return start
+
+
+def incremental_pass(counts: DataFrame, changed: DataFrame, state: State, cfg: Config = DEFAULT) -> State:
+    """Assign changed paths (path) to the closest medoid of their block; a path that had a label and finds none keeps it."""
     spark = counts.sparkSession
-    want = spark.createDataFrame([(p,) for p in changed], "path string")
-    sig = {r["path"]: (r["sx"], r["sy"], r["support"]) for r in block.join(F.broadcast(want), "path").select("path", "sx", "sy", "support").collect()}
-    ends = want.unionByName(spark.createDataFrame([(m[0],) for m in state.medoids.values()], "path string")).distinct()
-    near = dist.join(ends.withColumnRenamed("path", "p"), "p", "left_semi").join(ends.withColumnRenamed("path", "q"), "q", "left_semi")
-    close: dict[str, dict[str, float]] = {}
-    for r in near.collect():
-        close.setdefault(r["p"], {})[r["q"]] = r["distance"]
-        close.setdefault(r["q"], {})[r["p"]] = r["distance"]
-    used = set(state.labels.values())
-    for p in sorted(sig, key=lambda x: (-sig[x][2], x)):
-        sx, sy, _ = sig[p]
-        limit = state.thresholds.get((sx, sy), cfg.threshold_min)
-        found = min(((close.get(p, {}).get(m, 1.0), label) for label, (m, x, y) in state.medoids.items() if (x, y) == (sx, sy) and m != p), default=None)
-        if found and found[0] <= limit:
-            state.labels[p] = found[1]
-        elif p not in state.labels:
-            label = unique(readable(p), used)
-            state.labels[p] = label
-            state.medoids[label] = (p, sx, sy)
-            state.singletons += 1
-    state.support = {r["path"]: r["support"] for r in block.select("path", "support").collect()}
-    state.median = float(pathstats.median_support(block.select("path", "support"), cfg).first()["median"])
+    block, dist, median = _prepared(counts, cfg)
+    limits = spark.createDataFrame([(*k, v) for k, v in state.thresholds.items()], "sx string, sy string, threshold double")
+    had = state.labels.select("path", F.lit(True).alias("_had"))
+    rows = block.join(changed.select("path").distinct(), "path").join(F.broadcast(limits), ["sx", "sy"], "left").join(had, "path", "left")  # a row per block
+    rows = rows.withColumns({"threshold": F.coalesce("threshold", F.lit(cfg.threshold_min)), "may_lead": F.col("_had").isNull(), "ord": F.struct((-F.col("support")).alias("e"), F.col("path").alias("f"))})
+    rows = stored(rows, "changed")
+    lead = follow_leaders(rows, state.medoids, dist).where("leads").select("path")
+    lead = stored(rows.join(lead, "path"), "leaders")
+    new = unique_names(lead.select(F.col("path").alias("id"), readable_label(F.col("path")).alias("base"), "ord"), state.labels.select("label"))
+    leaders = stored(lead.join(new.select("id", "label"), F.col("path") == F.col("id")).select("label", F.col("path").alias("medoid"), "sx", "sy", "ord"), "new-medoids")
+    joined = join_nearest(rows.join(lead.select("path"), "path", "left_anti"), state.medoids, leaders, dist)
+    fresh = stored(joined.unionByName(leaders.select(F.col("medoid").alias("path"), "label")), "new-labels")
+    n = leaders.count()
+    state.labels = stored(state.labels.join(fresh.select("path"), "path", "left_anti").unionByName(fresh), "labels")
+    state.medoids = stored(state.medoids.unionByName(leaders.select("label", "medoid", "sx", "sy")), "medoids")
+    state.support, state.median = stored(block.select("path", "support"), "support"), median
+    state.n_medoids, state.singletons = state.n_medoids + n, state.singletons + n
     forget(block)
+    forget(dist)
     return state
 
 
 def fit(counts: DataFrame, state: State, cfg: Config = DEFAULT) -> tuple[State, str]:
     """(state, 'same' | 'full' | 'incremental')."""
-    support = {r["path"]: r["support"] for r in pathstats.candidates(pathstats.support_of(counts), cfg).collect()}
-    if support == state.support and state.labels:
+    spark = counts.sparkSession
+    counts = stored(counts, "counts")
+    support = stored(pathstats.candidates(pathstats.support_of(counts), cfg), "support")
+    old = state.table(spark, "support").select("path", F.col("support").alias("_old"))
+    both = support.join(old, "path", "full")
+    changed = stored(both.where(F.col("support").isNotNull() & ~F.col("support").eqNullSafe(F.col("_old"))).select("path"), "changed")
+    n, n_changed, gone = support.count(), changed.count(), both.where("support is null").isEmpty()
+    if state.labels is not None and not n_changed and gone:
         return state, "same"
-    changed = [p for p, s in support.items() if state.support.get(p) != s]
-    sig = pathstats.type_signatures(counts) if cfg.type_signature_blocking and state.medoids else None
     new_block = False
-    if sig is not None and changed:
-        want = counts.sparkSession.createDataFrame([(p,) for p in changed], "path string")
-        new_block = any((r["sx"], r["sy"]) not in state.thresholds for r in sig.join(F.broadcast(want), "path").select("sx", "sy").distinct().collect())
-    if needs_full(state, len(support), len(changed), new_block, cfg):
+    if cfg.type_signature_blocking and state.n_medoids and n_changed:
+        seen = pathstats.type_signatures(counts).join(changed, "path").select("sx", "sy").distinct().collect()  # a row per block
+        new_block = any((r["sx"], r["sy"]) not in state.thresholds for r in seen)
+    if needs_full(state, n, n_changed, new_block, cfg):
         return full_pass(counts, state, cfg), "full"
     state = incremental_pass(counts, changed, state, cfg)
     state.fits += 1
@@ -224,11 +283,9 @@ def fit(counts: DataFrame, state: State, cfg: Config = DEFAULT) -> tuple[State,
 
 def label_table(spark: SparkSession, state: State) -> DataFrame:
     """(path, label, cohesion) of a state."""
-    return spark.createDataFrame([(p, x, state.cohesion.get(x)) for p, x in state.labels.items()], "path string, label string, cohesion double")
+    return state.table(spark, "labels").join(state.table(spark, "cohesion"), "label", "left").select("path", "label", "cohesion")
 
 
 def annotate(props: DataFrame, labels: DataFrame) -> DataFrame:
     """Propositions with ``label``: the induced one of their path, else its readable form."""
-    from relata.functions.text import readable_label
-
     return props.join(labels.select("path", F.col("label").alias("_l")), "path", "left").withColumn("label", F.coalesce("_l", readable_label(F.col("path")))).drop("_l")

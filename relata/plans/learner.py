@@ -258,9 +258,9 @@ class Learner:
 
     def drift(self) -> DataFrame:
         """Agreement of the labels in use with those of a fresh full pass."""
-        fresh = induce.full_pass(self.store.slot_counts(), None, self.cfg)
-        rows = [(p, x, fresh.labels.get(p)) for p, x in self.state.labels.items()]
-        return metrics.partition_agreement(self.spark.createDataFrame(rows, "path string, pred string, gold string"))
+        fresh = induce.full_pass(self.store.slot_counts(), None, self.cfg).table(self.spark, "labels")
+        now = self.state.table(self.spark, "labels").select("path", F.col("label").alias("pred"))
+        return metrics.partition_agreement(now.join(fresh.select("path", F.col("label").alias("gold")), "path", "left"))
 
 
 def measure(job: Callable[[], Any]) -> dict:

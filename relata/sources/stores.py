@@ -152,55 +152,40 @@ class PathStore:
             self.counts.compact(one)
 
 
+_SCALARS = "thresholds array<struct<sx:string,sy:string,t:double>>, smoothed array<struct<sx:string,sy:string,t:double>>, calibration array<struct<b:int,c:long,t:long>>, reference double, median double, n_medoids long, fits long, singletons long"
+
+
 def save_state(state, path: str, spark: SparkSession) -> None:
-    """An induction state as Parquet rows (kind, key, values) under a new version; the pointer is replaced last."""
-    s = Store(spark, path, "kind string, key string, text string, number double, more array<string>")
-    rows = [("label", p, x, None, []) for p, x in state.labels.items()]
-    rows += [("medoid", x, m[0], None, list(m[1:])) for x, m in state.medoids.items()]
-    rows += [("cohesion", x, None, float(c), []) for x, c in state.cohesion.items()]
-    rows += [("threshold", "", None, float(t), list(k)) for k, t in state.thresholds.items()]
-    rows += [("smoothed", "", None, float(t), list(k)) for k, t in state.smoothed.items()]
-    rows += [("previous", str(i), x, None, sorted(m)) for i, (m, x) in enumerate(state.previous)]
-    rows += [("calibration", str(b), None, float(c), [str(t)]) for b, (c, t) in state.calibration.items()]
-    rows += [("support", p, None, float(n), []) for p, n in state.support.items()]
-    rows += [("scalar", "median", None, float(state.median), []), ("scalar", "fits", None, float(state.fits), []), ("scalar", "singletons", None, float(state.singletons), [])]
-    if state.reference is not None:
-        rows.append(("scalar", "reference", None, float(state.reference), []))
-    name = f"state-{uuid.uuid4().hex[:12]}"
-    spark.createDataFrame(rows, s.schema).write.parquet(f"{path}/{name}")
-    s._publish([name])
+    """An induction state as a new version: a folder of its tables and one row of scalars. The pointer is replaced last."""
+    from relata.operators.induce import TABLES
+
+    s = Store(spark, path, "name string")
+    old, name = s.batches(), f"state-{uuid.uuid4().hex[:12]}"
+    for table in TABLES:
+        state.table(spark, table).write.parquet(f"{path}/{name}/{table}")
+    limits = lambda d: [(*k, float(v)) for k, v in d.items()]
+    row = (limits(state.thresholds), limits(state.smoothed), [(b, int(c), int(t)) for b, (c, t) in state.calibration.items()], state.reference, float(state.median), state.n_medoids, state.fits, state.singletons)
+    spark.createDataFrame([row], _SCALARS).coalesce(1).write.parquet(f"{path}/{name}/scalars")
+    s._publish([name, *old[:1]])  # the version before stays: tables in use may come from it
+    for gone in old[1:]:
+        _, p, fs = s._file(gone)
+        fs.delete(p, True)
 
 
 def load_state(path: str | None, spark: SparkSession):
     """The saved state; a fresh one where there is none or it can't be read."""
-    from relata.operators.induce import State
+    from relata.operators.induce import TABLES, State
 
     out = State()
     if not path:
         return out
-    s = Store(spark, path, "kind string, key string, text string, number double, more array<string>")
     try:
-        rows = s.read().collect() if s.batches() else []
+        names = Store(spark, path, "name string").batches()
+        if not names:
+            return out
+        r = spark.read.parquet(f"{path}/{names[0]}/scalars").first()
+        tables = {t: spark.read.schema(TABLES[t]).parquet(f"{path}/{names[0]}/{t}") for t in TABLES}
     except Exception:  # noqa: BLE001 - whatever is wrong with a saved state, a full pass makes a new one
         return out
-    previous = []
-    for r in rows:
-        kind, key = r["kind"], r["key"]
-        if kind == "label":
-            out.labels[key] = r["text"]
-        elif kind == "medoid":
-            out.medoids[key] = (r["text"], *r["more"])
-        elif kind == "cohesion":
-            out.cohesion[key] = r["number"]
-        elif kind in ("threshold", "smoothed"):
-            (out.thresholds if kind == "threshold" else out.smoothed)[tuple(r["more"])] = r["number"]
-        elif kind == "previous":
-            previous.append((int(key), frozenset(r["more"]), r["text"]))
-        elif kind == "calibration":
-            out.calibration[int(key)] = (int(r["number"]), int(r["more"][0]))
-        elif kind == "support":
-            out.support[key] = int(r["number"])
-        elif kind == "scalar":
-            setattr(out, key, r["number"] if key in ("median", "reference") else int(r["number"]))
-    out.previous = [(m, x) for _, m, x in sorted(previous, key=lambda p: p[0])]
-    return out
+    limits = lambda rows: {(x["sx"], x["sy"]): x["t"] for x in rows}
+    return State(**tables, thresholds=limits(r["thresholds"]), smoothed=limits(r["smoothed"]), calibration={x["b"]: (x["c"], x["t"]) for x in r["calibration"]}, reference=r["reference"], median=r["median"], n_medoids=r["n_medoids"], fits=r["fits"], singletons=r["singletons"])

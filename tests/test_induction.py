@@ -118,14 +118,20 @@ def test_thresholds(spark, paths, dist, reference, want):
     assert dirt.block_thresholds(blocks_of(spark, paths), d, reference).first().threshold == pytest.approx(want, abs=1e-12)
 
 
+def table(df):
+    return {r[0]: r[1] for r in df.collect()}
+
+
 def test_full_pass_labels_every_path_and_is_stable(spark):
     props, rows = toy(spark)
     counts = pathstats.slot_counts(props)
     state = induce.full_pass(counts)
-    assert set(state.labels) == {r[0] for r in rows}
-    assert state.median == sorted(state.support.values())[len(state.support) // 2]
+    assert set(table(state.labels)) == {r[0] for r in rows}
+    support = sorted(table(state.support).values())
+    assert state.median == support[len(support) // 2]
+    assert state.n_medoids == len(set(table(state.labels).values()))
     again = induce.full_pass(pathstats.slot_counts(props.orderBy("arg2")), state)
-    assert again.labels == state.labels
+    assert table(again.labels) == table(state.labels)
     same, kind = induce.fit(counts, state)
     assert kind == "same" and same is state
 
@@ -135,28 +141,71 @@ def test_incremental_pass_and_its_policy(spark):
     state, kind = induce.fit(pathstats.slot_counts(props), induce.State())
     assert kind == "full"
     more = spark.createDataFrame([("verb0", "x0_1", "P", "y0_1", "R"), ("new verb", "z", "P", "zz", "R")], PROPS)
-    before = dict(state.labels)
+    before = table(state.labels)
     state, kind = induce.fit(pathstats.slot_counts(props.unionByName(more)), state)
     assert kind == "incremental" and state.fits == 1
-    assert state.labels["new verb"] == "NEWVERB" and state.singletons == 1
-    assert all(state.labels[p] == x for p, x in before.items() if p != "verb0")
+    now = table(state.labels)
+    assert now["new verb"] == "NEWVERB" and state.singletons == 1 and "NEWVERB" in table(state.medoids)
+    assert all(now[p] == x for p, x in before.items() if p != "verb0")
     assert induce.needs_full(state, 10, 6, False) and induce.needs_full(state, 10, 1, True) and not induce.needs_full(state, 10, 5, False)
 
 
 def test_block_cap_assigns_the_tail(spark):
     props, rows = toy(spark)
-    state = induce.full_pass(pathstats.slot_counts(props), cfg=Config(max_block_size=2))
-    assert set(state.labels) == {r[0] for r in rows}
-
-
-def test_unique_labels_and_carry_over():
-    used = set()
-    assert [induce.unique("A", used) for _ in range(3)] == ["A", "A_2", "A_3"]
-    assert induce.readable("take→job") == "TAKE_JOB"
-    old = [(frozenset("ab"), "OLD"), (frozenset("cd"), "ELSE")]
-    assert induce.carry_over(["a", "b", "c"], set(), "a", old, Config()) == "OLD"
-    assert induce.carry_over(["a", "b"], {"OLD"}, "a", old, Config()) == "A"
-    assert induce.carry_over(["a", "x", "y"], set(), "x", old, Config()) == "X"
+    cfg = Config(max_block_size=2)
+    state = induce.full_pass(pathstats.slot_counts(props), cfg=cfg)
+    got = table(state.labels)
+    assert set(got) == {r[0] for r in rows}
+    # the loop that the rounds stand for
+    want = brute_distances(rows)
+    d = lambda p, q: want.get((min(p, q), max(p, q)), 1.0)
+    block = pathstats.blocks(pathstats.path_support(props), pathstats.type_signatures(pathstats.slot_counts(props)), cfg).orderBy("sx", "sy", "place").collect()
+    medoids = {r.medoid: (r.label, r.sx, r.sy) for r in state.medoids.collect()}
+    heads = {r.path for r in block if r.is_head}
+    reach = {m: v for m, v in medoids.items() if m in heads}
+    for r in block:
+        if not r.is_head:
+            limit = state.thresholds[r.sx, r.sy]
+            near = min(((d(r.path, m), v[0]) for m, v in reach.items() if v[1:] == (r.sx, r.sy)), default=(2, ""))
+            if near[0] <= limit:
+                assert got[r.path] == near[1]
+            else:
+                assert medoids[r.path][0] == got[r.path]
+                reach[r.path] = medoids[r.path]
+
+
+def test_unique_labels(spark):
+    rows = [(str(i), b, i) for i, b in enumerate(["A", "A", "A_2", "A", "B", "C", "C"])]
+    names = induce.unique_names(spark.createDataFrame(rows, "id string, base string, ord int"), spark.createDataFrame([("B",), ("C_2",)], "label string"))
+    got = {r.id: r.label for r in names.collect()}
+    assert len(set(got.values())) == 7 and not {"B", "C_2"} & set(got.values())
+    assert got["0"] == "A" and got["5"] == "C" and got["2"] == "A_2" and got["4"] == "B_2"
+
+
+def test_carry_over(spark):
+    old = spark.createDataFrame([("1", "a", "OLD"), ("1", "b", "OLD"), ("2", "c", "ELSE"), ("2", "d", "ELSE")], "part string, path string, label string")
+    new = spark.createDataFrame([("a", "a", 1), ("a", "b", 1), ("a", "c", 1), ("x", "x", 2), ("x", "d", 2), ("x", "y", 2), ("old", "old", 0)], "cluster string, path string, n int")
+    none = spark.createDataFrame([], "label string")
+    assert table(induce.name_clusters(new, induce.F.col("n"), old, none)) == {"a": "OLD", "x": "X", "old": "OLD_2"}
+    two = spark.createDataFrame([("a", "a", 2), ("b", "b", 1)], "cluster string, path string, n int")
+    assert table(induce.name_clusters(two, induce.F.col("n"), old, none)) == {"b": "OLD", "a": "A"}
+
+
+def test_leaders_equal_the_loop(spark):
+    r = random.Random(5)
+    names = [f"p{i:02d}" for i in range(40)]
+    d = {(p, q): round(r.random(), 3) for p, q in itertools.combinations(names, 2) if r.random() < 0.2}
+    may = {p: r.random() < 0.8 for p in names}
+    paths = spark.createDataFrame([(p, "A", "B", i, 0.5, may[p]) for i, p in enumerate(names)], "path string, sx string, sy string, ord int, threshold double, may_lead boolean")
+    med = spark.createDataFrame([("M", "p39", "A", "B")], "label string, medoid string, sx string, sy string")
+    dist = spark.createDataFrame([(*k, v) for k, v in d.items()], "p string, q string, distance double")
+    got = {x.path for x in induce.follow_leaders(paths, med, dist).where("leads").collect()}
+    at = lambda p, q: d.get((min(p, q), max(p, q)), 1.0)
+    want: list[str] = []
+    for p in names:
+        if may[p] and not (p != "p39" and at(p, "p39") <= 0.5) and all(at(p, q) > 0.5 for q in want):
+            want.append(p)
+    assert got == set(want)
 
 
 def test_ingest_counts_a_document_once(spark):
