@@ -28,6 +28,7 @@ class Config:
     compact_every: int = 200
     similarity_eps: float = 0.4
     similarity_terms: int = 50
+    similarity_without_context: bool = True  # entities without any context word count as similar to each other
     skip_negated: bool = True
     negation_penalty: float = 0.4
     min_triples_for_eval: int = 20

@@ -31,11 +31,11 @@ def tuple_matches(pred: DataFrame, gold: DataFrame, arg_threshold: float = 0.5,
         p, g = p.withColumn("_k", key("p")), g.withColumn("_k", key("g"))
     else:
         p, g = p.withColumn("_k", F.lit("")), g.withColumn("_k", F.lit(""))
-    j = p.join(g, [*by, "_k"]).drop("_k").dropDuplicates([*by, "pseq", "gseq"])
+    j = p.join(g, [*by, "_k"]).drop("_k")
     ok = (T.set_jaccard(F.col("_p1"), F.col("_g1")) >= arg_threshold) & (T.set_jaccard(F.col("_p2"), F.col("_g2")) >= arg_threshold)
     if rel_threshold > 0:
         ok = ok & (T.set_jaccard(F.col("_pr"), F.col("_gr")) >= rel_threshold)
-    return j.where(ok).select(*by, "pseq", "gseq")
+    return j.where(ok).select(*by, "pseq", "gseq").distinct()
 
 
 def greedy_matches(matches: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -66,6 +66,8 @@ def connected(edges: DataFrame, by: tuple[str, ...] = ("doc_id",), most_rounds:
 def similarity_patterns(profiles: DataFrame, cfg: Config = DEFAULT, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*by, cluster_id, entities, signature, size): clusters of two or more entities, numbered by their smallest entity; documents
     with fewer than three entities have none. A cluster of minimum size two is a component of the close pairs."""
+    if not cfg.similarity_without_context:
+        profiles = profiles.where(F.size("words") > 0)
     enough = profiles.groupBy(*by).agg(F.countDistinct("entity").alias("_n")).where("_n >= 3").drop("_n")
     p = profiles.join(enough, list(by), "left_semi")
     roots = connected(close_entities(stored(tfidf(p, cfg, by), "vectors"), cfg, by), by)

@@ -21,7 +21,7 @@ from relata.schemas import LABELS
 from relata.sources.annotate import shape_sentences
 from relata.sources.export import clean
 from relata.sources.scratch import stored
-from relata.sources.stores import PathStore, append_label_log, load_state, read_label_log, save_state
+from relata.sources.stores import PathStore, append_label_log, compact_label_log, load_state, read_label_log, save_state
 
 log = logging.getLogger("relata")
 
@@ -153,7 +153,7 @@ class Learner:
         if self.path:
             save_state(self.state, f"{self.path}/state", self.spark)
         if self.labels_path:
-            append_label_log(self.records, self.labels_path)
+            compact_label_log(self.records, self.labels_path)
 
     # ---- active learning -------------------------------------------------------------------------------------------
 
@@ -204,6 +204,10 @@ class Learner:
     def status(self) -> dict:
         return {"ready": True, "mode": "persistent" if self.path else "memory", "has_run": self.result is not None, "model_fitted": self.model.is_fitted, "no_relation": NO_RELATION}
 
+    @staticmethod
+    def sample() -> str:
+        return SAMPLE
+
     def last(self) -> dict:
         self._need_run()
         return self.payload()

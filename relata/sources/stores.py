@@ -49,7 +49,9 @@ def read_label_log(spark: SparkSession, path: str) -> DataFrame:
     """Label records, the last line of each key; broken lines and lines without a key are skipped."""
     from relata.operators.labels import latest
 
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()).where(F.trim("value") != "")
+    # appended files in order of time, lines in order inside each
+    at = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", at.alias("seq")).where(F.trim("value") != "")
     r = lines.select(F.from_json("value", _LABEL).alias("r"), "seq").select("r.*", "seq").where("key is not null")
     return latest(r).drop("seq")
 
@@ -58,6 +60,19 @@ def append_label_log(records: DataFrame, path: str) -> None:
     records.select(F.to_json(F.struct(*[c.split()[0] for c in _LABEL.split(", ")])).alias("value")).write.mode("append").text(path)
 
 
+def compact_label_log(records: DataFrame, path: str) -> None:
+    """Replace a log by one line per key. The new lines are complete in a folder of their own before the old ones go; a reader of the
+    folder finds either."""
+    spark = records.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.listStatus(target)] if fs.exists(target) else []
+    append_label_log(records, path)  # the same keys and labels once more: a reader still takes the last line of each
+    for f in old:
+        fs.delete(f, True)
+
+
 class Store:
     """Versioned batches of one table. ``path`` None keeps everything in the session."""
 

@@ -53,6 +53,19 @@ def test_labels_take_over(learner):
     assert history[0]["queried"] == 2 and history[-1]["model_fitted"]
 
 
+def test_memory_on_disk(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXT)), "doc_id long, text string")
+    make = lambda: Learner(spark, path=str(tmp_path / "memory"), labels_path=str(tmp_path / "labels"))
+    a = make()
+    assert a.run(docs)["pass_kind"] == "full"
+    a.label(a.queries(1)[0]["key"], "ADMIRES")
+    b = make()
+    assert labels.has_human(b.records)
+    out = b.run(docs)
+    assert out["pass_kind"] == "same" and out["propositions"].count() == a.result["propositions"].count()
+    assert sorted(map(tuple, b.state.labels.collect())) == sorted(map(tuple, a.state.labels.collect()))
+
+
 def test_before_a_run(spark):
     x = Learner.for_evaluation(spark)
     for call in (x.last, x.queries, lambda: x.label("a", "b")):
@@ -104,6 +117,8 @@ def test_similarity_patterns(spark):
     df = spark.createDataFrame([(*r, (0, i)) for i, r in enumerate(rows)], "doc_id string, entity string, words array<string>, first struct<s:int,e:int>")
     got = [(r.doc_id, r.cluster_id, r.entities, r.signature, r["size"]) for r in similarity.similarity_patterns(df).orderBy("cluster_id").collect()]
     assert got == [("d", 0, ["a", "b"], ["red", "big"], 2), ("d", 1, ["e", "f"], [], 2)]
+    some = similarity.similarity_patterns(df, Config(similarity_without_context=False)).collect()
+    assert [r.entities for r in some] == [["a", "b"]]
     edges = similarity.similar_to(similarity.similarity_patterns(df)).orderBy("subject").collect()
     assert [(r.subject, r.object, r.confidence) for r in edges] == [("a", "b", 0.25), ("e", "f", 0.25)]
     assert edges[0].evidence == "cluster 0 signature=['red', 'big']"

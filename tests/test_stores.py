@@ -32,6 +32,19 @@ def test_label_log_takes_the_last_line(spark, tmp_path):
     assert {r.key: r.label for r in stores.read_label_log(spark, log).collect()} == {"a": "Y", "b": "Z"}
 
 
+def test_label_log_compaction(spark, tmp_path):
+    from relata.schemas import LABELS
+
+    path = str(tmp_path / "labels")
+    row = lambda key, label: (key, label, "oracle", "a", "b", "P", "P", "", "none", 0.0)
+    for x in ("X", "Y"):
+        stores.append_label_log(spark.createDataFrame([row("k", x)], LABELS).coalesce(1), path)
+    kept = spark.createDataFrame([row("k", "Y"), row("l", "Z")], LABELS)
+    stores.compact_label_log(kept, path)
+    assert {r.key: r.label for r in stores.read_label_log(spark, path).collect()} == {"k": "Y", "l": "Z"}
+    assert spark.read.text(path).count() == 2
+
+
 @pytest.mark.parametrize("kept", [False, True])
 def test_path_store(spark, tmp_path, kept):
     s = stores.PathStore(spark, str(tmp_path / "store") if kept else None, compact_every=2)
