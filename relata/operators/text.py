@@ -94,13 +94,15 @@ def concepts(ments: DataFrame, chunks: DataFrame, cfg: Config = DEFAULT) -> Data
 
 def antecedents(toks: DataFrame, ments: DataFrame) -> DataFrame:
     """(doc_id, sent_id, i, idx, text, antecedent) of pronouns: he and she to the last person, it to the last other entity, they to
-    either; entities count from the token after them on. One window over each document's tokens."""
-    inside = ments.where(F.col("label").isin(*COREF_LABELS)).select("doc_id", "sent_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"), F.col("text").alias("_e"), (F.col("label") == "PERSON").alias("_person"))
-    t = toks.select("doc_id", "sent_id", "i", "idx", "text").join(inside, ["doc_id", "sent_id", "i"], "left")
-    w = Window.partitionBy("doc_id").orderBy("sent_id", "i").rowsBetween(Window.unboundedPreceding, -1)
+    either; entities count from the token after them on. One window over each document's pronouns and entity tokens."""
+    inside = ments.where(F.col("label").isin(*COREF_LABELS)).select("doc_id", "sent_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"), F.lit(1).alias("_kind"), F.col("text").alias("_e"), (F.col("label") == "PERSON").alias("_person"))
+    said = toks.where(F.lower("text").isin(*T.PRONOUNS)).select("doc_id", "sent_id", "i", F.lit(0).alias("_kind"), "idx", "text")
+    # only pronouns and entity tokens meet in the window; at one place the pronoun is asked first
+    t = said.unionByName(inside, allowMissingColumns=True)
+    w = Window.partitionBy("doc_id").orderBy("sent_id", "i", "_kind").rowsBetween(Window.unboundedPreceding, -1)
     person = F.last(F.when(F.col("_person"), F.col("_e")), ignorenulls=True).over(w)
     other = F.last(F.when(~F.col("_person"), F.col("_e")), ignorenulls=True).over(w)
-    t = t.withColumns({"_p": person, "_o": other, "_w": F.lower("text")}).where(F.col("_w").isin(*T.PRONOUNS))
+    t = t.withColumns({"_p": person, "_o": other, "_w": F.lower("text")}).where("_kind = 0")
     who = F.when(F.col("_w").isin(*T.PERSONAL), F.col("_p")).when(F.col("_w").isin(*T.IMPERSONAL), F.col("_o")).otherwise(F.coalesce("_p", "_o"))
     return t.withColumn("antecedent", who).where("antecedent is not null").select("doc_id", "sent_id", "i", "idx", "text", "antecedent")
 
@@ -178,6 +180,12 @@ def ancestors(toks: Column, start: Column, most: int) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.lit(most)), F.array(start), lambda c, _: step(c))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row. (The optimizer would otherwise copy their expressions into every later use and
+    filter; it doesn't look into a generator.)"""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")).select("*", "_once.*").drop("_once")
+
+
 def proposition_candidates(sentences: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per mention pair whose heads are joined within the length limit.
 
@@ -188,18 +196,18 @@ def proposition_candidates(sentences: DataFrame, cfg: Config = DEFAULT) -> DataF
     most = cfg.max_path_len + 2
     p = sentences.select("doc_id", "sent_id", "sentence", "tokens", F.posexplode(_pairs(F.col("mentions"), lambda g: g <= cfg.max_entity_token_distance)).alias("pair_idx", "_p"))
     p = p.select("*", F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).drop("_p")
-    p = p.withColumns({"_ca": ancestors(F.col("tokens"), F.col("a.root"), most), "_cb": ancestors(F.col("tokens"), F.col("b.root"), most)})
+    p = _once(p, _ca=ancestors(F.col("tokens"), F.col("a.root"), most), _cb=ancestors(F.col("tokens"), F.col("b.root"), most))
     # array_intersect keeps the order of its first list: b's nearest common ancestor
-    p = p.withColumn("_lca", F.get(F.array_intersect("_cb", "_ca"), F.lit(0))).where("_lca is not null")
-    p = p.withColumns({"_ka": F.array_position("_ca", F.col("_lca")).cast("int"), "_kb": F.array_position("_cb", F.col("_lca")).cast("int")}).where(F.col("_ka") + F.col("_kb") - 1 <= most)
+    p = _once(p, _lca=F.get(F.array_intersect("_cb", "_ca"), F.lit(0))).where("_lca is not null")
+    p = _once(p, _ka=F.array_position("_ca", F.col("_lca")).cast("int"), _kb=F.array_position("_cb", F.col("_lca")).cast("int")).where(F.col("_ka") + F.col("_kb") - 1 <= most)
     up, down = F.slice("_ca", 1, F.col("_ka")), F.slice("_cb", 1, F.col("_kb") - 1)
-    p = p.withColumns({"_path": F.concat(up, F.reverse(down)), "_up": F.slice("_ca", 1, F.col("_ka") - 1), "_down": down})
+    p = _once(p, _path=F.concat(up, F.reverse(down)), _up=F.slice("_ca", 1, F.col("_ka") - 1), _down=down)
     tok = lambda i: F.get(F.col("tokens"), i)
     content = F.filter("_path", lambda i: (i != F.col("a.root")) & (i != F.col("b.root")) & tok(i)["pos"].isin(*cfg.path_content_pos))
     lemmas = F.transform(content, lambda i: F.lower(tok(i)["lemma"]))
     negated = F.exists("tokens", lambda t: (t["dep"] == "neg") & (F.array_contains("_path", t["i"]) | (F.array_contains("_path", t["head"]) & (t["head"] != t["i"]))))
     deps = lambda c: F.transform(c, lambda i: tok(i)["dep"])
-    p = p.withColumns({"lemmas": lemmas, "negated": negated, "_da": deps("_up"), "_db": deps("_down")})
+    p = _once(p, lemmas=lemmas, negated=negated, _da=deps("_up"), _db=deps("_down"))
     has = lambda c, labels: F.arrays_overlap(c, F.array(*map(F.lit, labels)))
     a, b = F.col("_da"), F.col("_db")
     first = (

@@ -15,6 +15,7 @@ from relata.operators import active, cluster, dirt, induce, kg, labels, metrics,
 from relata.operators import text as X
 from relata.sources import tables as V
 from relata.sources.annotate import shape_sentences
+from relata.sources.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,11 +31,16 @@ def _r6(*names: str) -> list:
 
 
 def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return pathstats.slot_counts(V.trade_propositions(spark, d))
+    """Slot counts, written once for the steps that read them."""
+    return stored(pathstats.slot_counts(V.trade_propositions(spark, d)), "counts")
+
+
+def _dist(counts: DataFrame) -> DataFrame:
+    return stored(dirt.path_distance(dirt.slot_similarity(dirt.slot_pmi(counts))), "distances")
 
 
 def _distances(spark: SparkSession, d: str) -> DataFrame:
-    return dirt.path_distance(dirt.slot_similarity(dirt.slot_pmi(_counts(spark, d))))
+    return _dist(_counts(spark, d))
 
 
 def _blocks(counts: DataFrame, cfg=DEFAULT) -> DataFrame:
@@ -51,7 +57,7 @@ def _by_first_word(counts: DataFrame) -> DataFrame:
 
 @query
 def slot_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _counts(spark, d)
+    return pathstats.slot_counts(V.trade_propositions(spark, d))
 
 
 @query
@@ -138,14 +144,14 @@ def top_similar_paths(spark: SparkSession, d: str) -> DataFrame:
 @query
 def block_gap_threshold(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
-    block = _blocks(counts)
-    return dirt.block_thresholds(block, _distances(spark, d)).select("sx", "sy", "size", *_r6("threshold"))
+    block = stored(_blocks(counts), "blocks")
+    return dirt.block_thresholds(block, _dist(counts)).select("sx", "sy", "size", *_r6("threshold"))
 
 
 @query
 def ema_threshold(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
-    now = dirt.block_thresholds(_blocks(counts), _distances(spark, d))
+    now = stored(dirt.block_thresholds(stored(_blocks(counts), "blocks"), _dist(counts)), "thresholds")
     before = now.where("size >= 3").select("sx", "sy", F.lit(0.5).alias("threshold"))
     return dirt.ema_threshold(before, now).select("sx", "sy", *_r6("threshold"))
 
@@ -159,7 +165,7 @@ def type_smoothing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
-    block, dist = _blocks(counts), _distances(spark, d)
+    block, dist = stored(_blocks(counts), "blocks"), _dist(counts)
     # the two strongest paths of each block stand for its clusters
     med = block.where("place <= 2").select(F.upper("path").alias("label"), F.col("path").alias("medoid"), "sx", "sy")
     near = dirt.nearest_medoid(block.select("path", "sx", "sy", F.lit(0.6).alias("threshold")), med, dist.withColumn("distance", F.round("distance", 6)))
@@ -171,19 +177,22 @@ def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cluster_cohesion(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.cohesion(_by_first_word(_counts(spark, d)), _distances(spark, d)).select("cluster", "size", *_r6("cohesion"))
+    counts = _counts(spark, d)
+    return cluster.cohesion(_by_first_word(counts), _dist(counts)).select("cluster", "size", *_r6("cohesion"))
 
 
 @query
 def cluster_medoid(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.medoids(_by_first_word(_counts(spark, d)), _distances(spark, d))
+    counts = _counts(spark, d)
+    return cluster.medoids(_by_first_word(counts), _dist(counts))
 
 
 @query
 def merge_reference(spark: SparkSession, d: str) -> DataFrame:
-    c = _by_first_word(_counts(spark, d)).withColumns({"sx": F.lit("*"), "sy": F.lit("*")}).withColumn("seq", F.col("cluster"))
+    counts = _counts(spark, d)
+    c = _by_first_word(counts).withColumns({"sx": F.lit("*"), "sy": F.lit("*")}).withColumn("seq", F.col("cluster"))
     size = c.groupBy("sx", "sy").agg(F.count("*").alias("size"))
-    return cluster.merge_reference(c, _distances(spark, d), size).select(*_r6("reference"))
+    return cluster.merge_reference(c, _dist(counts), size).select(*_r6("reference"))
 
 
 @query
@@ -219,19 +228,19 @@ def _nested_labels(counts: DataFrame) -> DataFrame:
 
 @query
 def relation_schema(spark: SparkSession, d: str) -> DataFrame:
-    counts = pathstats.slot_counts(V.sparse_propositions(spark, d))
+    counts = stored(pathstats.slot_counts(V.sparse_propositions(spark, d)), "counts")
     return schema.relation_schema(_nested_labels(counts), counts)
 
 
 @query
 def subsumption_parent(spark: SparkSession, d: str) -> DataFrame:
-    counts = pathstats.slot_counts(V.sparse_propositions(spark, d))
+    counts = stored(pathstats.slot_counts(V.sparse_propositions(spark, d)), "counts")
     return schema.parents(_nested_labels(counts), counts).select("label", "parent", "containment")
 
 
 @query
 def hierarchy_depth(spark: SparkSession, d: str) -> DataFrame:
-    counts = pathstats.slot_counts(V.sparse_propositions(spark, d))
+    counts = stored(pathstats.slot_counts(V.sparse_propositions(spark, d)), "counts")
     return schema.with_depth(schema.parents(_nested_labels(counts), counts)).select("label", F.col("depth").cast("long").alias("depth"))
 
 
@@ -243,7 +252,7 @@ def raw_confidence(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
     support = pathstats.support_of(counts)
     c = _by_first_word(counts)
-    coh = c.join(cluster.cohesion(c, _distances(spark, d)), "cluster").select("path", F.col("cluster").alias("label"), F.round("cohesion", 6).alias("cohesion"))
+    coh = c.join(cluster.cohesion(c, _dist(counts)), "cluster").select("path", F.col("cluster").alias("label"), F.round("cohesion", 6).alias("cohesion"))
     median = pathstats.median_support(support).first()["median"]
     return labels.with_raw_confidence(support.select("path"), support, coh, median).select("path", "raw")
 
@@ -471,9 +480,10 @@ def concepts(spark: SparkSession, d: str) -> DataFrame:
     """Entities, and pairs of adjacent long words as noun chunks."""
     s = _sentences(spark, d)
     m = X.mentions(s).withColumn("canonical", T.normalize_surface(F.col("text")))
-    next_ = F.get("tokens", F.col("_t.i") + 1)["text"]
-    c = s.select("doc_id", "sent_id", "tokens", F.explode("tokens").alias("_t")).where((F.char_length("_t.text") >= 7) & (F.char_length(next_) >= 7))
-    c = c.select("doc_id", "sent_id", F.col("_t.i").alias("start"), F.concat_ws(" ", "_t.text", next_).alias("text")).withColumn("lemma", F.col("text"))
+    after = F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0)))
+    twos = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), after, lambda a, b: F.struct(a["i"].alias("start"), a["text"].alias("a"), b["text"].alias("b")))
+    long = F.filter(twos, lambda x: (F.char_length(x["a"]) >= 7) & (F.char_length(x["b"]) >= 7))
+    c = s.select("doc_id", "sent_id", F.inline(long)).select("doc_id", "sent_id", "start", F.concat_ws(" ", "a", "b").alias("text")).withColumn("lemma", F.col("text"))
     return X.concepts(m, c).select("doc_id", "concept", "type", "surface", "confidence", F.array_join("sources", ",").alias("sources"))
 
 
