@@ -393,7 +393,7 @@ def pair_partition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _english(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    return V.spread(V.table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores (a small single file) dealt over all cores; larger ones stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def trade_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, arg1, type1, arg2, type2, l_orderkey, l_linenumber): part names as paths between the nations of supplier and customer."""
     t = lambda n: table(spark, sf_dir, n)
