@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relata.config import DEFAULT
@@ -405,6 +405,12 @@ def normalize_surface(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "documents").select("doc_id", F.sha1(T.normalize_surface(F.substring_index("text", "\n", 1)).cast("binary")).alias("digest"))
 
 
+@query
+def normalize_surface_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As normalize_surface, whose SQL takes first lines only, but of whole texts."""
+    return V.table(spark, d, "documents").select("doc_id", F.sha1(T.normalize_surface(F.col("text")).cast("binary")).alias("digest"))
+
+
 def _board_texts(spark: SparkSession, d: str) -> DataFrame:
     n = V.table(spark, d, "nation").withColumn("n_name", F.translate("n_name", "_0123456789", "XABCDEFGHIJ"))
     name = F.initcap(F.lower("n_name"))
@@ -513,14 +519,22 @@ def heuristic_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("doc_id", "seq", F.round(u, 6).alias("uncertainty"))
 
 
-@query
-def margin_uncertainty(spark: SparkSession, d: str) -> DataFrame:
-    p = V.table(spark, d, "embeddings")
-    e = F.slice("embedding", 1, 4)
+def _margins(p: DataFrame, e: Column) -> DataFrame:
     total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return p.select("vec_id", F.round(S.margin_uncertainty(F.transform(e, lambda x: x.cast("double") * x.cast("double") / total)), 6).alias("uncertainty"))
 
 
+@query
+def margin_uncertainty(spark: SparkSession, d: str) -> DataFrame:
+    return _margins(V.table(spark, d, "embeddings"), F.slice("embedding", 1, 4))
+
+
+@query
+def margin_uncertainty_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As margin_uncertainty, whose SQL takes four components only, but over whole vectors."""
+    return _margins(V.table(spark, d, "embeddings"), F.col("embedding"))
+
+
 @query
 def query_pool_antijoin(spark: SparkSession, d: str) -> DataFrame:
     pairs = V.event_labels(spark, d).select("entity1", "entity2", F.lit("").alias("context"), "seq")
