@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from relata.llm.common import load, order_key, stored
 from relata.llm.decontam import contamination
-from relata.llm.jaccard import similar
+from relata.llm.jaccard import similar, text_hash
 from relata.llm.linededup import dedup_lines
 from relata.llm.packing import pack
 from relata.llm.quality import score
@@ -37,10 +37,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row stays of each class: the smallest id's; of equal ids in a class, and repeated rows, the smallest text hash's first."""
-    classes = similar(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).distinct()
-    left = docs.withColumn("_k", order_key("doc_id")).join(classes, F.col("_k") == F.col("_drop"), "left_anti")
-    return left.dropDuplicates(["_k", "text"]).select(*docs.columns)  # by the join's own key: no second shuffle
+    """One row stays of each class: the smallest id's, of equal ids the smallest text hash's. A null id counts as the smallest.
+
+    Rows are told apart by id and text hash; a text without words is a class of its own.
+    """
+    classes = similar(docs, keep_hash=True)
+    alone = F.col("root").isNull()
+    first = classes.groupBy("root", F.when(alone, F.col("doc_id")).alias("_d"), F.when(alone, F.col("text_hash")).alias("_h")).agg(F.min(F.struct("doc_id", "text_hash")).alias("_first")).select(F.col("_first.doc_id").alias("_k"), F.col("_first.text_hash").alias("_t"))
+    rows = docs.withColumns({"_k": order_key("doc_id"), "_t": text_hash("text")})
+    return rows.join(first, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]).select(*docs.columns)  # by the join's own keys: no second shuffle
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm.common import forget, lean, load, mix, order_key, slices, stored, utf8_parts, word_hashes, word_spans
@@ -94,8 +94,13 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """(_d, _set, _n, _bands) of each document; _set and _bands are null where there are no words."""
+def text_hash(text: str) -> Column:
+    """Tells rows of one id apart; null and '' differ."""
+    return F.xxhash64(F.col(text))
+
+
+def signatures(docs: DataFrame, text: str, n: int, bands: int, rows: int, keep_hash: bool = False) -> DataFrame:
+    """(_d, _set, _n, _bands) of each document, and _t, the text's hash, if asked; _set and _bands are null where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +113,10 @@ def signatures(docs: DataFrame, text: str, n: int, bands: int, rows: int) -> Dat
                     hashes = band_hashes([sets[i] for i in full], bands, rows)
                     for k, i in enumerate(full):
                         keys[i], marks[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), hashes[k]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["_d", "_set", "_n", "_bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64())), *part.columns[2:]], names=["_d", "_set", "_n", "_bands", *part.schema.names[2:]])
 
-    d = docs.select(order_key("doc_id").alias("_d"), F.col(text).alias("_text"))
-    return d.mapInArrow(lean(run), "_d long, _set binary, _n long, _bands array<long>")
+    d = docs.select(order_key("doc_id").alias("_d"), F.col(text).alias("_text"), *([text_hash(text).alias("_t")] if keep_hash else []))
+    return d.mapInArrow(lean(run), "_d long, _set binary, _n long, _bands array<long>" + ", _t long" * keep_hash)
 
 
 def _verified(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, share: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +154,15 @@ def _verified(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, shar
         root = new_root
 
 
-def similar(docs: DataFrame, text: str = "text", n: int = N, share: tuple[int, int] = THRESHOLD, recall: float = 0.999) -> DataFrame:
-    """One row (doc_id, class_id, copy_id, n_links) per document; see the module."""
+def similar(docs: DataFrame, text: str = "text", n: int = N, share: tuple[int, int] = THRESHOLD, recall: float = 0.999, keep_hash: bool = False) -> DataFrame:
+    """One row (doc_id, class_id, copy_id, n_links) per document; see the module.
+
+    keep_hash: also text_hash and root, the number of the class (null without words). Where ids repeat, classes of one
+    class_id differ in it.
+    """
     spark = docs.sparkSession
     bands, rows = choose_bands(share[0] / share[1], recall)
-    sig = stored(signatures(docs, text, n, bands, rows), "signatures")
+    sig = stored(signatures(docs, text, n, bands, rows, keep_hash), "signatures")
     with_words = sig.where(F.col("_set").isNotNull())
     classes = with_words.groupBy("_set").agg(F.min("_d").alias("rep"), F.count("*").alias("size"), F.first("_n").alias("n"), F.first("_bands").alias("bands"))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
@@ -200,10 +209,10 @@ def similar(docs: DataFrame, text: str = "text", n: int = N, share: tuple[int, i
     linked = components(checked.where("u <> v").select("u", "v"))
     named = classes.join(linked.withColumnRenamed("vertex", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     low = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    out = named.join(low, "root").join(counts, "c", "left").select("_set", "class_id", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    out = named.join(low, "root").join(counts, "c", "left").select("_set", "class_id", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), *(["root"] if keep_hash else []))
     forget(groups)
-    rows_out = sig.select("_d", "_set").join(out, "_set", "left")
-    return rows_out.select(F.col("_d").alias("doc_id"), F.coalesce("class_id", "_d").alias("class_id"), F.coalesce("copy_id", "_d").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows_out = sig.drop("_n", "_bands").join(out, "_set", "left")
+    return rows_out.select(F.col("_d").alias("doc_id"), F.coalesce("class_id", "_d").alias("class_id"), F.coalesce("copy_id", "_d").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *([F.col("_t").alias("text_hash"), "root"] if keep_hash else []))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,19 @@
+"""Cases in which rows or parts of texts were lost, or copies stayed."""
+
+import corpus_pipeline as P
+from conftest import SF
+
+
+def _words(a, b):
+    return " ".join(f"w{i}" for i in range(a, b))
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    a, b, c, d = _words(0, 60), _words(100, 160), _words(200, 260), _words(300, 360)
+    rows = [(1, a), (5, a + " more"), (5, b), (None, c), (None, c + " x"), (None, c + " y"), (None, d), (7, d + " z"), (8, None), (8, ""), (8, d + " q"), (8, ""), (9, "\n")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in P.near_duplicates(spark, df, SF).collect()]
+    of_c = [x for x in got if x[1] and x[1].startswith(c)]
+    assert len(of_c) == 1 and of_c[0] in rows
+    assert sorted(map(str, set(got) - set(of_c))) == sorted(map(str, [(1, a), (5, b), (None, d), (8, None), (8, ""), (9, "\n")]))
+    assert len(got) == 7
