@@ -422,6 +422,12 @@ def acronym_gloss(spark: SparkSession, d: str) -> DataFrame:
     return X.glosses(_board_texts(spark, d))
 
 
+@query
+def acronym_gloss_documents(spark: SparkSession, d: str) -> DataFrame:
+    """As acronym_gloss, whose SQL is over sentences made from nation names, but over all documents."""
+    return X.glosses(V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+
+
 def _name_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Two mentions per customer: segment and nation as a name, and its initials."""
     c = V.table(spark, d, "customer").join(V.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -656,8 +662,8 @@ def link_prediction(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def complete_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Relations of the whole pipeline over the benchmark texts, as documents."""
+    """Relations of the whole pipeline over the whole texts of all documents."""
     from relata.plans.learner import Learner
 
-    docs = V.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    docs = V.table(spark, d, "documents").select("doc_id", "text")
     return Learner.for_evaluation(spark).run(docs)["relations"].select("doc_id", "subject", "relation", "object", "confidence", "source")
