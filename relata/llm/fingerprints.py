@@ -10,7 +10,8 @@ lower edge, whatever the corpus size; it is checked before the broadcast.
 
 Defined results: null text is empty; a text without lexicon terms is fingerprinted by its own hash
 ("t" + 16 hex digits), so equal texts always have equal fingerprints; two different fingerprints
-share nothing in that case (likeness 0). Equal ids are ordered by text. Extra columns are ignored.
+share nothing in that case (likeness 0). A text with fewer than ``FEW`` terms in the band (in a large group of copies the
+terms of the group are above it) also uses the terms above the band; two texts are compared in that way if either needs it. Equal ids are ordered by text. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ RATES = (16, 64, 256, 1024)  # a subset holds one lexicon term in so many
 SUBSETS = 16  # of each rate
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_LEXICON = 2_000_000
+FEW = 8  # terms in the band
 
 
 def _terms(text: Column) -> Column:
@@ -31,7 +33,7 @@ def _terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", df_low: float = 0.001, df_high: float = 0.05) -> DataFrame:
-    """Terms (as 64-bit hashes) in the document-frequency band, with the random subsets that hold each.
+    """Terms (as 64-bit hashes) in the document-frequency band or above it (_over), with the random subsets that hold each.
 
     df_low / df_high are shares of all documents (idf between ln(1/df_high) and ln(1/df_low)).
     """
@@ -39,12 +41,12 @@ def lexicon(docs: DataFrame, text: str = "text", df_low: float = 0.001, df_high:
     low, high = max(2, df_low * n), max(2, df_high * n)
     t = docs.select(F.explode(_terms(F.coalesce(F.col(text), F.lit("")))).alias("_term"))
     df = t.where("_term <> ''").select(F.xxhash64("_term").alias("_h")).groupBy("_h").agg(F.count("*").alias("_df"))
-    lex = df.where(F.col("_df").between(low, high)).select("_h")
+    lex = df.where(F.col("_df") >= low).select("_h", (F.col("_df") > high).alias("_over"))
     draws = []
     for i, rate in enumerate(RATES):
         cell = F.pmod(F.xxhash64(F.lit(i + 1), F.col("_h")), F.lit(rate))
         draws.append(F.when(cell < SUBSETS, cell.cast("int") + i * SUBSETS))
-    return lex.select("_h", F.explode(F.array_compact(F.array(*draws))).alias("_subset"))
+    return lex.select("_h", "_over", F.explode(F.array_compact(F.array(*draws))).alias("_subset"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -60,11 +62,11 @@ def _printed(codes: Column, own: Column) -> Column:
 
 def _set_hash(h: Column) -> Column:
     """Order-free hash of distinct terms: sum of their mixed hashes, modulo 2^32 (what sorting them first would serve)."""
-    return F.sum(F.xxhash64(F.lit(77), h).bitwiseAND(F.lit((1 << 40) - 1)))
+    return F.sum(F.when(h.isNotNull(), F.xxhash64(F.lit(77), h).bitwiseAND(F.lit((1 << 40) - 1))))
 
 
 def fingerprint_versions(rows: DataFrame, versions: list[str], keys: list[str], lex: DataFrame) -> DataFrame:
-    """Subset codes of several text columns of each row. ``keys`` identify a row and begin with its partition key.
+    """Subset codes of several text columns of each row, of terms in the band (_c; _k of them) and of all (_all). ``keys`` identify a row and begin with its partition key.
 
     The lexicon is broadcast after its size was checked; the exploded terms never leave their task.
     """
@@ -76,9 +78,9 @@ def fingerprint_versions(rows: DataFrame, versions: list[str], keys: list[str],
     t = t.select(*keys, F.col("_x.v").alias("_v"), F.explode(_terms(F.col("_x.t"))).alias("_term"))
     t = t.withColumn("_h", F.xxhash64("_term")).drop("_term")
     hit = t.join(lex, "_h")
-    a = hit.groupBy(*keys, "_v", "_subset").agg(_set_hash(F.col("_h")).alias("_s"))
-    code = F.shiftleft(F.col("_subset").cast("long"), 32).bitwiseOR(F.col("_s").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return a.select(*keys, "_v", code.alias("_c"))
+    a = hit.groupBy(*keys, "_v", "_subset").agg(_set_hash(F.when(~F.col("_over"), F.col("_h"))).alias("_s"), _set_hash(F.col("_h")).alias("_sa"), F.count(F.when(~F.col("_over") & F.col("_subset").between(0, RATES[0] - 1), 1)).alias("_k"))
+    code = lambda s: F.shiftleft(F.col("_subset").cast("long"), 32).bitwiseOR(F.col(s).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return a.select(*keys, "_v", code("_s").alias("_c"), code("_sa").alias("_all"), "_k")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,17 +112,20 @@ def imatch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", df_low:
     rows = rows.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2("_edited", 256), "_own": F.xxhash64("text"), "_own_edited": F.xxhash64("_edited")})
     keys = ["_bucket", "_rn", "_extra", "doc_id", "n_chars", "edited_sha256", "_own", "_own_edited"]
     # a row of its own for each document, so that one without lexicon terms stays: the empty term is in the lexicon as subset -1
-    mark = lex.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("_h"), F.lit(-1).alias("_subset"))
+    mark = lex.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("_h"), F.lit(False).alias("_over"), F.lit(-1).alias("_subset"))
     rows = rows.withColumns({"text": F.concat(F.lit(" "), "text"), "_edited": F.concat(F.lit(" "), "_edited")})
     codes = fingerprint_versions(rows, ["text", "_edited"], keys, lex.unionByName(mark))
-    pick = lambda v: F.sort_array(F.collect_list(F.when((F.col("_v") == v) & (F.col("_c") >= 0), F.col("_c"))))
-    fp = codes.groupBy(*keys).agg(pick(0).alias("_a"), pick(1).alias("_b"))
+    pick = lambda v, c: F.sort_array(F.collect_list(F.when((F.col("_v") == v) & (F.col(c) >= 0), F.col(c))))
+    few = lambda v: F.sum(F.when(F.col("_v") == v, F.col("_k")).otherwise(0)) < FEW
+    of = lambda v: F.struct(few(v).alias("few"), pick(v, "_c").alias("band"), pick(v, "_all").alias("all"))
+    fp = codes.groupBy(*keys).agg(of(0).alias("_a"), of(1).alias("_b"))
     w = Window.partitionBy("_bucket").orderBy("_rn")
     fp = fp.withColumns({"_n": F.lead("_a").over(w), "_next_own": F.lead("_own").over(w)}).where("_extra = 0")
-    near = lambda x, own_x, y, own_y: F.when((F.size(x) == 0) & (F.size(y) == 0), (own_x == own_y).cast("double")).otherwise(likeness(x, y))
+    near = lambda x, own_x, y, own_y: F.when((F.size(x["all"]) == 0) & (F.size(y["all"]) == 0), (own_x == own_y).cast("double")).when(x["few"] | y["few"], likeness(x["all"], y["all"])).otherwise(likeness(x["band"], y["band"]))
+    shown = lambda x: F.when(x["few"], x["all"]).otherwise(x["band"])
     return fp.select(
         "doc_id", "n_chars", "edited_sha256",
-        _printed(F.col("_a"), F.col("_own")).alias("fingerprint"), _printed(F.col("_b"), F.col("_own_edited")).alias("edited_fingerprint"),
+        _printed(shown(F.col("_a")), F.col("_own")).alias("fingerprint"), _printed(shown(F.col("_b")), F.col("_own_edited")).alias("edited_fingerprint"),
         near(F.col("_a"), F.col("_own"), F.col("_b"), F.col("_own_edited")).alias("near_edited"),
         near(F.col("_a"), F.col("_own"), F.col("_n"), F.col("_next_own")).alias("near_next"),
     )

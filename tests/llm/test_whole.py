@@ -3,6 +3,9 @@
 import corpus_pipeline as P
 from conftest import SF
 
+from relata.llm import decontam, fingerprints, htmltext, warc
+from relata.llm.common import fresh_dir
+
 
 def _words(a, b):
     return " ".join(f"w{i}" for i in range(a, b))
@@ -17,3 +20,21 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert len(of_c) == 1 and of_c[0] in rows
     assert sorted(map(str, set(got) - set(of_c))) == sorted(map(str, [(1, a), (5, b), (None, d), (8, None), (8, ""), (9, "\n")]))
     assert len(got) == 7
+
+
+def test_near_copies_of_a_large_group_have_like_fingerprints(spark):
+    import random
+
+    r = random.Random(5)
+    base = [f"g{i}" for i in range(200)]
+    rows = []
+    for i in range(40):  # a third of 120 rows
+        w = list(base)
+        w[r.randrange(200)] = f"v{i % 3}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"u{r.randrange(4000)}" for _ in range(200))) for i in range(80)]
+    out = {x.doc_id: x for x in fingerprints.imatch(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(out[i].fingerprint.startswith("t") for i in range(40))
+    near = sorted(out[i].near_next for i in range(1, 40))
+    assert near[0] > 0.5
+    assert min(out[i].near_edited for i in range(40)) > 0
