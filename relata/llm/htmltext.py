@@ -7,7 +7,8 @@ role=main (else the whole body) is the page's article.
 
 The contract wants the article whole, so a ratio alone cannot decide on single short lines ("Be." is a paragraph). Hence
 inside a marked article every line stays that isn't boilerplate, and in an unmarked page all such lines from the first
-to the last content line, with the headings right before. Boilerplate is what stands in elements or roles made for it
+to the last content line (here by the logarithm of the ratio, so that one very long paragraph doesn't outweigh the others),
+those beside them in the innermost element that holds all content lines, and the headings right before. Boilerplate is what stands in elements or roles made for it
 (nav, footer, aside, form, ...) or in elements whose class or id names it (ad, sidebar, cookie, comments, ...).
 
 Defined results: null or empty html gives an empty text; unclosed tags, stray end tags and broken declarations never
@@ -45,11 +46,20 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORDS = re.compile(r"[a-z]+")
 
 
+class _Box:
+    """A block element, with its depth and the one around it; the page's own has none."""
+
+    __slots__ = ("depth", "up")
+
+    def __init__(self, up: _Box | None):
+        self.up, self.depth = up, up.depth + 1 if up else 0
+
+
 class _Line:
-    __slots__ = ("text", "tags", "chrome", "home", "heading")
+    __slots__ = ("text", "tags", "chrome", "home", "heading", "box")
 
-    def __init__(self, text: str, tags: int, chrome: bool, home: int, heading: bool):
-        self.text, self.tags, self.chrome, self.home, self.heading = text, tags, chrome, home, heading
+    def __init__(self, text: str, tags: int, chrome: bool, home: int, heading: bool, box: _Box):
+        self.text, self.tags, self.chrome, self.home, self.heading, self.box = text, tags, chrome, home, heading, box
 
 
 class Events(HTMLParser):
@@ -58,7 +68,8 @@ class Events(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, in boilerplate, silent, article number
+        self.page = _Box(None)
+        self.stack: list[tuple[str, bool, bool, int, _Box]] = []  # tag, in boilerplate, silent, article number, block
         self.articles = 0
         self.parts: list[str] = []
         self.tags = 0
@@ -68,8 +79,8 @@ class Events(HTMLParser):
             text = " ".join("".join(self.parts).split())
             self.parts.clear()
             if text:
-                tag, chrome, _, home = self.stack[-1] if self.stack else ("", False, False, 0)
-                self.lines.append(_Line(text, max(self.tags, 1), chrome, home, any(t in HEADING for t, *_ in self.stack[-6:])))
+                tag, chrome, _, home, box = self.stack[-1] if self.stack else ("", False, False, 0, self.page)
+                self.lines.append(_Line(text, max(self.tags, 1), chrome, home, any(t in HEADING for t, *_ in self.stack[-6:]), box))
                 self.tags = 0
 
     def _opens_chrome(self, tag: str, attrs: list[tuple[str, str | None]], home: int) -> bool:
@@ -102,12 +113,12 @@ class Events(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        _, chrome, silent, home = self.stack[-1] if self.stack else ("", False, False, 0)
+        _, chrome, silent, home, box = self.stack[-1] if self.stack else ("", False, False, 0, self.page)
         chrome = chrome or self._opens_chrome(tag, attrs, home)
         if not chrome and not home and (tag in ("article", "main") or ("role", "main") in attrs):
             self.articles += 1
             home = self.articles
-        self.stack.append((tag, chrome, silent or tag in SILENT, home))
+        self.stack.append((tag, chrome, silent or tag in SILENT, home, _Box(box) if tag in BLOCK else box))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -186,6 +197,15 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _shared(a: _Box, b: _Box) -> _Box:
+    """The innermost element that holds both."""
+    while a is not b:
+        if a.depth < b.depth:
+            a, b = b, a
+        a = a.up
+    return a
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = parse(html) if html else []
     if all(x.chrome for x in lines):
@@ -200,8 +220,18 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if weight:
         home = max(weight, key=lambda k: (weight[k], -k))
         return "\n".join(x.text for x in lines if x.home == home and not x.chrome)
-    at = [i for i, c in enumerate(content) if c] or [i for i, x in enumerate(lines) if not x.chrome]
+    level = smoothed([0.0 if x.chrome else math.log1p(len(x.text) / x.tags) for x in lines], sigma)
+    cut = threshold(level)
+    at = [i for i, (x, y) in enumerate(zip(lines, level)) if not x.chrome and y >= cut] or [i for i, x in enumerate(lines) if not x.chrome]
     first, last = at[0], at[-1]
+    home = lines[first].box.up or lines[first].box
+    for i in at[1:]:
+        home = _shared(home, lines[i].box.up or lines[i].box)
+    beside = lambda x: x.chrome or _shared(home, x.box) is home
+    while first and beside(lines[first - 1]):
+        first -= 1
+    while last + 1 < len(lines) and beside(lines[last + 1]):
+        last += 1
     while first and not lines[first - 1].chrome and lines[first - 1].heading:
         first -= 1
     return "\n".join(x.text for x in lines[first : last + 1] if not x.chrome)

@@ -1,10 +1,9 @@
 """Cases in which rows or parts of texts were lost, or copies stayed."""
 
-import corpus_pipeline as P
 from conftest import SF
 
-from relata.llm import decontam, fingerprints, htmltext, warc
-from relata.llm.common import fresh_dir
+import corpus_pipeline as P
+from relata.llm import fingerprints, htmltext
 
 
 def _words(a, b):
@@ -38,3 +37,14 @@ def test_near_copies_of_a_large_group_have_like_fingerprints(spark):
     near = sorted(out[i].near_next for i in range(1, 40))
     assert near[0] > 0.5
     assert min(out[i].near_edited for i in range(40)) > 0
+
+
+def test_one_very_long_paragraph_keeps_the_others():
+    short = [f"{i} " + "s" * 97 for i in range(19)]
+    for at in (0, 10, 19):
+        paragraphs = [*short[:at], "long " * 1000 + "end", *short[at:]]
+        body = "".join(f"<p>{x}</p>" for x in paragraphs)
+        assert htmltext.main_text(f"<body>{body}</body>") == "\n".join(paragraphs)
+        inner = body.replace("<p>5 ", "<div class=ad>buy</div><p>5 ")
+        page = f"<body><nav><p>menu</p></nav><div><a>in</a></div><div><h1>Title</h1>{inner}<ul><li>point</li></ul></div><div>by us</div></body>"
+        assert htmltext.main_text(page) == "\n".join(["Title", *paragraphs, "point"])
