@@ -12,7 +12,8 @@ The tables are broadcast only up to ``most_bytes`` of benchmark text; a larger b
 query set against all rows, in blocks), whose hits are merged per document.
 
 Defined results: null text has no words (n_words 0, not contaminated); an item with no words has no window; rows are kept
-as they come, repeated rows and null ids too; items that occur more than once in the benchmark under one id count once.
+as they come, repeated rows and null ids too; items that occur more than once in the benchmark under one id count once. Items with a null id are searched as all others;
+they count as one item, which the list in items_sha256 leaves out (as SQL does).
 """
 
 from __future__ import annotations
@@ -42,10 +43,14 @@ def _block_hash(h: np.ndarray, m: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _ordered(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is not None, x or ""))
+
+
 class Patterns:
     """Shift table and suffix buckets for the windows of one length."""
 
-    def __init__(self, m: int, words: list[list[bytes]], items: list[list[str]]):
+    def __init__(self, m: int, words: list[list[bytes]], items: list[list[str | None]]):
         self.m, self.items, self.text = m, items, [b" ".join(w) for w in words]
         joined = b" ".join(self.text)
         offs = np.array([0, len(joined)], dtype=np.int64)
@@ -104,9 +109,9 @@ class Patterns:
         return b" ".join(padded[a:b].tobytes() for a, b in zip(starts[p : p + self.m].tolist(), ends[p : p + self.m].tolist())) == self.text[w]
 
 
-def build_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list[Patterns]:
+def build_patterns(items: list[tuple[str | None, str]], window: int = WINDOW) -> list[Patterns]:
     """Tables for (item id, text) pairs: one per window length."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
+    by_length: dict[int, dict[tuple[bytes, ...], set[str | None]]] = {}
     for item, text in items:
         raw = np.frombuffer((text or "").encode(), np.uint8)
         padded, s, e, _ = word_spans(np.array([0, len(raw)], dtype=np.int64), raw)
@@ -114,16 +119,16 @@ def build_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list[P
         m = min(window, len(words))
         for i in range(len(words) - m + 1 if m else 0):
             by_length.setdefault(m, {}).setdefault(tuple(words[i : i + m]), set()).add(item)
-    return [Patterns(m, [list(k) for k in found], [sorted(v) for v in found.values()]) for m, found in sorted(by_length.items())]
+    return [Patterns(m, [list(k) for k in found], [_ordered(v) for v in found.values()]) for m, found in sorted(by_length.items())]
 
 
-def _scan(col: pa.Array, tables: list[Patterns]) -> tuple[np.ndarray, list[np.ndarray], list[list[str]]]:
+def _scan(col: pa.Array, tables: list[Patterns]) -> tuple[np.ndarray, list[np.ndarray], list[list[str | None]]]:
     """Per row: word count, hit word positions (in the row) and items found."""
     offs, data = utf8_parts(col)
     padded, starts, ends, rows = word_spans(offs, data)
     h = word_hashes(padded, starts, ends)
     cover = np.zeros(len(h) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(len(col))]
+    items: list[set[str | None]] = [set() for _ in range(len(col))]
     for t in tables:
         pos, which = t.find(padded, starts, ends, rows, h)
         np.add.at(cover, pos, 1)
@@ -133,14 +138,14 @@ def _scan(col: pa.Array, tables: list[Patterns]) -> tuple[np.ndarray, list[np.nd
             items[r].update(t.items[w])
     hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
     cut = np.searchsorted(hit, rows)
-    return np.diff(rows), [hit[a:b] - lo for a, b, lo in zip(cut[:-1].tolist(), cut[1:].tolist(), rows[:-1].tolist())], [sorted(x) for x in items]
+    return np.diff(rows), [hit[a:b] - lo for a, b, lo in zip(cut[:-1].tolist(), cut[1:].tolist(), rows[:-1].tolist())], [_ordered(x) for x in items]
 
 
 _SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def _digest(items: list[str | None]) -> str:
+    return hashlib.sha256(",".join(x for x in items if x is not None).encode()).hexdigest()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, share: int = 20, most_bytes: int = MOST_BYTES, keep_text: bool = True) -> DataFrame:
@@ -149,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     contaminated: n_hit > 0 and ``share`` * n_hit >= n_words.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("_item"), F.coalesce("text", F.lit("")).alias("_text")).where("_item is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("_item"), F.coalesce("text", F.lit("")).alias("_text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // most_bytes))
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
@@ -178,7 +183,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, text: str, window: int, share:
     keyed = docs.withColumn("_row", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary")))
     found = None
     for b in range(blocks):
-        pairs = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b).collect()]
+        pairs = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64(F.coalesce("_item", "_text")), F.lit(blocks)) == b).collect()]
         tables = spark.sparkContext.broadcast(build_patterns(pairs, window))
 
         def scan(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:

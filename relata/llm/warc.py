@@ -10,8 +10,8 @@ directory, a range read of one block (and of the next ones while keys are equal)
 read of the record.
 
 Defined results: null html is an empty payload; null url has an empty key; pages with equal page_id and url are all found by
-their look-up; identical rows of a response are all responses. A null page_id can't be looked up and raises. Extra
-columns are ignored.
+their look-up; identical rows of a response are all responses. A null page_id is the smallest and has a key of its own; its
+record refers to the largest page_id of its payload, or is a response where that is null too. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -53,19 +53,19 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(labels)) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (u.path or "/") + (f"?{u.query}" if u.query else "")
 
 
-def index_key(url: str | None, page_id: int) -> bytes:
+def index_key(url: str | None, page_id: int | None) -> bytes:
     """Sortable bytes: key, then page id; quoting keeps white space and control characters out of lines."""
-    return quote(surt(url), safe="!$&'()*+,;=:@/?%-._~[]").encode() + b" %020d" % (page_id + 2**63)
+    return quote(surt(url), safe="!$&'()*+,;=:@/?%-._~[]").encode() + (b" -" if page_id is None else b" %020d" % (page_id + 2**63))
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One gzip member. The full payload's digest and length stand in the headers of revisits too."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = http + payload if refers_to is None else http
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_ID}{page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{_ID}{'null' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url or '', safe=chr(33) + '#$&()*+,;=:@/?%-._~[]' + chr(39))}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest}",
         *([] if refers_to is None else [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_ID}{refers_to}>"]), f"Content-Length: {len(body)}",
     ]
@@ -73,7 +73,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + z.flush()
 
 
-def parse_record(member: bytes) -> tuple[int, int, str, str, int | None]:
+def parse_record(member: bytes) -> tuple[int | None, int, str, str, int | None]:
     """(page id, payload bytes, payload digest, type, refers to); a response's digest and length are checked."""
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -84,7 +84,7 @@ def parse_record(member: bytes) -> tuple[int, int, str, str, int | None]:
     digest = named["WARC-Payload-Digest"].removeprefix("sha1:")
     if named["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
         raise ValueError("damaged record")
-    number = lambda x: int(x.strip("<>").removeprefix(_ID))
+    number = lambda x: None if (n := x.strip("<>").removeprefix(_ID)) == "null" else int(n)
     return number(named["WARC-Record-ID"]), size, digest, named["WARC-Type"], number(named["WARC-Refers-To"]) if "WARC-Refers-To" in named else None
 
 
@@ -93,7 +93,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html"))
     p = p.withColumn("_sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
     same = p.where(F.octet_length("html") >= least_bytes).groupBy("_sha").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    p = p.join(same, "_sha", "left").select("page_id", "url", "html", F.when((F.col("_last") != F.col("page_id")) & (F.octet_length("html") >= least_bytes), F.col("_last")).alias("refers_to"))
+    p = p.join(same, "_sha", "left").select("page_id", "url", "html", F.when(~F.col("_last").eqNullSafe(F.col("page_id")) & (F.octet_length("html") >= least_bytes), F.col("_last")).alias("refers_to"))
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, at = None, None, 0

@@ -1,9 +1,12 @@
 """Cases in which rows or parts of texts were lost, or copies stayed."""
 
+import duckdb
 from conftest import SF
 
+import __spark_entry__ as entry
 import corpus_pipeline as P
-from relata.llm import fingerprints, htmltext
+from relata.llm import decontam, fingerprints, htmltext, warc
+from relata.llm.common import fresh_dir
 
 
 def _words(a, b):
@@ -48,3 +51,26 @@ def test_one_very_long_paragraph_keeps_the_others():
         inner = body.replace("<p>5 ", "<div class=ad>buy</div><p>5 ")
         page = f"<body><nav><p>menu</p></nav><div><a>in</a></div><div><h1>Title</h1>{inner}<ul><li>point</li></ul></div><div>by us</div></body>"
         assert htmltext.main_text(page) == "\n".join(["Title", *paragraphs, "point"])
+
+
+def test_warc_null_page_ids(spark):
+    rows = [(None, "http://a.b/", "x"), (1, "http://a.b/", "x"), (None, "http://a.b/", "y"), (None, None, None), (-(2**63), "u", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    folder = fresh_dir(spark, "test-warc")
+    out = warc.look_up(df, warc.build_index(warc.write_archives(df, folder), folder, 1), folder).collect()
+    assert sorted(map(str, ((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in out))) == sorted(map(str, [(None, 1, "revisit", 1), (1, 1, "response", None), (None, 1, "response", None), (None, 0, "response", None), (-(2**63), 1, "response", None)]))
+
+
+def test_items_without_an_id_are_searched(spark):
+    a, b, c = _words(0, 13), _words(20, 33), _words(40, 53)
+    docs = spark.createDataFrame([(1, a), (2, a + " " + b), (3, c), (4, _words(60, 90)), (5, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, a), (7, b), (None, c), (None, c)], "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", bench)):
+        con.register(name, df.toArrow())
+    want = sorted(con.execute(entry.oracle_sql()["op3_decontaminate"]).fetchall())
+    for most in (1 << 20, 40):
+        out = decontam.contamination(docs, bench, most_bytes=most)
+        got = sorted(tuple(r) for r in out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+        assert got == [tuple(0 if x is None else x for x in w) for w in want]
+    assert [w[2] for w in want][:4] == [13, 26, 13, 0]
