@@ -1,19 +1,21 @@
 """Operator 4 - main text of web pages from streaming standard-library parser events.
 
-The parser's events are cut into lines at block boundaries. Each line has a text-to-tag ratio (its characters per tag
-since the line before); boilerplate lines (see below) count as 0. The ratios are smoothed by a Gaussian and split into
-content and rest by one-dimensional two-means. The element that holds the most content text among <article>, <main> and
-role=main (else the whole body) is the page's article.
-
-The contract wants the article whole, so a ratio alone cannot decide on single short lines ("Be." is a paragraph). Hence
-inside a marked article every line stays that isn't boilerplate, and in an unmarked page all such lines from the first
-to the last content line (here by the logarithm of the ratio, so that one very long paragraph doesn't outweigh the others),
-those beside them in the innermost element that holds all content lines, and the headings right before. Boilerplate is what stands in elements or roles made for it
-(nav, footer, aside, form, ...) or in elements whose class or id names it (ad, sidebar, cookie, comments, ...).
-
-Defined results: null or empty html gives an empty text; unclosed tags, stray end tags and broken declarations never
-raise; <br> is white space; text in <script>, <style>, <template> and the head is dropped. Rows pass one by one, repeated
-rows too; extra columns are ignored.
+1. The parser's events are cut into lines at block boundaries.
+2. A line's text-to-tag ratio is its characters per tag since the line before, times a weight: 1 in plain elements, 0 in menus,
+   sidebars, page headers and footers, dialogs and hidden elements, FORM in forms, NAMED where a whole class name or id is made of
+   words for boilerplate ("ad", "cookie-notice"), and NAMED outside <article>, <main> and role=main where these hold a tenth of the text.
+3. The logarithms of the ratios are smoothed by a Gaussian, each weighted element by itself, so that an advert among paragraphs
+   isn't lifted by them.
+4. Two-means on the levels gives the threshold. Lines at or above it are content; weights alone exclude nothing that has text
+   enough, but for a weight of 0.
+
+The contract wants the article whole, and "Be." is a paragraph. So lines below the threshold are filled in where content lines of
+the same weight stand around them: in the marked articles, if one of them has content; else beside content in the same container (or in lists,
+tables and quotes beside it), and headings right before a kept line.
+
+Defined results: null or empty html gives an empty text; a page without content gives an empty text; unclosed tags, stray end tags
+and broken declarations never raise; <br> is white space; text in <script>, <style>, <template> and the head is dropped, that of
+embedded objects and controls (SILENT) only where they are closed. Rows pass one by one, repeated rows too; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-SILENT = frozenset("script style template noscript svg math head title iframe object canvas audio video select option textarea button datalist".split())
-CHROME = frozenset("nav footer aside form menu dialog".split())
+DROPPED = frozenset("script style template head title".split())
+SILENT = frozenset("noscript svg iframe object canvas audio video select textarea datalist".split())
+HEAD_ONLY = frozenset("base basefont bgsound link meta noscript script style template title".split())
+CHROME = frozenset("nav footer aside menu dialog".split())
 CHROME_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog menu menubar toolbar".split())
 CHROME_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
@@ -42,83 +46,138 @@ CHROME_NAMES = frozenset(
     "promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 PAGE_NAMES = frozenset("header alert".split())  # boilerplate only outside an article
+PLAIN_NAMES = frozenset("area bar block body bottom box container content group holder inner item left link links list outer page right section site slot text the top unit wrap wrapper".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_WORDS = re.compile(r"[a-z]+")
+FLOW = frozenset("blockquote dd dl dt figcaption figure hgroup li ol table tbody td tfoot th thead tr ul".split())
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+FORM, NAMED = 0.05, 0.002
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class _Box:
-    """A block element, with its depth and the one around it; the page's own has none."""
+    """A block element and the one around it; the page's own has none. ``best``: largest weight of content lines right inside."""
 
-    __slots__ = ("depth", "up")
+    __slots__ = ("tag", "up", "best")
 
-    def __init__(self, up: _Box | None):
-        self.up, self.depth = up, up.depth + 1 if up else 0
+    def __init__(self, tag: str, up: _Box | None):
+        self.tag, self.up, self.best = tag, up, 0.0
+
+
+class _Place:
+    """What holds at a point of the page: weight, number of the innermost weighted element, article (0: none) and the weight it has,
+    block, and the silent elements that are open."""
+
+    __slots__ = ("tag", "weight", "mark", "home", "box", "silent")
+
+    def __init__(self, tag: str, weight: float, mark: int, home: int, box: _Box, silent: tuple[int, ...]):
+        self.tag, self.weight, self.mark, self.home, self.box, self.silent = tag, weight, mark, home, box, silent
 
 
 class _Line:
-    __slots__ = ("text", "tags", "chrome", "home", "heading", "box")
+    __slots__ = ("text", "tags", "weight", "mark", "home", "heading", "box", "silent")
+
+    def __init__(self, text: str, tags: int, at: _Place, heading: bool, box: _Box, silent: tuple[int, ...]):
+        self.text, self.tags, self.heading, self.box, self.silent = text, tags, heading, box, silent
+        self.weight, self.mark, self.home = at.weight, at.mark, at.home
+
 
-    def __init__(self, text: str, tags: int, chrome: bool, home: int, heading: bool, box: _Box):
-        self.text, self.tags, self.chrome, self.home, self.heading, self.box = text, tags, chrome, home, heading, box
+def named(value: str, names: frozenset[str]) -> bool:
+    """Whether one of the names in a class or id attribute is made of boilerplate words, and plain ones, only."""
+    for name in value.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if not names.isdisjoint(words) and all(len(w) == 1 or w in names or w in PLAIN_NAMES for w in words):
+            return True
+    return False
 
 
 class Events(HTMLParser):
-    """Collects lines with their tag counts, boilerplate marks and enclosing article."""
+    """Collects lines with tag counts and places. ``found`` holds the places of open tags by name, so that end tags take constant time."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.page = _Box(None)
-        self.stack: list[tuple[str, bool, bool, int, _Box]] = []  # tag, in boilerplate, silent, article number, block
-        self.articles = 0
-        self.parts: list[str] = []
-        self.tags = 0
+        self.stack: list[_Place] = [_Place("", 1.0, 0, 0, _Box("", None), ())]
+        self.found: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.closed: set[int] = set()
+        self.articles = self.marks = self.silences = self.tags = 0
+        self.parts: list[tuple[str, _Place]] = []
 
     def flush(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            self.parts.clear()
-            if text:
-                tag, chrome, _, home, box = self.stack[-1] if self.stack else ("", False, False, 0, self.page)
-                self.lines.append(_Line(text, max(self.tags, 1), chrome, home, any(t in HEADING for t, *_ in self.stack[-6:]), box))
-                self.tags = 0
-
-    def _opens_chrome(self, tag: str, attrs: list[tuple[str, str | None]], home: int) -> bool:
+        if not self.parts:
+            return
+        said = [(t, p) for t, p in self.parts if self.closed.isdisjoint(p.silent)]
+        self.parts.clear()
+        text = " ".join("".join(t for t, _ in said).split())
+        if text:
+            places = [p for t, p in said if not t.isspace()]
+            at = max(places, key=lambda p: p.weight)
+            silent = at.silent if all(p.silent for p in places) else ()
+            self.lines.append(_Line(text, max(self.tags, 1), at, any(p.tag in HEADING for p in self.stack[-6:]), at.box, silent))
+            self.tags = 0
+
+    def _weight(self, tag: str, attrs: list[tuple[str, str | None]], home: int) -> float:
         if tag in CHROME or tag == "header" and not home:
-            return True
+            return 0.0
+        weight = FORM if tag == "form" else 1.0
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                return 0.0
             if not value:
                 continue
-            if name == "role" and value.strip().lower() in CHROME_ROLES:
-                return True
-            if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-                words = _WORDS.findall(value.lower())
-                if not CHROME_NAMES.isdisjoint(words) or not home and not PAGE_NAMES.isdisjoint(words):
-                    return True
-            elif name in ("class", "id") and tag == "article" and not {"comment", "comments"}.isdisjoint(_WORDS.findall(value.lower())):
-                return True
-            if name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+            if name == "role" and value.strip().lower() in CHROME_ROLES or name == "style" and "display:none" in value.replace(" ", "").lower():
+                return 0.0
+            if name in ("class", "id") and tag not in ("body", "html", "main") and named(value, CHROME_NAMES if home else CHROME_NAMES | PAGE_NAMES):
+                weight = NAMED
+        return weight
+
+    def _push(self, place: _Place) -> None:
+        self.found.setdefault(place.tag, []).append(len(self.stack))
+        if place.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(place)
+
+    def _cut(self, at: int) -> None:
+        """Close all tags from a place on."""
+        for place in self.stack[at:]:
+            self.found[place.tag].pop()
+        del self.stack[at:]
+        while self.blocks and self.blocks[-1] >= at:
+            self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if self.found.get("head") and tag not in HEAD_ONLY and tag not in ("head", "html"):  # </head> may be left out
+            self._cut(self.found["head"][-1])
         if tag in BLOCK:
             self.flush()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or any(t == "p" for t, *_ in self.stack[-4:]):
-                self._imply_end(tag)
+            self._imply_end(tag)
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.parts.append((" ", self.stack[-1]))
             return
-        _, chrome, silent, home, box = self.stack[-1] if self.stack else ("", False, False, 0, self.page)
-        chrome = chrome or self._opens_chrome(tag, attrs, home)
-        if not chrome and not home and (tag in ("article", "main") or ("role", "main") in attrs):
+        top = self.stack[-1]
+        own, mark, weight, home = self._weight(tag, attrs, top.home), top.mark, top.weight, top.home
+        marked = tag in ("article", "main") or any(n == "role" and (v or "").strip().lower() == "main" for n, v in attrs)
+        if marked and not home and own == 1.0 and (weight == 1.0 or self._in_form()):
             self.articles += 1
-            home = self.articles
-        self.stack.append((tag, chrome, silent or tag in SILENT, home, _Box(box) if tag in BLOCK else box))
+            self.marks += 1
+            weight, home, mark = 1.0, self.articles, self.marks
+        elif own < 1.0:
+            self.marks += 1
+            weight, mark = weight * own, self.marks
+        silent = top.silent
+        if tag in SILENT or tag in DROPPED:
+            self.silences += 1
+            silent = (*silent, self.silences)
+            if tag in DROPPED:
+                self.closed.add(self.silences)
+        self._push(_Place(tag, weight, mark, home, _Box(tag, top.box) if tag in BLOCK else top.box, silent))
+
+    def _in_form(self) -> bool:
+        """Whether nothing but forms lowers the weight here."""
+        depth = len(self.found.get("form", ()))
+        return depth > 0 and math.isclose(self.stack[-1].weight, FORM**depth)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -127,34 +186,34 @@ class Events(HTMLParser):
 
     def _imply_end(self, tag: str) -> None:
         """A block start closes an open paragraph, and a list item or cell its open sibling."""
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ()) + ("p",)
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i][0]
-            if t in ends:
-                del self.stack[i:]
-                return
-            if t in BLOCK:
-                return
+        ends = (*ENDS.get(tag, ()), "p")
+        while self.blocks and self.stack[self.blocks[-1]].tag in ends:
+            self._cut(self.blocks[-1])
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in VOID:
             if tag == "br":
-                self.parts.append(" ")
+                self.parts.append((" ", self.stack[-1]))
             return
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i][0]
-            if t == tag:
-                del self.stack[i:]
-                return
-            if tag not in BLOCK and t in BLOCK:  # a stray inline end tag closes no block
-                return
+        if not self.found.get(tag):
+            return
+        at = self.found[tag][-1]
+        if tag not in BLOCK and tag not in SILENT and self.blocks and self.blocks[-1] > at:  # a stray inline end tag closes no block
+            return
+        if tag in SILENT:
+            self.closed.add(self.stack[at].silent[-1])
+        self._cut(at)
+
+    def set_cdata_mode(self, elem: str, **kw: bool) -> None:
+        """Scripts and styles alone are raw text: an unclosed <iframe> or <textarea> hides no markup."""
+        if elem in ("script", "style"):
+            super().set_cdata_mode(elem, **kw)
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][2]):
-            self.parts.append(data)
+        self.parts.append((data, self.stack[-1]))
 
 
 def parse(html: str) -> list[_Line]:
@@ -167,18 +226,43 @@ def parse(html: str) -> list[_Line]:
         except AssertionError:
             continue
         events.flush()
-        return events.lines
+        return [x for x in events.lines if events.closed.isdisjoint(x.silent)]
     return []
 
 
-def smoothed(ratios: list[float], sigma: float = 1.0) -> list[float]:
+def in_articles(lines: list[_Line]) -> bool:
+    """Whether the marked articles hold a tenth of the weighted text."""
+    inside = sum(len(x.text) * x.weight for x in lines if x.home)
+    return inside > 0 and 10 * inside >= sum(len(x.text) * x.weight for x in lines)
+
+
+def ratios(lines: list[_Line], marked: bool) -> list[float]:
+    """Weighted characters per tag; marked: text outside articles weighs less."""
+    return [len(x.text) / x.tags * x.weight * (NAMED if marked and not x.home else 1.0) for x in lines]
+
+
+def smoothed(values: list[float], sigma: float = 1.0) -> list[float]:
+    """Gaussian means, over three standard deviations to each side."""
     r = max(1, math.ceil(3 * sigma))
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-r, r + 1)]
     out = []
-    for i in range(len(ratios)):
-        lo, hi = max(0, i - r), min(len(ratios), i + r + 1)
+    for i in range(len(values)):
+        lo, hi = max(0, i - r), min(len(values), i + r + 1)
         w = kernel[lo - i + r : hi - i + r]
-        out.append(sum(a * b for a, b in zip(w, ratios[lo:hi])) / sum(w))
+        out.append(sum(a * b for a, b in zip(w, values[lo:hi])) / sum(w))
+    return out
+
+
+def levels(lines: list[_Line], marked: bool, sigma: float = 1.0) -> list[float]:
+    """Smoothed logarithms of the ratios, each weighted element (mark) by itself."""
+    raw = [math.log1p(x) for x in ratios(lines, marked)]
+    by: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        by.setdefault(x.mark, []).append(i)
+    out = raw[:]
+    for at in by.values():
+        for i, y in zip(at, smoothed([raw[i] for i in at], sigma)):
+            out[i] = y
     return out
 
 
@@ -197,44 +281,47 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def _shared(a: _Box, b: _Box) -> _Box:
-    """The innermost element that holds both."""
-    while a is not b:
-        if a.depth < b.depth:
-            a, b = b, a
-        a = a.up
-    return a
+def _container(x: _Line) -> _Box:
+    """The element around a line's own; headings stand for the element that they are in."""
+    return x.box.up or x.box
 
 
-def main_text(html: str | None, sigma: float = 1.0) -> str:
-    lines = parse(html) if html else []
-    if all(x.chrome for x in lines):
-        return ""
-    level = smoothed([0.0 if x.chrome else len(x.text) / x.tags for x in lines], sigma)
-    cut = threshold(level)
-    content = [not x.chrome and y >= cut for x, y in zip(lines, level)]
-    weight: dict[int, int] = {}
-    for x, c in zip(lines, content):
-        if not x.chrome and x.home:
-            weight[x.home] = weight.get(x.home, 0) + len(x.text) * (1 + 3 * c)
-    if weight:
-        home = max(weight, key=lambda k: (weight[k], -k))
-        return "\n".join(x.text for x in lines if x.home == home and not x.chrome)
-    level = smoothed([0.0 if x.chrome else math.log1p(len(x.text) / x.tags) for x in lines], sigma)
+def chosen(lines: list[_Line], sigma: float = 1.0) -> list[_Line]:
+    """Content lines by the threshold, and those that belong to them."""
+    if not lines:
+        return []
+    marked = in_articles(lines)
+    level = levels(lines, marked, sigma)
     cut = threshold(level)
-    at = [i for i, (x, y) in enumerate(zip(lines, level)) if not x.chrome and y >= cut] or [i for i, x in enumerate(lines) if not x.chrome]
-    first, last = at[0], at[-1]
-    home = lines[first].box.up or lines[first].box
-    for i in at[1:]:
-        home = _shared(home, lines[i].box.up or lines[i].box)
-    beside = lambda x: x.chrome or _shared(home, x.box) is home
-    while first and beside(lines[first - 1]):
-        first -= 1
-    while last + 1 < len(lines) and beside(lines[last + 1]):
-        last += 1
-    while first and not lines[first - 1].chrome and lines[first - 1].heading:
-        first -= 1
-    return "\n".join(x.text for x in lines[first : last + 1] if not x.chrome)
+    keep = [x.weight > 0 and y >= cut for x, y in zip(lines, level)]
+    content = [x for x, k in zip(lines, keep) if k]
+    for x in content:
+        box = _container(x)
+        box.best = max(box.best, x.weight)
+    known: dict[_Box, float] = {}
+
+    def best(box: _Box) -> float:
+        """The weight of content beside: in the element, or around it if it is a list, a table or a quote."""
+        path = []
+        while box not in known and not box.best and box.tag in FLOW and box.up:
+            path.append(box)
+            box = box.up
+        found = known.get(box, box.best)
+        for b in path:
+            known[b] = found
+        return found
+
+    for i, x in enumerate(lines):
+        if not keep[i] and x.weight:
+            keep[i] = bool(content) and x.home > 0 and x.weight == 1.0 if marked else 0 < best(_container(x)) <= x.weight
+    for i in range(len(lines) - 2, -1, -1):
+        if keep[i + 1] and lines[i].heading and not marked and lines[i].weight >= lines[i + 1].weight:
+            keep[i] = True
+    return [x for x, k in zip(lines, keep) if k]
+
+
+def main_text(html: str | None, sigma: float = 1.0) -> str:
+    return "\n".join(x.text for x in chosen(parse(html), sigma)) if html else ""
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", sigma: float = 1.0) -> DataFrame:

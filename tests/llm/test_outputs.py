@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html as H
+import math
 import random
 import re
 import zlib
@@ -57,6 +58,70 @@ def test_pages(page, want):
     assert got == want or want == "text" and got.endswith("text") or want.startswith("x y z") and got.startswith("x y z")
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<html><head><title>t</title><body>{P}{P}", 2),  # </head> left out
+        (f"<div class='content has-sidebar'><h1>T</h1>{P}{P}</div><div class=sidebar>{P}</div>", 3),
+        (f"<form action=x><nav>a b</nav><h1>T</h1>{P}<p>Be.</p>{P}<footer>x</footer></form>", 4),
+        (f"<form><div class=menu>a b</div><article><h1>T</h1>{P}<p>Be.</p></article></form>", 3),
+        (f"<article><h1>A</h1>{P}</article><article><p>short</p></article>", 3),
+        (f"<article>{P}<p class='social-contract'>kept</p><p>x <math><mi>y</mi></math> <button>b</button></p></article>", 3),
+        (f"<article>{P}<iframe src=x>{P}</article>", 2),
+        (f"<article>{P}<iframe src=x><p>no</p></iframe><p>a <svg><text>no</text></svg> b</p><noscript><p>no</p></noscript></article>", 2),
+        (f"<article>{P}<div class='comments'>{P * 5}</div><div class=ad>Buy this very good thing now, for you and for all.</div><p>Be.</p></article>", 2),
+        (f"<div id=wrap><div class=siteNav><a href=a>one</a> <a href=b>two</a></div><div>{P * 3}<p>Be.</p><ul><li>a<li>b</ul></div><div><a>x</a><a>y</a></div></div>", 6),
+    ],
+)
+def test_regions(page, want):
+    got = htmltext.main_text(page).split("\n")
+    assert len(got) == want and not {"no", "one two", "a b x"} & set(got)
+
+
+def test_the_threshold_decides(spark, monkeypatch):
+    pages = [r.html for r in load(spark, SF, "pages").select("html").limit(40).collect()]
+    pages += [f"<div><div><div><a>a</a><a>b</a></div></div><div>{P * 3}</div></div>", f"<article>{P}<div class=ad>Buy this.</div>{P}</article>"]
+    right = [htmltext.main_text(p) for p in pages]
+    for cut in (-1e9, 1e9):
+        monkeypatch.setattr(htmltext, "threshold", lambda values, cut=cut: cut)
+        assert not any(htmltext.main_text(p) == x for p, x in zip(pages, right))
+
+
+def test_ratio_smoothing_and_threshold_equal_brute_force():
+    r = random.Random(8)
+    page = f"<nav>a</nav>{P}<form>{P}</form><div class=ad><p>x <b>y</b> z</p></div><p>long {'w ' * 300}</p>"
+    lines = htmltext.parse(page)
+    own = [(len(x.text), x.weight) for x in lines]
+    assert [w for _, w in own] == [0.0, 1.0, htmltext.FORM, htmltext.NAMED, 1.0]
+    assert [x.tags for x in lines] == [2, 2, 3, 6, 3]  # all tags after the line before, this one's end tag included
+    assert htmltext.ratios(lines, False) == [n / x.tags * w for (n, w), x in zip(own, lines)]
+    for _ in range(50):
+        v = [r.random() * 9 for _ in range(r.randrange(1, 30))]
+        sigma = r.choice([0.5, 1.0, 2.0])
+        gauss = lambda d, s=sigma: math.exp(-d * d / (2 * s * s)) if abs(d) <= max(1, math.ceil(3 * s)) else 0
+        want = [sum(gauss(i - j) * x for j, x in enumerate(v)) / sum(gauss(i - j) for j in range(len(v))) for i in range(len(v))]
+        assert np.allclose(htmltext.smoothed(v, sigma), want)
+        cut = htmltext.threshold(v)
+        low, high = [x for x in v if x < cut], [x for x in v if x >= cut]
+        if low and high:  # a fixed point of two-means: each value is with the nearer mean
+            a, b = sum(low) / len(low), sum(high) / len(high)
+            assert math.isclose(cut, (a + b) / 2) and all((abs(x - a) < abs(x - b)) == (x < cut) for x in v if not math.isclose(x, cut))
+    marks = [(0, 9.0), (1, 0.0), (0, 5.0)]  # an element of another weight isn't smoothed with those around it
+    for x, (m, _) in zip(lines, marks):
+        x.mark = m
+    got = htmltext.levels(lines[:3], False)
+    assert got[1] == math.log1p(htmltext.ratios(lines, False)[1])
+
+
+def test_deep_and_unclosed_pages_take_linear_time():
+    import time
+
+    for page in ("<p>" + "<b>x</i>" * 20_000, "<b>" * 20_000 + "<div><i></b></b>" * 20_000, "<div>" * 20_000 + "x", "<b>" * 20_000 + "<p>x" * 20_000):
+        began = time.time()
+        htmltext.main_text(page)
+        assert time.time() - began < 15
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None, 3), (1, "u", None, 3), (None, None, "<p>" + "long " * 50_000, 4)]
     out = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
