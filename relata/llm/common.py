@@ -29,6 +29,21 @@ def order_key(col: str) -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(_LOWEST))
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever signs it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(columns: list[str], names: list[str]) -> list[str]:
+    """The columns that don't share a name (in any case) with ``names``."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def schema_of(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def id_bucket(df: DataFrame, key: str, rows_per_bucket: int = 2048, splits: int = 512, most: int = 65536) -> Column:
     """Expression that numbers ranges of ``key`` in ascending order, of about equal row counts.
 

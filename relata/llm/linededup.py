@@ -13,11 +13,13 @@ copy stays.
   bisection is one aggregation over all groups of all sizes at once; a group's first member goes both ways, all others
   one way, so rows stay linear in the suffixes. No pair of suffixes is ever formed.
 
-Classes are aggregated (partial sums first) and joined back, never gathered, so one line that a third of all documents
-share is only a skewed join key, which adaptive execution splits.
+Classes are aggregated (partial sums first), written, and joined back, never gathered: a line that a third of all documents
+share is a skewed key of a plain join, which adaptive execution broadcasts or splits. Suffixes that end have no class there
+and are joined to nothing.
 
 Defined results: null text stays null and has no lines; rows with the same id and text are one document and get the same
-result; null ids sort first; blank lines count as lines of no words. Extra columns pass through unchanged.
+result; null ids sort first; blank lines count as lines of no words. Extra columns pass through unchanged, but for those that
+have the name of an added one (in any case): these are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relata.llm.common import forget, load, order_key, stored
+from relata.llm.common import forget, load, order_key, others, quoted, stored
 
 MIN_WORDS = 50
 _ID = ["_d", "_t"]  # a document: id and text hash
@@ -42,15 +44,19 @@ def _at() -> Column:
     return F.struct(*_ID, "_i")
 
 
-def _shared_classes(ranks: DataFrame, name: str) -> DataFrame:
-    """The suffixes whose class (_a, _b) others have too, and whether each is the first of its class."""
-    groups = ranks.groupBy("_a", "_b").agg(F.count("*").alias("_n"), F.min(_at()).alias("_first")).where("_n > 1")
-    return stored(ranks.join(groups, ["_a", "_b"]).select(*_ID, "_i", "_a", "_b", (F.col("_first") < _at()).alias("_later")), name)
+def _shared_classes(ranks: DataFrame, name: str, repeats: bool = False) -> DataFrame:
+    """The suffixes whose class (_a, _b) others have too, and whether each is the first of its class. repeats: rows may repeat (documents
+    of one id and text); they count as others here, and one of each stays."""
+    groups = stored(ranks.groupBy("_a", "_b").agg(F.count("*").alias("_n"), F.min(_at()).alias("_first")).where("_n > 1"), f"{name}-classes")
+    shared = ranks.join(groups, ["_a", "_b"]).select(*_ID, "_i", "_a", "_b", (F.col("_first") < _at()).alias("_later"))
+    out = stored(shared.dropDuplicates([*_ID, "_i"]) if repeats else shared, name)
+    forget(groups)
+    return out
 
 
 def suffix_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[DataFrame]:
     """Level k: (_d, _t, _i, class _a _b, _later) of all suffixes whose first 2^k lines occur elsewhere too."""
-    levels = [_shared_classes(_lines(docs, doc_id, text), "runs0")]
+    levels = [_shared_classes(_lines(docs, doc_id, text), "runs0", repeats=True)]
     while len(levels) < _MOST_LEVELS and not levels[-1].isEmpty():
         step = 2 ** (len(levels) - 1)
         w = Window.partitionBy(*_ID).orderBy("_i").rangeBetween(step, step)
@@ -61,42 +67,52 @@ def suffix_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def longest_earlier(levels: list[DataFrame]) -> DataFrame:
-    """(_d, _t, _i, _length): the longest run of lines that starts at a suffix and has an earlier occurrence."""
+    """(_d, _t, _i, _length), stored: the longest run of lines that starts at a suffix and has an earlier occurrence."""
     open_groups = None
     for k in range(len(levels) - 1, -1, -1):
         # suffixes that are alone or first at 2^(k+1) enter here with the group of their first 2^k lines
         here = levels[k]
         if k + 1 < len(levels):
-            here = here.join(levels[k + 1].where("_later").select(*_ID, "_i").distinct(), [*_ID, "_i"], "left_anti")
+            here = here.join(levels[k + 1].where("_later").select(*_ID, "_i"), [*_ID, "_i"], "left_anti")
         entering = here.select("_a", "_b", *_ID, "_i", F.lit(2**k).alias("_lo"))
         groups = entering if open_groups is None else open_groups.unionByName(entering)
         if k == 0:
-            first = groups.groupBy("_a", "_b", "_lo").agg(F.min(_at()).alias("_first"))
-            return groups.join(first, ["_a", "_b", "_lo"]).where(F.col("_first") < _at()).select(*_ID, "_i", F.col("_lo").alias("_length"))
+            keys = ["_a", "_b", "_lo"]
+            first = stored(groups.groupBy(*keys).agg(F.min(_at()).alias("_first")), "firsts")
+            out = stored(groups.join(first, keys).where(F.col("_first") < _at()).select(*_ID, "_i", F.col("_lo").alias("_length")), "longest")
+            for old in (first, *([] if open_groups is None else [open_groups])):
+                forget(old)
+            return out
         half = 2 ** (k - 1)
-        after = levels[k - 1].select(*_ID, F.col("_i").alias("_j"), F.col("_a").alias("_a2"), F.col("_b").alias("_b2")).distinct()
+        after = levels[k - 1].select(*_ID, F.col("_i").alias("_j"), F.col("_a").alias("_a2"), F.col("_b").alias("_b2"))
         g = groups.withColumn("_j", F.col("_i") + F.col("_lo")).join(after, [*_ID, "_j"], "left").drop("_j")
         sub = [F.xxhash64(F.lit(3), "_a", "_b", "_a2", "_b2", "_lo").alias("_ua"), F.xxhash64(F.lit(5), "_b2", "_a2", "_lo", "_b", "_a").alias("_ub")]
-        g = g.select("*", *[F.when(F.col("_a2").isNotNull(), s).alias(n) for s, n in zip(sub, ("_ua", "_ub"))])
-        together = g.where("_ua is not null").groupBy("_ua", "_ub").agg(F.count("*").alias("_n"), F.min(_at()).alias("_first")).where("_n > 1")
-        g = stored(g.join(together, ["_ua", "_ub"], "left"), f"split{k}")
-        up = g.where("_n > 1").select(F.col("_ua").alias("_a"), F.col("_ub").alias("_b"), *_ID, "_i", (F.col("_lo") + half).alias("_lo"))
-        down = g.where((F.col("_n").isNull()) | (F.col("_first") == _at())).select("_a", "_b", *_ID, "_i", "_lo")
-        open_groups = up.unionByName(down)
+        g = stored(g.select("_a", "_b", *_ID, "_i", "_lo", *[F.when(F.col("_a2").isNotNull(), s).alias(n) for s, n in zip(sub, ("_ua", "_ub"))]), f"split{k}")
+        going = g.where("_ua is not null")
+        together = stored(going.groupBy("_ua", "_ub").agg(F.count("*").alias("_n"), F.min(_at()).alias("_first")).where("_n > 1"), f"split{k}-groups")
+        met = going.join(together, ["_ua", "_ub"], "left")
+        same = ["_a", "_b", *_ID, "_i", "_lo"]
+        up = F.struct(F.col("_ua").alias("_a"), F.col("_ub").alias("_b"), *_ID, "_i", (F.col("_lo") + half).alias("_lo"))
+        ways = F.filter(F.array(F.when(F.col("_n") > 1, up), F.when(F.col("_n").isNull() | (F.col("_first") == _at()), F.struct(*same))), lambda x: x.isNotNull())
+        ended = g.where("_ua is null").select(*same)
+        moved = stored(met.select(F.inline(ways)).unionByName(ended), f"open{k}")
+        for old in (g, together, *([] if open_groups is None else [open_groups])):
+            forget(old)
+        open_groups = moved
     raise ValueError("no level")
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(_d, _t, _runs): for each document the maximal line runs that occurred earlier, as (start, length)."""
     levels = suffix_classes(docs, doc_id, text)
-    runs = longest_earlier(levels).distinct()
+    runs = longest_earlier(levels)
     # a suffix's match reaches at least as far as the one before it: keep those that reach further
     w = Window.partitionBy(*_ID).orderBy("_i").rangeBetween(-1, -1)
     ends = runs.withColumn("_before", F.max(F.col("_i") + F.col("_length")).over(w))
     kept = ends.where(F.col("_before").isNull() | (F.col("_before") < F.col("_i") + F.col("_length")))
     out = stored(kept.groupBy(*_ID).agg(F.sort_array(F.collect_list(F.struct(F.col("_i").alias("s"), F.col("_length").alias("n")))).alias("_runs")), "runs")
-    for level in levels:
-        forget(level)
+    for old in (*levels, runs):
+        forget(old)
     return out
 
 
@@ -106,19 +122,22 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     Added columns: n_lines long, n_deleted long, deleted_runs array of (start, length) in the old text.
     """
     runs = repeated_runs(docs, doc_id, text)
-    d = docs.withColumns({"_d": order_key(doc_id), "_t": F.xxhash64(F.col(text))})
-    d = d.join(runs.withColumnsRenamed({"_d": "_rd", "_t": "_rt"}), (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")) & F.col(text).isNotNull(), "left").drop("_rd", "_rt")
+    kept = others(docs.columns, ["n_lines", "n_deleted", "deleted_runs"])
+    # all columns of a row travel in one struct, so that no name of theirs meets one of these
+    d = docs.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("_row"), F.col(text).alias("_text"), order_key(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_t"))
+    d = d.join(runs.withColumnsRenamed({"_d": "_rd", "_t": "_rt"}), (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")) & F.col("_text").isNotNull(), "left")
     words = lambda line: F.size(F.filter(F.split(line, r"\s+"), lambda x: x != ""))
     many = lambda r: F.aggregate(F.slice(F.col("_lines"), r["s"] + 1, r["n"]), F.lit(0), lambda n, x: n + words(x)) >= min_words
-    d = d.withColumn("_lines", F.when(F.col("_runs").isNotNull(), F.split(F.col(text), "\n")))
+    d = d.withColumn("_lines", F.when(F.col("_runs").isNotNull(), F.split(F.col("_text"), "\n")))
     d = d.withColumn("_runs", F.filter("_runs", many))
     gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["s"], r["s"] + r["n"] - 1))))
     d = d.withColumn("_gone", F.when(F.size("_runs") > 0, F.map_from_arrays(gone, gone)))
     left = F.filter("_lines", lambda x, i: ~F.array_contains(F.map_keys("_gone"), i))
-    cut = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col(text))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long")
-    d = d.withColumns({"_cut": cut, "n_lines": n_lines, "n_deleted": F.coalesce(F.size(F.map_keys("_gone")), F.lit(0)).cast("long"), "deleted_runs": F.coalesce("_runs", F.array().cast("array<struct<s:int,n:int>>"))})
-    return d.withColumn(text, F.col("_cut")).drop("_d", "_t", "_runs", "_lines", "_gone", "_cut")
+    cut = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("_text"))
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(F.split(F.col("_text"), "\n"))).cast("long")
+    same = [cut.alias(c) if c.lower() == text.lower() else F.col(f"_row.{quoted(c)}").alias(c) for c in kept]
+    n_deleted = F.coalesce(F.size(F.map_keys("_gone")), F.lit(0)).cast("long")
+    return d.select(*same, n_lines.alias("n_lines"), n_deleted.alias("n_deleted"), F.coalesce("_runs", F.array().cast("array<struct<s:int,n:int>>")).alias("deleted_runs"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
