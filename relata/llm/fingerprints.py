@@ -1,9 +1,10 @@
 """Operator 1 - I-Match document fingerprints. [native: DataFrame functions only]
 
-Terms whose document frequency lies in a band (the lexicon) are kept; the distinct terms of each of
-several random lexicon subsets are hashed. Subsets come at several sampling rates, so that short and
+Terms whose document frequency lies in a band (the lexicon) are kept; a document's distinct terms in each of
+several random lexicon subsets are sorted and hashed (64 bits). Subsets come at several sampling rates, so that short and
 long documents both have subsets that hold about one of their terms: a local edit then changes some
-subset hashes and leaves others.
+subset hashes and leaves others. The likeness of two fingerprints is the share of the subsets that either has terms in whose
+hashes agree.
 
 Lexicon size is bounded: at most (mean distinct terms a document) / ``df_low`` terms can reach the band's
 lower edge, whatever the corpus size; it is checked before the broadcast.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from relata.llm.common import id_bucket, load, order_key, stored
 
 RATES = (16, 64, 256, 1024)  # a subset holds one lexicon term in so many
-SUBSETS = 16  # of each rate
+SUBSETS = 16  # of each rate: 64 in all, a bit each in a long
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_LEXICON = 2_000_000
 FEW = 8  # terms in the band
@@ -50,23 +51,19 @@ def lexicon(docs: DataFrame, text: str = "text", df_low: float = 0.001, df_high:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the subsets with terms in either document whose hashes agree. a, b: sorted subset codes."""
-    sets = lambda x: F.transform(x, lambda c: F.shiftright(c, 32))
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(sets(a), sets(b))), F.lit(1))
+    """Share of the subsets with terms in either document whose hashes agree. a, b: structs of hashes and subset bits."""
+    either = F.bit_count(a["bits"].bitwiseOR(b["bits"]))
+    return F.size(F.array_intersect(a["hashes"], b["hashes"])) / F.greatest(either, F.lit(1))
 
 
-def _printed(codes: Column, own: Column) -> Column:
-    cell = lambda c: F.lower(F.concat(F.lpad(F.hex(F.shiftright(c, 32)), 2, "0"), F.lpad(F.hex(c.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
-    return F.when(F.size(codes) > 0, F.array_join(F.transform(codes, cell), "-")).otherwise(F.concat(F.lit("t"), F.lower(F.lpad(F.hex(own), 16, "0"))))
-
-
-def _set_hash(h: Column) -> Column:
-    """Order-free hash of distinct terms: sum of their mixed hashes, modulo 2^32 (what sorting them first would serve)."""
-    return F.sum(F.when(h.isNotNull(), F.xxhash64(F.lit(77), h).bitwiseAND(F.lit((1 << 40) - 1))))
+def _printed(hashes: Column, own: Column) -> Column:
+    digits = lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))
+    return F.when(F.size(hashes) > 0, F.array_join(F.transform(hashes, digits), "-")).otherwise(F.concat(F.lit("t"), digits(own)))
 
 
 def fingerprint_versions(rows: DataFrame, versions: list[str], keys: list[str], lex: DataFrame) -> DataFrame:
-    """Subset codes of several text columns of each row, of terms in the band (_c; _k of them) and of all (_all). ``keys`` identify a row and begin with its partition key.
+    """Hash of each subset's sorted terms, for several text columns of each row: of terms in the band (_c; _k of them) and of all (_all).
+    ``keys`` identify a row and begin with its partition key.
 
     The lexicon is broadcast after its size was checked; the exploded terms never leave their task.
     """
@@ -78,9 +75,13 @@ def fingerprint_versions(rows: DataFrame, versions: list[str], keys: list[str],
     t = t.select(*keys, F.col("_x.v").alias("_v"), F.explode(_terms(F.col("_x.t"))).alias("_term"))
     t = t.withColumn("_h", F.xxhash64("_term")).drop("_term")
     hit = t.join(lex, "_h")
-    a = hit.groupBy(*keys, "_v", "_subset").agg(_set_hash(F.when(~F.col("_over"), F.col("_h"))).alias("_s"), _set_hash(F.col("_h")).alias("_sa"), F.count(F.when(~F.col("_over") & F.col("_subset").between(0, RATES[0] - 1), 1)).alias("_k"))
-    code = lambda s: F.shiftleft(F.col("_subset").cast("long"), 32).bitwiseOR(F.col(s).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return a.select(*keys, "_v", code("_s").alias("_c"), code("_sa").alias("_all"), "_k")
+    band = ~F.col("_over")
+    a = hit.groupBy(*keys, "_v", "_subset").agg(
+        F.sort_array(F.collect_list(F.when(band, F.col("_h")))).alias("_s"), F.sort_array(F.collect_list("_h")).alias("_sa"),
+        F.count(F.when(band & F.col("_subset").between(0, SUBSETS - 1), 1)).alias("_k"),
+    )
+    hashed = lambda s: F.when(F.size(s) > 0, F.xxhash64("_subset", s))
+    return a.select(*keys, "_v", "_subset", hashed("_s").alias("_c"), hashed("_sa").alias("_all"), "_k")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,14 +116,18 @@ def imatch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", df_low:
     mark = lex.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("_h"), F.lit(False).alias("_over"), F.lit(-1).alias("_subset"))
     rows = rows.withColumns({"text": F.concat(F.lit(" "), "text"), "_edited": F.concat(F.lit(" "), "_edited")})
     codes = fingerprint_versions(rows, ["text", "_edited"], keys, lex.unionByName(mark))
-    pick = lambda v, c: F.sort_array(F.collect_list(F.when((F.col("_v") == v) & (F.col(c) >= 0), F.col(c))))
+    given = lambda v, c: (F.col("_v") == v) & (F.col("_subset") >= 0) & F.col(c).isNotNull()
+    hashes = lambda v, c: F.transform(F.sort_array(F.collect_list(F.when(given(v, c), F.struct("_subset", F.col(c).alias("h"))))), lambda x: x["h"])
+    bits = lambda v, c: F.coalesce(F.bit_or(F.when(given(v, c), F.expr("shiftleft(1L, _subset)"))), F.lit(0).cast("long"))
+    print_ = lambda v, c: F.struct(hashes(v, c).alias("hashes"), bits(v, c).alias("bits"))
     few = lambda v: F.sum(F.when(F.col("_v") == v, F.col("_k")).otherwise(0)) < FEW
-    of = lambda v: F.struct(few(v).alias("few"), pick(v, "_c").alias("band"), pick(v, "_all").alias("all"))
+    of = lambda v: F.struct(few(v).alias("few"), print_(v, "_c").alias("band"), print_(v, "_all").alias("all"))
     fp = codes.groupBy(*keys).agg(of(0).alias("_a"), of(1).alias("_b"))
     w = Window.partitionBy("_bucket").orderBy("_rn")
     fp = fp.withColumns({"_n": F.lead("_a").over(w), "_next_own": F.lead("_own").over(w)}).where("_extra = 0")
-    near = lambda x, own_x, y, own_y: F.when((F.size(x["all"]) == 0) & (F.size(y["all"]) == 0), (own_x == own_y).cast("double")).when(x["few"] | y["few"], likeness(x["all"], y["all"])).otherwise(likeness(x["band"], y["band"]))
-    shown = lambda x: F.when(x["few"], x["all"]).otherwise(x["band"])
+    none = lambda x: x["all"]["bits"] == 0
+    near = lambda x, own_x, y, own_y: F.when(none(x) & none(y), (own_x == own_y).cast("double")).when(x["few"] | y["few"], likeness(x["all"], y["all"])).otherwise(likeness(x["band"], y["band"]))
+    shown = lambda x: F.when(x["few"], x["all"]["hashes"]).otherwise(x["band"]["hashes"])
     return fp.select(
         "doc_id", "n_chars", "edited_sha256",
         _printed(shown(F.col("_a")), F.col("_own")).alias("fingerprint"), _printed(shown(F.col("_b")), F.col("_own_edited")).alias("edited_fingerprint"),

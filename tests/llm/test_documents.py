@@ -29,6 +29,15 @@ def test_edited_texts_equal_brute_force(docs, docs_rows):
             assert out[a].near_next == 1.0
 
 
+@pytest.mark.parametrize("low,high", [(0.001, 0.05), (0.03, 0.5)])
+def test_fingerprints_equal_brute_force(docs, docs_rows, low, high):
+    got = {r.doc_id: (r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.imatch(docs, df_low=low, df_high=high).collect()}
+    want = brute.imatch(docs_rows, low, high)
+    assert {d: x[:2] for d, x in got.items()} == {d: x[:2] for d, x in want.items()}
+    assert all(got[d][2:] == pytest.approx(x[2:]) for d, x in want.items())
+    assert any(0 < x[2] < 1 for x in want.values()) and any("-" in x[0] for x in want.values())
+
+
 def test_equal_ids_and_single_rows(spark, none):
     assert fingerprints.imatch(none).count() == 0
     one = fingerprints.imatch(spark.createDataFrame([(5, "ab cd")], "doc_id long, text string")).collect()
@@ -202,3 +211,74 @@ def test_quality_edges(spark, docs, none):
     scored = quality.score(docs, some).collect()
     assert len(scored) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
     assert quality.score(none, some).count() == 0
+
+
+def test_features_frequencies_and_votes_equal_brute_force(spark, docs, docs_rows):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [t or "" for _, t in docs_rows][:60] + ["THIS is 12\tOK!! ß", "", "no", "no"]
+    raw = quality.features(pa.array(texts))
+    want = [brute.quality_features(t, quality.WORDS, quality.SHAPES) for t in texts]
+    assert [{int(i): int(x[i]) for i in np.flatnonzero(x)} for x in raw] == want
+    n, df = quality.document_frequencies(docs)
+    every = [brute.quality_features(t or "", quality.WORDS, quality.SHAPES) for _, t in docs_rows]
+    counted = np.zeros(quality.DIMENSIONS, int)
+    for x in every:
+        counted[list(x)] += 1
+    assert n == len(docs_rows) and (df == counted).all()
+    labels = np.arange(len(texts)) % 3 > 0
+    model = quality.Model(raw, labels.astype(np.float32), df, n, latent=16, neighbours=5)
+    u, s, v = np.linalg.svd(quality.weigh(raw, model.idf), full_matrices=False)
+    assert np.allclose(np.abs((model.axes.T @ v[:16].T)), np.eye(16), atol=0.05)  # the leading singular vectors
+    got = model.scores(raw, block=7)
+    points = (quality.weigh(raw, model.idf) @ model.axes).astype(float).tolist()
+    for i in range(len(texts)):
+        assert got[i] == pytest.approx(brute.vote(points[i], points, labels.astype(int).tolist(), 5, model.power), abs=1e-3)
+
+
+def test_names_in_any_case_and_with_signs(spark):
+    odd = spark.createDataFrame([(1, "a b", "x", 2, 3.0, 4), (2, None, None, None, None, None)], "doc_id long, TEXT string, `a``b c` string, N_words int, Score double, _d int")
+    items = spark.createDataFrame([(9, "a b")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    same = ["doc_id", "TEXT", "a`b c"]
+    for most in (1 << 20, 2):
+        out = decontam.contamination(odd, items, most_bytes=most)
+        assert out.columns == [*same, "Score", "_d", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+        assert sorted((r.doc_id, r["a`b c"] or "", r.Score or 0, r._d or 0, r.n_words, r.contaminated) for r in out.collect()) == [(1, "x", 3.0, 4, 2, True), (2, "", 0, 0, 0, False)]
+    out = quality.score(odd, labels)
+    assert out.columns == [*same, "N_words", "_d", "held_out", "score", "predicted"]
+    assert sorted((r.doc_id, r["a`b c"] or "") for r in out.collect()) == [(1, "x"), (2, "")]
+    lines = odd.withColumnRenamed("N_words", "N_Lines")
+    out = linededup.dedup_lines(lines)
+    assert out.columns == [*same, "Score", "_d", "n_lines", "n_deleted", "deleted_runs"]
+    assert sorted((r.doc_id, r._d or 0, r.n_lines, r.TEXT) for r in out.collect()) == [(1, 4, 1, "a b"), (2, 0, 0, None)]
+
+
+def test_signature_ties_equal_brute_force():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for tied, core in ((0.55, 0.95), (0.5, 1.1), (0.9, 0.9)):
+        sig = r.integers(0, 3, (60, 40), dtype=np.uint8)
+        for i in range(0, 60, 3):
+            sig[i] = np.where(r.random(40) < r.random() * 0.6, sig[i], sig[r.integers(60)])
+        got = jaccard.tied_parts(sig, tied, core)
+        near = (sig[:, None] == sig[None]).mean(axis=2)
+        root = np.arange(60)
+        for _ in range(60):
+            root = np.where(near >= tied, root[None], 60).min(axis=1)
+        # parts may only be finer where no pair within the core's reach is cut
+        for i in range(60):
+            for j in range(60):
+                if near[i, j] >= tied + max(0, 1 - core):
+                    assert got[i] == got[j]
+                if got[i] == got[j]:
+                    assert root[i] == root[j]
+
+
+def test_many_null_and_repeated_rows_are_linear(spark):
+    rows = [(None, f"w{i} " * 3 + " ".join(f"v{i}_{k}" for k in range(30))) for i in range(150)] * 2 + [(7, "a b c d e f")] * 200
+    out = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert out.where("doc_id = 7").select("n_links").distinct().collect()[0][0] == 199
+    assert out.where("doc_id <> 7").select("n_links").distinct().collect()[0][0] == 1 and out.count() == 500
