@@ -40,8 +40,10 @@ def others(columns: list[str], names: list[str]) -> list[str]:
     return [c for c in columns if c.lower() not in taken]
 
 
-def schema_of(df: DataFrame, columns: list[str]) -> str:
-    return ", ".join(f"{quoted(c)} {df.schema[c].dataType.simpleString()}" for c in columns)
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The columns under plain names (_0, _1, ...), which Arrow steps need, and each one's part of a schema."""
+    plain = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*plain), [f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, df.schema)]
 
 
 def id_bucket(df: DataFrame, key: str, rows_per_bucket: int = 2048, splits: int = 512, most: int = 65536) -> Column:
