@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.common import lean, load, slices, utf8_parts, word_hashes, word_spans
+from relata.llm.common import forget, lean, load, numbered, others, quoted, slices, stored, utf8_parts, word_hashes, word_spans
 
 WINDOW = 13
 MOST_BYTES = 4 << 20  # of benchmark text; its windows take about 40 times as much
@@ -158,49 +158,59 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     total = items.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(total) // most_bytes))
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    docs = docs.select(*[c for c in docs.columns if c not in names])
+    kept = others(docs.columns, names)
+    docs = docs.select(*[F.col(quoted(c)) for c in kept])
+    own = next(c for c in kept if c.lower() == text.lower())
     if blocks == 1:
         pairs = [(r[0], r[1]) for r in items.sort("_item", "_text").collect()]  # under most_bytes
         tables = spark.sparkContext.broadcast(build_patterns(pairs, window))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, col in slices(batch, text):
+                for part, col in slices(batch, f"_{at}"):
                     n, hits, found = _scan(col, tables.value)
                     n_hit = np.array([len(x) for x in hits], dtype=np.int64)
                     more = [n.astype(np.int64), n_hit, np.array([len(x) for x in found], dtype=np.int64), [_digest(x) for x in found], (n_hit > 0) & (share * n_hit >= n)]
-                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *map(pa.array, more)], names=[*(part.schema.names[i] for i in kept), *names])
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), *map(pa.array, more)], names=[*(part.schema.names[i] for i in places), *names])
 
-        kept = [i for i, c in enumerate(docs.columns) if keep_text or c != text]
-        return docs.mapInArrow(lean(scan), ", ".join(f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in kept) + ", " + _SCHEMA)
-    out = _in_blocks(docs, items, text, window, share, blocks)
-    return out if keep_text else out.drop(text)
+        at = kept.index(own)
+        places = [i for i in range(len(kept)) if keep_text or i != at]
+        rows, types = numbered(docs)
+        return rows.mapInArrow(lean(scan), ", ".join([*(types[i] for i in places), _SCHEMA])).toDF(*(kept[i] for i in places), *names)
+    out = _in_blocks(docs, items, own, window, share, blocks)
+    return out if keep_text else out.drop(F.col(quoted(own)))
 
 
 def _in_blocks(docs: DataFrame, items: DataFrame, text: str, window: int, share: int, blocks: int) -> DataFrame:
-    """As above for a large benchmark: every block's tables in turn, hits merged per document row."""
+    """As above for a large benchmark: every block's tables in turn, hits merged per document row. A row's columns travel in one struct."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("_row", F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).cast("binary")))
-    found = None
+    keyed = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_all"), F.col(quoted(text)).alias("_text"))
+    keyed = stored(keyed.withColumn("_row", F.md5(F.to_json("_all").cast("binary"))), "keyed")
+    found = []
     for b in range(blocks):
         pairs = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64(F.coalesce("_item", "_text")), F.lit(blocks)) == b).collect()]
         tables = spark.sparkContext.broadcast(build_patterns(pairs, window))
 
         def scan(batches: Iterator[pa.RecordBatch], tables=tables) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part, col in slices(batch, text):
+                for part, col in slices(batch, "_text"):
                     _, hits, names = _scan(col, tables.value)
                     keep = [i for i, x in enumerate(names) if x]
-                    key = part.column(part.schema.get_field_index("_row")).take(pa.array(keep, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([key, pa.array([hits[i] for i in keep], pa.list_(pa.int64())), pa.array([names[i] for i in keep], pa.list_(pa.string()))], names=["_row", "_hits", "_items"])
-
-        part = keyed.select("_row", text).dropDuplicates(["_row"]).mapInArrow(lean(scan), "_row string, _hits array<long>, _items array<string>")
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
-    words = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(F.split(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != "")))
-    out = keyed.join(merged, "_row", "left").withColumns({"n_words": words.cast("long"), "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "_items": F.coalesce("_items", F.array().cast("array<string>"))})
-    out = out.withColumns({"n_items": F.size("_items").cast("long"), "items_sha256": F.sha2(F.array_join("_items", ","), 256), "contaminated": (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))})
-    return out.select(*docs.columns, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([hits[i] for i in keep], pa.list_(pa.int64())), pa.array([names[i] for i in keep], pa.list_(pa.string()))], names=["_row", "_hits", "_items"])
+
+        found.append(stored(keyed.select("_row", "_text").mapInArrow(lean(scan), "_row string, _hits array<long>, _items array<string>").dropDuplicates(["_row"]), f"hits{b}"))
+        tables.destroy()
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    merged = every.groupBy("_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("_hits")))).alias("_k"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))
+    merged = stored(merged, "hits")
+    for part in found:
+        forget(part)
+    words = F.when(F.col("_text").isNull(), 0).otherwise(F.size(F.filter(F.split(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda x: x != ""))).cast("long")
+    out = keyed.join(merged, "_row", "left").select("_all", words.alias("n"), F.coalesce("_k", F.lit(0)).cast("long").alias("k"), F.coalesce("_items", F.array().cast("array<string>")).alias("i"))
+    more = [F.col("n").alias("n_words"), F.col("k").alias("n_hit"), F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), ((F.col("k") > 0) & (share * F.col("k") >= F.col("n"))).alias("contaminated")]
+    return out.select(*[F.col(f"_all.{quoted(c)}").alias(c) for c in docs.columns], *more)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
