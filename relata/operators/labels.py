@@ -51,31 +51,42 @@ def top_queries(pool: DataFrame, k: int = 5, score: Column | None = None) -> Dat
     return pool.withColumn("uncertainty", F.round(s, 9)).orderBy(F.desc("uncertainty"), *ties).limit(k)
 
 
-def either_way(rows: DataFrame, a: str, b: str, keep: list[str], seq: str = "seq") -> DataFrame:
-    """(_k1, _k2, _hit): for a look-up in both directions: the last row (a, b), else the first row (b, a)."""
+def either_way(rows: DataFrame, a: str, b: str, keep: list[str], seq: str = "seq", by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, _k1, _k2, _hit): for a look-up in both directions: the last row (a, b), else the first row (b, a), inside each document (by)."""
     hit = F.struct(*keep)
-    both = rows.select(F.col(a).alias("_k1"), F.col(b).alias("_k2"), F.lit(1).alias("_p"), F.col(seq).alias("_o"), hit.alias("_v")).unionByName(
-        rows.select(F.col(b).alias("_k1"), F.col(a).alias("_k2"), F.lit(0).alias("_p"), (-F.col(seq)).alias("_o"), hit.alias("_v"))
-    )
-    return both.groupBy("_k1", "_k2").agg(F.max_by("_v", F.struct("_p", "_o")).alias("_hit"))
+    side = lambda x, y, p, o: rows.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(x).alias("_k1"), F.col(y).alias("_k2"), F.lit(p).alias("_p"), o.alias("_o"), hit.alias("_v"))
+    both = side(a, b, 1, F.col(seq)).unionByName(side(b, a, 0, -F.col(seq)))
+    return both.groupBy(*[f"_{c}" for c in by], "_k1", "_k2").agg(F.max_by("_v", F.struct("_p", "_o")).alias("_hit"))
+
+
+def _document(*tables: DataFrame) -> tuple[str, ...]:
+    """The column that keeps documents apart, where all tables have it."""
+    return ("doc_id",) if all("doc_id" in t.columns for t in tables) else ()
+
+
+def _with_hit(left: DataFrame, hit: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    on = (F.col("entity1") == F.col("_k1")) & (F.col("entity2") == F.col("_k2"))
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return left.join(hit, on, "left")
 
 
 def tag_pairs(pairs: DataFrame, props: DataFrame) -> DataFrame:
-    """Pairs with frame_agreement and confidence of the proposition that joins them, in either direction. props: arg1, arg2, label,
-    confidence, seq."""
-    hit = either_way(props, "arg1", "arg2", ["label", "confidence"])
-    j = pairs.join(hit, (F.col("entity1") == F.col("_k1")) & (F.col("entity2") == F.col("_k2")), "left")
-    return j.withColumns({"frame_agreement": F.coalesce("_hit.label", F.lit("none")), "confidence": F.coalesce("_hit.confidence", "confidence")}).drop("_k1", "_k2", "_hit")
+    """Pairs with frame_agreement and confidence of the proposition of the same document that joins them, in either direction.
+    props: [doc_id,] arg1, arg2, label, confidence, seq."""
+    by = _document(pairs, props)
+    j = _with_hit(pairs, either_way(props, "arg1", "arg2", ["label", "confidence"], by=by), by)
+    return j.withColumns({"frame_agreement": F.coalesce("_hit.label", F.lit("none")), "confidence": F.coalesce("_hit.confidence", "confidence")}).drop("_k1", "_k2", "_hit", *[f"_{c}" for c in by])
 
 
 def induced_examples(props: DataFrame) -> DataFrame:
     """Weak positives from propositions that aren't negated (label, raw confidence, types; no context)."""
-    return props.where(~F.col("negated")).select(F.col("arg1").alias("entity1"), F.col("arg2").alias("entity2"), F.col("label").alias("relation"), F.lit("").alias("context"), F.col("label").alias("frame_agreement"), "confidence", "type1", "type2", "seq")
+    return props.where(~F.col("negated")).select(*_document(props), F.col("arg1").alias("entity1"), F.col("arg2").alias("entity2"), F.col("label").alias("relation"), F.lit("").alias("context"), F.col("label").alias("frame_agreement"), "confidence", "type1", "type2", "seq")
 
 
 def structural_pairs(pairs: DataFrame, negatives: DataFrame) -> DataFrame:
     """Pairs in the unordered negative set (lo, hi), per document where both have doc_id."""
-    by = [c for c in ("doc_id",) if c in pairs.columns and c in negatives.columns]
+    by = list(_document(pairs, negatives))
     p = pairs.withColumns({"lo": F.least("entity1", "entity2"), "hi": F.greatest("entity1", "entity2")})
     return p.join(negatives.select(*by, "lo", "hi").distinct(), [*by, "lo", "hi"], "left_semi").drop("lo", "hi")
 
@@ -85,34 +96,42 @@ def negative_cap(pool: DataFrame, cap: int, seq: str = "seq") -> DataFrame:
     return pool.orderBy(seq).limit(cap)
 
 
+def _changes(events: DataFrame, old: DataFrame) -> DataFrame:
+    """Seeds (key, label, seq) that change the store in their order: no human label of the key, and a label other than the one before."""
+    w = Window.partitionBy("key").orderBy("seq")
+    j = events.join(old, "key", "left").withColumn("_before", F.coalesce(F.lag("label").over(w), "_old"))
+    return j.where((F.coalesce("_by", F.lit("")) != ORACLE) & (F.col("_before").isNull() | (F.col("_before") != F.col("label")))).drop("_before", "_old", "_by")
+
+
 def seed(records: DataFrame, pairs: DataFrame, examples: DataFrame, negatives: DataFrame, max_negatives: int | None = None) -> DataFrame:
-    """The store (key, label, source, ...) after weak seeding.
+    """The store (key, label, source, ...) after weak seeding, document after document (by doc_id, where the tables have it).
 
-    Positives take types and context of the pair they join; then as many structural negatives as positives were written
-    (one at least). Human labels stay; a weak one is replaced where the label differs. Per key the last seed that
-    differs from the label before it counts, positives before negatives.
+    In each document positives take types and context of the pair they join; then come as many structural negatives as
+    positives were written (one at least, or ``max_negatives``). Human labels stay; a weak one is replaced where the label differs.
+    Per key the last seed that differs from the label before it counts. The order is (doc_id, positives first, seq), so the result
+    is the same however rows are dealt. Positives written are counted before any negatives.
     """
-    hit = either_way(pairs, "entity1", "entity2", ["type1", "type2", "context"])
-    e = examples.join(hit, (F.col("entity1") == F.col("_k1")) & (F.col("entity2") == F.col("_k2")), "left")
-    e = e.withColumns({"type1": F.coalesce("_hit.type1", "type1"), "type2": F.coalesce("_hit.type2", "type2"), "context": F.coalesce(F.nullif(F.col("_hit.context"), F.lit("")), "context")}).drop("_k1", "_k2", "_hit")
-    pos = label_records(e.withColumns({"label": F.col("relation"), "source": F.lit("induced_seed_pos")}))
+    by = _document(pairs, examples, negatives)
+    doc = F.col("doc_id").cast("string") if by else F.lit("")
+    order = lambda phase, d: F.struct(d.alias("d"), F.lit(phase).alias("phase"), F.col("seq").cast("long").alias("s"))
+    e = _with_hit(examples, either_way(pairs, "entity1", "entity2", ["type1", "type2", "context"], by=by), by)
+    e = e.withColumns({"type1": F.coalesce("_hit.type1", "type1"), "type2": F.coalesce("_hit.type2", "type2"), "context": F.coalesce(F.nullif(F.col("_hit.context"), F.lit("")), "context")}).drop("_k1", "_k2", "_hit", *[f"_{c}" for c in by])
+    pos = stored(label_records(e.withColumns({"label": F.col("relation"), "source": F.lit("induced_seed_pos"), "seq": order(0, doc)})), "seeds")
     old = records.select("key", F.col("label").alias("_old"), F.col("source").alias("_by"))
-
-    def written(new: DataFrame, old: DataFrame) -> DataFrame:
-        """Seeds that change the store: no human label, and a label other than the one before."""
-        w = Window.partitionBy("key").orderBy("seq")
-        j = new.join(old, "key", "left").withColumn("_before", F.coalesce(F.lag("label").over(w), "_old"))
-        return j.where((F.coalesce("_by", F.lit("")) != ORACLE) & (F.col("_before").isNull() | (F.col("_before") != F.col("label")))).drop("_before", "_old", "_by")
-
-    fresh = stored(written(pos, old), "seeds")
-    cap = max_negatives if max_negatives is not None else max(fresh.count(), 1)
-    chosen = negative_cap(structural_pairs(pairs, negatives), cap)
-    neg = label_records(chosen.withColumns({"label": F.lit(NO_RELATION), "source": F.lit("induced_seed_neg")}))
+    pool = structural_pairs(pairs, negatives)
+    if by:
+        caps = _changes(pos, old).groupBy(F.col("seq.d").alias("_d")).agg(F.count("*").alias("_cap"))
+        ranked = pool.withColumns({"_d": doc, "_rank": F.row_number().over(Window.partitionBy("doc_id").orderBy("seq"))}).join(caps, "_d", "left")
+        most = F.lit(max_negatives) if max_negatives is not None else F.greatest(F.coalesce("_cap", F.lit(0)), F.lit(1))
+        chosen = ranked.where(F.col("_rank") <= most).drop("_d", "_rank", "_cap")
+    else:
+        chosen = negative_cap(pool, max_negatives if max_negatives is not None else max(_changes(pos, old).count(), 1))
+    neg = label_records(chosen.withColumns({"label": F.lit(NO_RELATION), "source": F.lit("induced_seed_neg"), "seq": order(1, doc)}))
     cols = [c for c in records.columns if c != "seq"]
-    now = latest(records.select(*cols).withColumn("seq", F.lit(-1).cast("long")).unionByName(fresh.select(*cols, F.col("seq").cast("long"))))
-    more = written(neg, now.select("key", F.col("label").alias("_old"), F.col("source").alias("_by")))
-    step = F.lit(1 << 62).cast("long")
-    return latest(now.select(*cols, "seq").unionByName(more.select(*cols, (F.col("seq") + step).cast("long").alias("seq")))).select(*cols)
+    now = F.lit(None).cast(pos.schema["seq"].dataType)
+    before = records.select(*cols).withColumns({"seq": now, "_new": F.lit(False)})
+    after = _changes(pos.unionByName(neg), old).select(*cols, "seq").withColumn("_new", F.lit(True))
+    return latest(before.unionByName(after).withColumn("seq", F.struct("_new", "seq"))).select(*cols)
 
 
 def calibration_bins(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

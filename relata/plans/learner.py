@@ -21,7 +21,7 @@ from relata.schemas import LABELS
 from relata.sources.annotate import shape_sentences
 from relata.sources.export import clean
 from relata.sources.scratch import stored
-from relata.sources.stores import PathStore, append_label_log, compact_label_log, load_state, read_label_log, save_state
+from relata.sources.stores import PathStore, append_label_log, compact_label_log, load_state, log_exists, read_label_log, save_state
 
 log = logging.getLogger("relata")
 
@@ -73,9 +73,9 @@ class Learner:
         return cls(spark, cfg=replace(kw.pop("cfg", DEFAULT), persist=False), **kw)
 
     def _load_labels(self) -> DataFrame:
-        if self.labels_path:
-            with contextlib.suppress(Exception):  # no log yet
-                return stored(read_label_log(self.spark, self.labels_path), "records")
+        """The log's records, none where there is no log. A log that can't be read is an error: a run would replace it."""
+        if self.labels_path and log_exists(self.spark, self.labels_path):
+            return stored(read_label_log(self.spark, self.labels_path), "records")
         return self.spark.createDataFrame([], LABELS)
 
     def _rules(self, docs: DataFrame) -> DataFrame:

@@ -68,6 +68,66 @@ def test_counts_without_a_ledger_entry_do_not_count(spark, tmp_path):
     assert pathstats.support_of(s.slot_counts()).first().support == 1
 
 
+def test_a_dead_batch_does_not_come_back_by_compaction(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    s = stores.PathStore(spark, str(tmp_path / "store"), compact_every=3)
+    p = spark.createDataFrame([("met", "ada", "P", "bob", "P")], PROPS)
+    s.counts.append(pathstats.slot_counts(p).withColumn("batch", F.lit("unfinished")))
+    for i in range(1, 9):
+        s.add(p, spark.createDataFrame([(f"d{i}",)], "digest string"))
+        assert pathstats.support_of(s.slot_counts()).first().support == i
+        assert len(s.counts.batches()) < 3 and len(s.ledger.batches()) <= 3
+        assert len([f for f in (tmp_path / "store").iterdir() if f.is_dir()]) <= 10
+    assert sorted(r.digest for r in s.digests().collect()) == [f"d{i}" for i in range(1, 9)]
+
+
+def test_a_read_error_never_empties_the_labels(spark, tmp_path, monkeypatch):
+    from relata.plans import learner
+    from relata.schemas import LABELS
+
+    path = str(tmp_path / "labels")
+    row = lambda key, label, source: (key, label, source, "a", "b", "P", "P", "", "none", 0.0)
+    stores.append_label_log(spark.createDataFrame([row("k", "X", "oracle"), row("l", "Y", "induced_seed_pos")], LABELS), path)
+
+    def broken(*a):
+        raise OSError("no answer")
+
+    with monkeypatch.context() as m:
+        m.setattr(learner, "read_label_log", broken)
+        with pytest.raises(OSError):
+            learner.Learner(spark, labels_path=path)
+    assert {r.key: r.label for r in learner.Learner(spark, labels_path=path).records.collect()} == {"k": "X", "l": "Y"}
+    assert learner.Learner(spark, labels_path=str(tmp_path / "none")).records.isEmpty()
+    # what others wrote in the meantime stays: keys that aren't here, and human labels
+    stores.append_label_log(spark.createDataFrame([row("m", "Z", "oracle"), row("l", "H", "oracle")], LABELS), path)
+    stores.compact_label_log(spark.createDataFrame([row("k", "X2", "oracle"), row("l", "Y2", "induced_seed_pos")], LABELS), path)
+    assert {r.key: r.label for r in stores.read_label_log(spark, path).collect()} == {"k": "X2", "l": "H", "m": "Z"}
+    stores.compact_label_log(spark.createDataFrame([], LABELS), path)
+    assert stores.read_label_log(spark, path).count() == 3
+
+
+def test_documents_that_share_names_stay_apart(spark):
+    from relata.schemas import LABELS
+
+    pairs = [(d, i, "ada", "P", "bob", "Q", c, 0.7) for d, i, c in (("d1", 1, "met"), ("d2", 1, "saw"), ("d3", 1, "met"))] + [("d1", 2, "x", "P", "y", "P", "or", 0.7), ("d2", 2, "x", "P", "z", "P", "or", 0.7), ("d2", 3, "y", "P", "z", "P", "or", 0.7), ("d3", 2, "x", "P", "w", "P", "or", 0.7)]
+    props = [("d1", 1, "ada", "P", "bob", "Q", "MET", 0.5, False), ("d2", 1, "bob", "Q", "ada", "P", "SAW", 0.6, False), ("d3", 1, "ada", "P", "bob", "Q", "KNEW", 0.4, True)]
+    negatives = [("d1", "x", "y"), ("d2", "x", "z"), ("d2", "y", "z"), ("d3", "w", "x")]
+    found = []
+    for n in (1, 5):
+        p = spark.createDataFrame(pairs, "doc_id string, seq long, entity1 string, type1 string, entity2 string, type2 string, context string, confidence double").repartition(n)
+        q = spark.createDataFrame(props, "doc_id string, seq long, arg1 string, type1 string, arg2 string, type2 string, label string, confidence double, negated boolean").repartition(n, "label")
+        neg = spark.createDataFrame(negatives, "doc_id string, lo string, hi string").repartition(n)
+        tags = sorted((r.doc_id, r.seq, r.frame_agreement, r.confidence) for r in labels.tag_pairs(p, q).collect())
+        out = labels.seed(spark.createDataFrame([], LABELS), p, labels.induced_examples(q), neg)
+        found.append((tags, sorted((r.key, r.label, r.source) for r in out.collect())))
+    assert found[0] == found[1]
+    tags, seeds = found[0]
+    assert [t[2] for t in tags if t[1] == 1] == ["MET", "SAW", "KNEW"]
+    weak = "induced_seed_neg"
+    assert seeds == sorted([("ada|bob|met", "MET", "induced_seed_pos"), ("bob|ada|saw", "SAW", "induced_seed_pos"), ("x|y|or", "NO_RELATION", weak), ("x|z|or", "NO_RELATION", weak), ("x|w|or", "NO_RELATION", weak)])
+
+
 def test_state_round_trip(spark, tmp_path):
     tables = {"labels": [("met", "MET")], "medoids": [("MET", "met", "P", "Q")], "cohesion": [("MET", 0.5)], "previous": [("met", "met", "MET")], "support": [("met", 7)]}
     made = {t: spark.createDataFrame(rows, induce.TABLES[t]) for t, rows in tables.items()}
