@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from relata.functions.text import FULL_THEN_SHORT, SHORT_THEN_FULL
+
 _F1 = """f1 AS (
   SELECT p.p_name AS path, sn.n_name AS arg1, r.r_name AS type1, cn.n_name AS arg2, c.c_mktsegment AS type2, l.l_orderkey, l.l_linenumber
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
@@ -9,8 +11,10 @@ _F1 = """f1 AS (
   JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation cn ON c.c_nationkey = cn.n_nationkey)"""
 _F2 = """f1 AS (
   SELECT p.p_brand || '>' || o.o_orderpriority AS path, c.c_name AS arg1, c.c_mktsegment AS type1, p.p_name AS arg2, p.p_type AS type2
-  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE l.l_quantity <= 5)"""
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey)"""
+_F3 = """f1 AS (
+  SELECT o_orderpriority AS path, c_name || ' ' || year(o_orderdate) AS arg1, c_mktsegment AS type1, strftime(o_orderdate, '%Y-%m') AS arg2, o_orderstatus AS type2
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
 _COUNTS = """counts AS (
   SELECT path, slot, filler, count(*) AS n FROM (
     SELECT path, 'x' AS slot, arg1 AS filler FROM f1 UNION ALL SELECT path, 'y', arg2 FROM f1
@@ -69,7 +73,7 @@ pr AS (SELECT tp / pp AS p, tp / gg AS r, n FROM two)"""
 _TUPLES = """base AS (SELECT o_orderkey AS doc_id, l_linenumber::BIGINT AS seq, p_name AS arg1, p_type AS rel, p_brand AS arg2 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
 tok AS (SELECT doc_id, seq, list_distinct(list_filter(string_split(lower(trim(arg1)), ' '), lambda x: x <> '')) AS t1, list_distinct(list_filter(string_split(lower(trim(arg2)), ' '), lambda x: x <> '')) AS t2, lower(trim(arg1)) AS a1, lower(trim(arg2)) AS a2 FROM base)"""
 _SENT = """sent AS (SELECT doc_id, i - 1 AS sent_id, list_filter(string_split(regexp_replace(s, '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
-  FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[.\\n]')) AS s, generate_subscripts(string_split_regex(lower(coalesce(text, '')), '[.\\n]'), 1) AS i FROM documents WHERE lang = 'en')),
+  FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[.\\n]')) AS s, generate_subscripts(string_split_regex(lower(coalesce(text, '')), '[.\\n]'), 1) AS i FROM documents)),
 words AS (SELECT doc_id::VARCHAR AS doc_id, sent_id::INTEGER AS sent_id, unnest(w) AS word, (generate_subscripts(w, 1) - 1)::INTEGER AS i FROM sent),
 stops AS (SELECT unnest(['the','of','and','to','in','is','it','as','on','by','for','with','that','this','be','at','are','was','he','or']) AS word),
 men AS (SELECT doc_id, sent_id, i, word, CASE WHEN length(word) >= 12 THEN 'LONG' ELSE 'SHORT' END AS label FROM words WHERE length(word) >= 9)"""
@@ -87,6 +91,9 @@ w AS (SELECT entity, term, tf * (ln((1 + (SELECT count(DISTINCT arg2) FROM f1))
 vec AS (SELECT entity, term, w / sqrt(sum(w * w) OVER (PARTITION BY entity)) AS weight FROM w)"""
 
 
+_NORMAL = "trim(regexp_replace(translate(lower({0}), '’.', ''''), '[\\s\\x{{00a0}}]+', ' ', 'g'))"
+
+
 def _sql(*parts: str) -> str:
     *ctes, last = parts
     return "WITH " + ",\n".join(ctes) + "\n" + last if ctes else last
@@ -117,7 +124,7 @@ def oracle_sql() -> dict[str, str]:
         "block_gap_threshold": _sql(*dist, _SUPPORT, _DOMINANT, _BLOCKS, _THRESHOLDS, "SELECT sx, sy, size, round(threshold, 6) AS threshold FROM thr"),
         "ema_threshold": _sql(*dist, _SUPPORT, _DOMINANT, _BLOCKS, _THRESHOLDS, "SELECT sx, sy, round(CASE WHEN size >= 3 THEN 0.5 * 0.5 + 0.5 * threshold ELSE threshold END, 6) AS threshold FROM thr"),
         "type_smoothing": _sql(
-            _F2, _COUNTS,
+            _F3, _COUNTS,
             """a AS (SELECT * FROM counts WHERE slot IN ('x', 'y')), g AS (SELECT slot, filler, sum(n) AS a FROM a GROUP BY ALL),
             m AS (SELECT path, slot, least(0.5, sum(CASE WHEN g.a <= 1 THEN n ELSE 0 END) / sum(n)) * sum(n) AS mass FROM a JOIN g USING (slot, filler) GROUP BY ALL HAVING mass > 0),
             t AS (SELECT path, substr(slot, 2, 1) AS slot, filler, n, sum(n) OVER (PARTITION BY path, slot) AS tt FROM counts WHERE slot IN ('tx', 'ty'))""",
@@ -146,8 +153,9 @@ def oracle_sql() -> dict[str, str]:
             "SELECT cluster, label, round(i / (a + b - i), 6) AS jaccard FROM i JOIN a USING (cluster) JOIN b USING (label)",
         ),
         "readable_label": "SELECT DISTINCT path, coalesce(nullif(substr(regexp_replace(upper(replace(path, '→', '_')), '[^A-Z0-9_]', '', 'g'), 1, 40), ''), 'RELATED_TO') AS label FROM (SELECT p_name || '→' || coalesce(p_type, '') || '→#→' || p_brand AS path FROM part)",
-        "unique_label": """SELECT path, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS label FROM (SELECT path, base, row_number() OVER (PARTITION BY base ORDER BY path) AS k FROM (
-            SELECT DISTINCT p_type || ' ' || p_brand AS path, coalesce(nullif(substr(regexp_replace(upper(split_part(p_type || ' ' || p_brand, ' ', 1)), '[^A-Z0-9_]', '', 'g'), 1, 40), ''), 'RELATED_TO') AS base FROM part))""",
+        "unique_label": """WITH p AS (SELECT DISTINCT p_type || ' ' || p_brand AS path, coalesce(nullif(substr(regexp_replace(upper(split_part(p_type || ' ' || p_brand, ' ', 1)), '[^A-Z0-9_]', '', 'g'), 1, 40), ''), 'RELATED_TO') AS base FROM part),
+            k AS (SELECT path, base, row_number() OVER (PARTITION BY base ORDER BY path) AS k, count(*) OVER (PARTITION BY base) AS n FROM p)
+            SELECT path, CASE WHEN base < 'N' AND k = 1 THEN base || '_' || (n + 1) WHEN k = 1 THEN base ELSE base || '_' || k END AS label FROM k""",
         "relation_schema": _sql(*nested, 'SELECT label, domain, "range", support FROM rel'),
         "subsumption_parent": _sql(*nested, _PARENTS, "SELECT r.label, p.parent, coalesce(round(p.up, 3), 0.0)::DOUBLE AS containment FROM rel r LEFT JOIN par p USING (label)"),
         "hierarchy_depth": "WITH RECURSIVE " + ",\n".join((*nested, _PARENTS)) + """,
@@ -200,15 +208,19 @@ def oracle_sql() -> dict[str, str]:
         "precision_proxy": _sql(*sent, "SELECT round(avg((split_part(context, ' ', 1) NOT IN ('he','him','his','she','her','hers','it','its','they','them','their') AND entity2 NOT IN ('he','him','his','she','her','hers','it','its','they','them','their'))::INTEGER), 3) AS proxy_precision FROM ctx"),
         "labelled_precision": _sql(_F2, "SELECT round(avg((length(arg1) % 2 = 0)::INTEGER), 3) AS labelled_precision FROM f1 WHERE length(arg2) % 2 = 0"),
         "pair_partition": _sql(_F1, "SELECT arg1, arg2, path AS label FROM f1 QUALIFY row_number() OVER (PARTITION BY arg1, arg2 ORDER BY l_orderkey DESC, l_linenumber DESC, path DESC) = 1"),
-        "normalize_surface": "SELECT doc_id, sha1(trim(regexp_replace(translate(lower(coalesce(string_split(text, chr(10))[1], '')), '’.', ''''), '[\\s\\x{00a0}]+', ' ', 'g'))) AS digest FROM documents",
-        "acronym_gloss": """WITH n AS (SELECT n_nationkey::VARCHAR AS doc_id, translate(n_name, '_0123456789', 'XABCDEFGHIJ') AS n_name FROM nation)
-            SELECT doc_id, lower(substr(n_name, 1, 2)) || 'tb' AS alias, lower(n_name) || ' trade board' AS canonical FROM n
-            UNION ALL SELECT doc_id, lower(substr(n_name, 1, 3)), lower(n_name) || ' office' FROM n""",
+        "normalize_surface": "SELECT doc_id, sha1(trim(regexp_replace(translate(lower(coalesce(text, '')), '’.', ''''), '[\\s\\x{00a0}]+', ' ', 'g'))) AS digest FROM documents",
+        "acronym_gloss": f"""WITH n AS (SELECT n_nationkey, translate(n_name, '_0123456789', 'XABCDEFGHIJ') AS u FROM nation), m AS (SELECT *, upper(u[1]) || lower(substr(u, 2)) AS name FROM n),
+            src AS (SELECT doc_id::VARCHAR AS doc_id, text FROM documents UNION ALL SELECT 'nation ' || n_nationkey, 'reports say ' || name || ' Trade Board (' || substr(u, 1, 2) || 'TB) met; ' || substr(u, 1, 3) || ' (' || name || ' Office) did not.' FROM m),
+            hit AS (SELECT doc_id, 0 AS r, unnest(regexp_extract_all(text, '{FULL_THEN_SHORT}', 1)) AS f, unnest(regexp_extract_all(text, '{FULL_THEN_SHORT}', 2)) AS a, generate_subscripts(regexp_extract_all(text, '{FULL_THEN_SHORT}'), 1) AS i FROM src
+              UNION ALL SELECT doc_id, 1, unnest(regexp_extract_all(text, '{SHORT_THEN_FULL}', 2)), unnest(regexp_extract_all(text, '{SHORT_THEN_FULL}', 1)), generate_subscripts(regexp_extract_all(text, '{SHORT_THEN_FULL}'), 1) FROM src),
+            norm AS (SELECT doc_id, r, i, {_NORMAL.format('f')} AS canonical, {_NORMAL.format('a')} AS alias FROM hit)
+            SELECT doc_id, alias, canonical FROM norm WHERE alias <> '' AND canonical <> '' AND alias <> canonical AND length(replace(alias, ' ', '')) <= 9
+            QUALIFY row_number() OVER (PARTITION BY doc_id, alias ORDER BY r DESC, i DESC) = 1""",
         "acronym_initials": """SELECT c_custkey::VARCHAR AS doc_id, lower(n_name[1] || c_mktsegment[1]) AS alias, lower(n_name || ' ' || c_mktsegment) AS canonical FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name NOT LIKE '% %'""",
         "canonical_names": """WITH m AS (SELECT lower(n_name || ' ' || c_mktsegment) AS name, lower(n_name[1] || c_mktsegment[1]) AS short, n_name NOT LIKE '% %' AS plain FROM customer JOIN nation ON c_nationkey = n_nationkey)
             SELECT canonical, count(*) AS n FROM (SELECT name AS canonical FROM m UNION ALL SELECT CASE WHEN short = 'fb' THEN 'francophone builders' WHEN plain THEN name ELSE short END FROM m) GROUP BY 1""",
         "pronoun_counts": """WITH w AS (SELECT len(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'), ' '), lambda x: x IN ('he','him','his','she','her','hers','it','its','they','them','their'))) AS a,
-              len(list_filter(string_split(regexp_replace(lower(replace(coalesce(text, ''), ' it ', ' engine ')), '[^a-z]+', ' ', 'g'), ' '), lambda x: x IN ('he','him','his','she','her','hers','it','its','they','them','their'))) AS b FROM documents WHERE lang = 'en'),
+              len(list_filter(string_split(regexp_replace(lower(replace(coalesce(text, ''), ' it ', ' engine ')), '[^a-z]+', ' ', 'g'), ' '), lambda x: x IN ('he','him','his','she','her','hers','it','its','they','them','their'))) AS b FROM documents),
             s AS (SELECT sum(a)::BIGINT AS a, sum(b)::BIGINT AS b FROM w)
             SELECT a AS pronouns_before, b AS pronouns_after, greatest(a - b, 0) AS pronouns_resolved, round(greatest(a - b, 0) / a, 3) AS resolution_rate FROM s""",
         "rule_coref_antecedent": _sql(
@@ -229,15 +241,15 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT DISTINCT a.doc_id, a.word || ' ' || b.word AS concept FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND b.i = a.i + 1 WHERE length(a.word) >= 7 AND length(b.word) >= 7)""",
             "SELECT doc_id, concept, type, surface, 0.9::DOUBLE AS confidence, 'NER' AS sources FROM e UNION ALL SELECT doc_id, concept, 'CONCEPT', concept, 0.6, 'NOUN_CHUNK' FROM c",
         ),
-        "token_jaccard": """WITH c AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM conversations GROUP BY 1),
-            t AS (SELECT conv_id, list_distinct(list_filter(string_split_regex(lower(coalesce(a, '')), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(coalesce(b, '')), '\\s+'), lambda x: x <> '')) AS b FROM c)
-            SELECT conv_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END::DOUBLE, 6) AS jaccard FROM t""",
+        "token_jaccard": """WITH c AS (SELECT conv_id, turn, text AS a, lead(text) OVER w AS b, lead(turn) OVER w AS more FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+            t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split_regex(lower(coalesce(a, '')), '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(lower(coalesce(b, '')), '\\s+'), lambda x: x <> '')) AS b FROM c WHERE more IS NOT NULL)
+            SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END::DOUBLE, 6) AS jaccard FROM t""",
         "context_profiles": _sql(
             _SENT, "nx AS (SELECT m.doc_id, m.sent_id, m.i, m.word AS entity, w.word FROM men m LEFT JOIN words w ON w.doc_id = m.doc_id AND w.sent_id = m.sent_id AND w.i = m.i + 1 AND w.word NOT IN (SELECT word FROM stops))",
             "SELECT doc_id, entity, coalesce(string_agg(word, ' ' ORDER BY sent_id, i), '') AS words FROM nx GROUP BY ALL",
         ),
         "heuristic_uncertainty": _sql(*sent, f"SELECT doc_id, seq, round({_UNC}, 6) AS uncertainty FROM ctx"),
-        "margin_uncertainty": """WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE * x::DOUBLE) AS s FROM embeddings), p AS (SELECT vec_id, list_reverse_sort(list_transform(s, lambda x: x / list_sum(s))) AS p FROM e)
+        "margin_uncertainty": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE) AS s FROM embeddings), p AS (SELECT vec_id, list_reverse_sort(list_transform(s, lambda x: x / list_sum(s))) AS p FROM e)
             SELECT vec_id, round(1 - (p[1] - p[2]), 6) AS uncertainty FROM p""",
         "query_pool_antijoin": _sql(_LOG, "SELECT entity1 || '|' || entity2 || '|' AS key, seq FROM log WHERE key NOT IN (SELECT entity1 || '|' || entity2 || '|' FROM (SELECT * FROM log WHERE seq % 2 = 0 QUALIFY row_number() OVER (PARTITION BY entity1, entity2 ORDER BY seq DESC) = 1) WHERE source = 'oracle')").replace("WHERE key NOT IN", "WHERE entity1 || '|' || entity2 || '|' NOT IN"),
         "topk_queries": _sql(*sent, f"SELECT doc_id || '|' || seq AS key, round({_UNC}, 9) AS uncertainty FROM ctx ORDER BY 2 DESC, 1 LIMIT 25"),

@@ -158,7 +158,7 @@ def ema_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def type_smoothing(spark: SparkSession, d: str) -> DataFrame:
-    counts = pathstats.slot_counts(V.sparse_propositions(spark, d))
+    counts = pathstats.slot_counts(V.order_propositions(spark, d))
     return dirt.smoothed(counts, replace(DEFAULT, type_smoothing_max_alpha=0.5)).where("filler like '§T:%'").select("path", "slot", "filler", *_r6("n"))
 
 
@@ -210,11 +210,10 @@ def readable_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def unique_label(spark: SparkSession, d: str) -> DataFrame:
-    """Suffixes of colliding labels in order of the path (labels that end in a number don't occur here)."""
+    """Labels of part types by their first word, numbered in order of the path; one of the numbered names is taken already."""
     p = V.table(spark, d, "part").select(F.concat("p_type", F.lit(" "), "p_brand").alias("path")).distinct()
-    p = p.withColumn("base", T.readable_label(F.substring_index("path", " ", 1)))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("path"))
-    return p.select("path", F.when(k == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), k.cast("string"))).alias("label"))
+    wanted = p.select(F.col("path").alias("id"), T.readable_label(F.substring_index("path", " ", 1)).alias("base"), F.col("path").alias("ord"))
+    return induce.unique_names(wanted, wanted.select(F.col("base").alias("label")).distinct().where("label < 'N'")).select(F.col("id").alias("path"), "label")
 
 
 # ---- schema ------------------------------------------------------------------------------------------------------------------------
@@ -392,40 +391,31 @@ def pair_partition(spark: SparkSession, d: str) -> DataFrame:
 # ---- text ----------------------------------------------------------------------------------------------------------------------------------
 
 
-def _english(spark: SparkSession, d: str) -> DataFrame:
-    return V.spread(V.table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text"))
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return V.spread(V.table(spark, d, "documents").select("doc_id", "text"))
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    return shape_sentences(_english(spark, d))
+    return shape_sentences(_documents(spark, d))
 
 
 @query
 def normalize_surface(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "documents").select("doc_id", F.sha1(T.normalize_surface(F.substring_index("text", "\n", 1)).cast("binary")).alias("digest"))
-
-
-@query
-def normalize_surface_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As normalize_surface, whose SQL takes first lines only, but of whole texts."""
     return V.table(spark, d, "documents").select("doc_id", F.sha1(T.normalize_surface(F.col("text")).cast("binary")).alias("digest"))
 
 
-def _board_texts(spark: SparkSession, d: str) -> DataFrame:
+def _glossed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, and a sentence with two glosses for each nation."""
     n = V.table(spark, d, "nation").withColumn("n_name", F.translate("n_name", "_0123456789", "XABCDEFGHIJ"))
     name = F.initcap(F.lower("n_name"))
-    return n.select(F.col("n_nationkey").cast("string").alias("doc_id"), F.concat(F.lit("reports say "), name, F.lit(" Trade Board ("), F.left("n_name", F.lit(2)), F.lit("TB) met; "), F.left("n_name", F.lit(3)), F.lit(" ("), name, F.lit(" Office) did not.")).alias("text"))
+    board = F.concat(F.lit("reports say "), name, F.lit(" Trade Board ("), F.left("n_name", F.lit(2)), F.lit("TB) met; "), F.left("n_name", F.lit(3)), F.lit(" ("), name, F.lit(" Office) did not."))
+    made = n.select(F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("doc_id"), board.alias("text"))
+    return V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text").unionByName(made)
 
 
 @query
 def acronym_gloss(spark: SparkSession, d: str) -> DataFrame:
-    return X.glosses(_board_texts(spark, d))
-
-
-@query
-def acronym_gloss_documents(spark: SparkSession, d: str) -> DataFrame:
-    """As acronym_gloss, whose SQL is over sentences made from nation names, but over all documents."""
-    return X.glosses(V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    return X.glosses(_glossed_texts(spark, d))
 
 
 def _name_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +439,7 @@ def canonical_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pronoun_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = _english(spark, d)
+    docs = _documents(spark, d)
     words = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " "), " ")
     return X.pronoun_counts(docs, docs.withColumn("text", F.replace("text", F.lit(" it "), F.lit(" engine "))), words)
 
@@ -501,8 +491,10 @@ def concepts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    c = V.table(spark, d, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("b"))
-    return c.select("conv_id", F.round(T.token_jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    """Each turn beside the next one of its conversation."""
+    after = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    c = V.table(spark, d, "conversations").withColumns({"_next": F.lead("text").over(after), "_more": F.lead("turn").over(after)})
+    return c.where("_more is not null").select("conv_id", "turn", F.round(T.token_jaccard(F.col("text"), F.col("_next")), 6).alias("jaccard"))
 
 
 @query
@@ -525,20 +517,12 @@ def heuristic_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("doc_id", "seq", F.round(u, 6).alias("uncertainty"))
 
 
-def _margins(p: DataFrame, e: Column) -> DataFrame:
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return p.select("vec_id", F.round(S.margin_uncertainty(F.transform(e, lambda x: x.cast("double") * x.cast("double") / total)), 6).alias("uncertainty"))
-
-
 @query
 def margin_uncertainty(spark: SparkSession, d: str) -> DataFrame:
-    return _margins(V.table(spark, d, "embeddings"), F.slice("embedding", 1, 4))
-
-
-@query
-def margin_uncertainty_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As margin_uncertainty, whose SQL takes four components only, but over whole vectors."""
-    return _margins(V.table(spark, d, "embeddings"), F.col("embedding"))
+    """Of vectors' squared components, as shares of their sum."""
+    squares = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
+    total = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)
+    return V.table(spark, d, "embeddings").select("vec_id", F.round(S.margin_uncertainty(F.transform(squares, lambda x: x / total)), 6).alias("uncertainty"))
 
 
 @query

@@ -30,14 +30,20 @@ def trade_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, arg1, type1, arg2, type2): brand and priority as paths between customers and parts, small quantities only."""
+    """(path, arg1, type1, arg2, type2): brand and priority as paths between customers and parts."""
     t = lambda n: table(spark, sf_dir, n)
-    l = t("lineitem").where("l_quantity <= 5").select("l_orderkey", "l_partkey")
+    l = t("lineitem").select("l_orderkey", "l_partkey")
     o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderpriority", "c_name", "c_mktsegment")
     j = l.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(F.concat("p_brand", F.lit(">"), "o_orderpriority").alias("path"), F.col("c_name").alias("arg1"), F.col("c_mktsegment").alias("type1"), F.col("p_name").alias("arg2"), F.col("p_type").alias("type2"))
 
 
+def order_propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, arg1, type1, arg2, type2): priorities as paths between customers in a year (many of them rare) and months."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(F.col("o_orderpriority").alias("path"), F.concat("c_name", F.lit(" "), F.year("o_orderdate").cast("string")).alias("arg1"), F.col("c_mktsegment").alias("type1"), F.date_format("o_orderdate", "yyyy-MM").alias("arg2"), F.col("o_orderstatus").alias("type2"))
+
+
 def brand_type_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item, pred, gold): parts, by brand and by type."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_brand").alias("pred"), F.col("p_type").alias("gold"))

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_whole_texts_are_normalised(spark):
-    got = {r.doc_id: r.digest for r in entry.queries()["normalize_surface_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.digest for r in entry.queries()["normalize_surface"](spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     plain = {r.doc_id: re.sub(r"\s+", " ", (r.text or "").lower().replace("’", "'").replace(".", "")).strip(" ") for r in rows}
     assert any("\n" in (r.text or "") for r in rows)
@@ -17,7 +17,7 @@ def test_whole_texts_are_normalised(spark):
 
 
 def test_whole_vectors_make_the_margin(spark):
-    got = {r.vec_id: r.uncertainty for r in entry.queries()["margin_uncertainty_whole"](spark, SF).collect()}
+    got = {r.vec_id: r.uncertainty for r in entry.queries()["margin_uncertainty"](spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     assert len(got) == len(rows)
     for r in rows:
@@ -40,5 +40,6 @@ def test_the_whole_pipeline_gets_all_documents(spark, monkeypatch):
 def test_glosses_of_documents(spark, tmp_path):
     rows = [(1, "one\nsays World Trade Board (WTB) met"), (2, None), (3, "ZFO (Zonal Field Office) did")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.alias, r.canonical) for r in entry.queries()["acronym_gloss_documents"](spark, str(tmp_path)).collect()}
-    assert got == {("1", "wtb", "world trade board"), ("3", "zfo", "zonal field office")}
+    spark.createDataFrame([(0, "KENYA")], "n_nationkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    got = {(r.doc_id, r.alias, r.canonical) for r in entry.queries()["acronym_gloss"](spark, str(tmp_path)).collect()}
+    assert got == {("1", "wtb", "world trade board"), ("3", "zfo", "zonal field office"), ("nation 0", "ketb", "kenya trade board"), ("nation 0", "ken", "kenya office")}
