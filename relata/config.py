@@ -43,6 +43,7 @@ class Config:
     al_refit_epochs: int = 12
     al_batch: int = 5
     kg_excluded_sources: tuple[str, ...] = ("distributional_similarity",)
+    kg_model: str = "rotate"  # or "complex"
     kg_dim: int = 50
     kg_epochs: int = 50
     persist: bool = True

@@ -124,7 +124,7 @@ class Learner:
         if graph:
             t = labels.triples(self.result["relations"], self.cfg)
             try:
-                self.result["entities"], self.result["rotations"] = kg.train_rotate(t, self.cfg)
+                self.result["entities"], self.result["rotations"] = kg.train(t, self.cfg)
                 self.result["triples"] = t
             except ValueError as e:
                 log.warning("no graph embeddings: %s", e)

@@ -640,7 +640,7 @@ def link_prediction(spark: SparkSession, d: str) -> DataFrame:
     """The best twenty links of the graph that nations, segments and regions make."""
     p = V.trade_propositions(spark, d)
     t = p.select(F.col("arg1").alias("h"), F.lit("IN").alias("r"), F.col("type1").alias("t")).unionByName(p.select(F.col("arg2").alias("h"), F.lit("SELLS_TO").alias("r"), F.col("type2").alias("t"))).distinct()
-    ent, rel = kg.train_rotate(t)
+    ent, rel = kg.train(t)
     return kg.predict_links(ent, rel, t, 20)
 
 

@@ -127,7 +127,7 @@ def test_similarity_patterns(spark):
 def test_graph(spark):
     t = [(f"p{i}", "IN", f"c{i % 4}") for i in range(40)] + [(f"c{i}", "OF", f"l{i % 2}") for i in range(4)]
     df = spark.createDataFrame(t, "h string, r string, t string")
-    ent, rel = kg.train_rotate(df, Config(kg_dim=16))
+    ent, rel = kg.train(df, Config(kg_dim=16))
     assert ent.count() == 46 and rel.count() == 2
     assert kg.hits_at(ent, rel, df, 10) > 0.8
     assert kg.hits_at(ent, rel, df.limit(0)) is None
@@ -139,7 +139,31 @@ def test_graph(spark):
     train, test, valid = kg.split_triples(df)
     assert valid and train.count() + test.count() == 44 and not kg.split_triples(df.limit(5))[2]
     with pytest.raises(ValueError):
-        kg.train_rotate(df.limit(2))
+        kg.train(df.limit(2))
+
+
+def test_rounds_of_parts():
+    for parts in (4, 6, 10):
+        rounds = kg.rounds_of(parts)
+        assert all(sorted(x for p in r for x in p) == list(range(parts)) for r in rounds)
+        pairs = [p for r in rounds for p in r]
+        assert len(pairs) == len(set(pairs)) == parts * (parts - 1) // 2
+
+
+@pytest.mark.parametrize("model,per_task", [("complex", 1000), ("rotate", 20)])
+def test_graph_models_and_parts(spark, model, per_task):
+    t = [(f"p{i}", "IN", f"c{i % 4}") for i in range(40)] + [(f"c{i}", "OF", f"l{i % 2}") for i in range(4)]
+    df = spark.createDataFrame(t, "h string, r string, t string")
+    cfg = Config(kg_dim=16, kg_model=model)
+    ent, rel = kg.train(df, cfg, per_task)
+    assert ent.count() == 46 == ent.select("entity").distinct().count() and rel.count() == 2
+    assert kg.hits_at(ent, rel, df, 10, cfg) > 0.7
+    one = kg.link_scores(ent, rel, df.where("h = 'c0'"), 5, cfg).orderBy(F.desc("score")).collect()
+    e = {r.entity: np.array(r.re) + 1j * np.array(r.im) for r in ent.collect()}
+    turn = {r.relation: np.array(r.re) + 1j * np.array(r.im) for r in rel.collect()}
+    plain = lambda x: -np.abs(e["c0"] * turn["OF"] - x).sum() if model == "rotate" else np.real((e["c0"] * turn["OF"] * np.conj(x)).sum())
+    want = sorted(((plain(x), n) for n, x in e.items()), reverse=True)[:5]
+    assert [r.t for r in one] == [n for _, n in want] and [r.score for r in one] == pytest.approx([s for s, _ in want])
 
 
 def test_nearest_neighbours(spark):
