@@ -61,27 +61,28 @@ def _printed(hashes: Column, own: Column) -> Column:
     return F.when(F.size(hashes) > 0, F.array_join(F.transform(hashes, digits), "-")).otherwise(F.concat(F.lit("t"), digits(own)))
 
 
-def fingerprint_versions(rows: DataFrame, versions: list[str], keys: list[str], lex: DataFrame) -> DataFrame:
+def fingerprint_versions(rows: DataFrame, versions: list[str], keys: list[str], more: Column, lex: DataFrame) -> DataFrame:
     """Hash of each subset's sorted terms, for several text columns of each row: of terms in the band (_c; _k of them) and of all (_all).
-    ``keys`` identify a row and begin with its partition key.
 
-    The lexicon is broadcast after its size was checked; the exploded terms never leave their task.
+    ``keys`` (numbers) identify a row and begin with its partition key; ``more`` comes along once a row (_more), with the empty term of
+    the first version. The lexicon is broadcast after its size was checked; the exploded terms never leave their task.
     """
     size = lex.count()
     if size <= MOST_LEXICON:
         lex = F.broadcast(lex)
     both = F.array(*[F.struct(F.lit(i).alias("v"), F.col(c).alias("t")) for i, c in enumerate(versions)])
-    t = rows.select(*keys, F.explode(both).alias("_x"))
-    t = t.select(*keys, F.col("_x.v").alias("_v"), F.explode(_terms(F.col("_x.t"))).alias("_term"))
-    t = t.withColumn("_h", F.xxhash64("_term")).drop("_term")
+    t = rows.select(*keys, more.alias("_m"), F.explode(both).alias("_x"))
+    t = t.select(*keys, "_m", F.col("_x.v").alias("_v"), F.explode(_terms(F.col("_x.t"))).alias("_term"))
+    t = t.select(*keys, "_v", F.xxhash64("_term").alias("_h"), F.when((F.col("_term") == "") & (F.col("_v") == 0), F.col("_m")).alias("_m"))
     hit = t.join(lex, "_h")
-    band = ~F.col("_over")
-    a = hit.groupBy(*keys, "_v", "_subset").agg(
-        F.sort_array(F.collect_list(F.when(band, F.col("_h")))).alias("_s"), F.sort_array(F.collect_list("_h")).alias("_sa"),
-        F.count(F.when(band & F.col("_subset").between(0, SUBSETS - 1), 1)).alias("_k"),
-    )
+    # one list a subset: a term's hash with its last bit set where it is above the band
+    marked = F.when(F.col("_over"), F.col("_h").bitwiseOR(F.lit(1))).otherwise(F.col("_h").bitwiseAND(F.lit(-2)))
+    in_band = lambda h: h.bitwiseAND(F.lit(1)) == 0
+    a = hit.groupBy(*keys, "_v", "_subset").agg(F.sort_array(F.collect_list(marked)).alias("_sa"), F.first("_m", True).alias("_more"))
+    a = a.withColumn("_s", F.filter("_sa", in_band))
     hashed = lambda s: F.when(F.size(s) > 0, F.xxhash64("_subset", s))
-    return a.select(*keys, "_v", "_subset", hashed("_s").alias("_c"), hashed("_sa").alias("_all"), "_k")
+    k = F.when(F.col("_subset").between(0, SUBSETS - 1), F.size("_s")).otherwise(0)
+    return a.select(*keys, "_v", "_subset", hashed("_s").alias("_c"), hashed("_sa").alias("_all"), k.alias("_k"), "_more")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,18 +112,18 @@ def imatch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", df_low:
     edited = F.concat(F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(char_length(text) / 2) as int))"))
     rows = rows.withColumn("_edited", F.when(half > 0, F.coalesce(edited, F.col("text"))).otherwise(F.col("text")))
     rows = rows.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2("_edited", 256), "_own": F.xxhash64("text"), "_own_edited": F.xxhash64("_edited")})
-    keys = ["_bucket", "_rn", "_extra", "doc_id", "n_chars", "edited_sha256", "_own", "_own_edited"]
+    keys, more = ["_bucket", "_rn", "_extra"], F.struct("doc_id", "n_chars", "edited_sha256", "_own", "_own_edited")
     # a row of its own for each document, so that one without lexicon terms stays: the empty term is in the lexicon as subset -1
     mark = lex.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("_h"), F.lit(False).alias("_over"), F.lit(-1).alias("_subset"))
     rows = rows.withColumns({"text": F.concat(F.lit(" "), "text"), "_edited": F.concat(F.lit(" "), "_edited")})
-    codes = fingerprint_versions(rows, ["text", "_edited"], keys, lex.unionByName(mark))
+    codes = fingerprint_versions(rows, ["text", "_edited"], keys, more, lex.unionByName(mark))
     given = lambda v, c: (F.col("_v") == v) & (F.col("_subset") >= 0) & F.col(c).isNotNull()
     hashes = lambda v, c: F.transform(F.sort_array(F.collect_list(F.when(given(v, c), F.struct("_subset", F.col(c).alias("h"))))), lambda x: x["h"])
     bits = lambda v, c: F.coalesce(F.bit_or(F.when(given(v, c), F.expr("shiftleft(1L, _subset)"))), F.lit(0).cast("long"))
     print_ = lambda v, c: F.struct(hashes(v, c).alias("hashes"), bits(v, c).alias("bits"))
     few = lambda v: F.sum(F.when(F.col("_v") == v, F.col("_k")).otherwise(0)) < FEW
     of = lambda v: F.struct(few(v).alias("few"), print_(v, "_c").alias("band"), print_(v, "_all").alias("all"))
-    fp = codes.groupBy(*keys).agg(of(0).alias("_a"), of(1).alias("_b"))
+    fp = codes.groupBy(*keys).agg(of(0).alias("_a"), of(1).alias("_b"), F.first("_more", True).alias("_m")).select(*keys, "_a", "_b", "_m.*")
     w = Window.partitionBy("_bucket").orderBy("_rn")
     fp = fp.withColumns({"_n": F.lead("_a").over(w), "_next_own": F.lead("_own").over(w)}).where("_extra = 0")
     none = lambda x: x["all"]["bits"] == 0

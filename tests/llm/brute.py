@@ -131,7 +131,7 @@ def imatch(docs: list[tuple[int, str | None]], low: float = 0.001, high: float =
         if k >= lo:
             h = _hash(w)
             cells = [(i * subsets + c) for i, r in enumerate(rates) if (c := _hash((i + 1, 4), (h, 8)) % r) < subsets]
-            drawn[w] = (h, k > hi, cells)
+            drawn[w] = (h | 1 if k > hi else h & -2, k > hi, cells)
 
     def parts(t):
         out = {}
