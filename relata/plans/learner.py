@@ -18,6 +18,7 @@ from relata.functions import text as T
 from relata.operators import active, induce, kg, labels, metrics, pathstats, schema, similarity
 from relata.operators import text as X
 from relata.schemas import LABELS
+from relata.sources import coref
 from relata.sources.annotate import shape_sentences
 from relata.sources.export import clean
 from relata.sources.scratch import stored
@@ -50,16 +51,18 @@ def captured() -> Iterator[list[str]]:
 class Learner:
     """Documents in, concepts, propositions, schema, relations and graph out. All tables carry doc_id, so a run takes one document or
     a corpus. ``annotate`` turns documents (doc_id, text) into sentences; ``resolver`` turns documents into documents with
-    pronouns resolved (the rules by default)."""
+    pronouns resolved: a function, None for the first model of ``coref.CHAIN`` that can be loaded (else the rules), or "rules"."""
 
     def __init__(
         self, spark: SparkSession, annotate: Callable[[DataFrame], DataFrame] = shape_sentences, cfg: Config = DEFAULT, path: str | None = None, labels_path: str | None = None,
-        aliases: DataFrame | None = None, resolver: Callable[[DataFrame], DataFrame] | None = None,
+        aliases: DataFrame | None = None, resolver: Callable[[DataFrame], DataFrame] | str | None = None,
     ):
         self.spark, self.annotate, self.cfg, self.aliases = spark, annotate, cfg, aliases
         self.path = path if cfg.persist else None
         self.labels_path = labels_path if cfg.persist else None
-        self.resolver = resolver or self._rules
+        kind = coref.choose() if resolver is None else None
+        self.coref_backend = "own" if callable(resolver) else coref.name_of(kind)
+        self.resolver = resolver if callable(resolver) else coref.with_model(kind) if kind else self._rules
         self.store = PathStore(spark, self.path and f"{self.path}/paths", cfg.compact_every)
         self.state = load_state(self.path and f"{self.path}/state", spark)
         self.records = self._load_labels()
@@ -82,7 +85,7 @@ class Learner:
         s = self.annotate(docs)
         return X.resolve_pronouns(docs.withColumn("doc_id", F.col("doc_id").cast("string")), X.tokens(s), X.mentions(s)).select("doc_id", F.col("resolved").alias("text"))
 
-    def run(self, docs: DataFrame, resolve_coreference: bool = True, oracle: Any = None, use_active_learning: bool = False, train_model: bool = True, graph: bool = False) -> dict[str, Any]:
+    def run(self, docs: DataFrame, resolve_coreference: bool = True, oracle: Any = None, use_active_learning: bool = False, train_model: bool = True, graph: bool = True) -> dict[str, Any]:
         """All stages over documents (doc_id, text). The tables of the result are lazy or cached DataFrames."""
         began = time.time()
         docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -122,16 +125,20 @@ class Learner:
         self._calibrate()
         self._consolidate()
         if graph:
-            t = labels.triples(self.result["relations"], self.cfg)
-            try:
-                self.result["entities"], self.result["rotations"] = kg.train(t, self.cfg)
-                self.result["triples"] = t
-            except ValueError as e:
-                log.warning("no graph embeddings: %s", e)
+            self._graph()
         self._save()
         self.result["elapsed_seconds"] = round(time.time() - began, 3)
         return self.result
 
+    def _graph(self) -> None:
+        """Embeddings of the relations' graph; where enough triples are there, also ones trained without the held-out part."""
+        t = stored(labels.triples(self.result["relations"], self.cfg), "triples")
+        self.result["triples"] = t
+        try:
+            self.result["entities"], self.result["rotations"] = kg.train(t, self.cfg)
+        except ValueError as e:
+            log.warning("no graph embeddings: %s", e)
+
     def _calibrate(self) -> None:
         bins = {r["bucket"]: (r["correct"], r["total"]) for r in labels.calibration_bins(labels.calibration_samples(self.records), self.cfg).collect()}
         if bins:
@@ -202,7 +209,10 @@ class Learner:
     # ---- results ------------------------------------------------------------------------------------------------------
 
     def status(self) -> dict:
-        return {"ready": True, "mode": "persistent" if self.path else "memory", "has_run": self.result is not None, "model_fitted": self.model.is_fitted, "no_relation": NO_RELATION}
+        return {
+            "ready": self.result is not None, "mode": "persistent" if self.path else "memory", "has_run": self.result is not None, "annotator": getattr(self.annotate, "__name__", type(self.annotate).__name__),
+            "coref_backend": self.coref_backend, "evaluation": True, "model_fitted": self.model.is_fitted, "n_train": self.model.n_train, "graph_model": self.cfg.kg_model, "no_relation": NO_RELATION,
+        }
 
     @staticmethod
     def sample() -> str:
@@ -226,7 +236,7 @@ class Learner:
         names = [x["entity"] for x in emb.orderBy("entity").limit(entities).collect()]
         return {
             "similar": [clean(x) for x in kg.similar_entities(emb, names, near).orderBy("entity", "rank").collect()],
-            "links": [clean(x) for x in kg.predict_links(self.result["entities"], self.result["rotations"], self.result["triples"], links).collect()],
+            "links": [clean(x) for x in kg.predict_links(self.result["entities"], self.result["rotations"], self.result["triples"], links, self.cfg).collect()],
         }
 
     def summary(self) -> str:
@@ -239,27 +249,71 @@ class Learner:
             out += [f"  ... and {total - n} more"] * (total > n)
         return "\n".join(out)
 
-    def evaluate(self, gold: DataFrame | None = None) -> dict:
-        """Pronoun counts, pronoun-free share and, with gold (doc_id, seq, arg1, rel, arg2), tuple scores; a metric that fails is
-        reported as its error."""
+    def evaluate(
+        self, gold: DataFrame | None = None, gold_partition: DataFrame | None = None, gold_hierarchy: DataFrame | None = None, judged: DataFrame | None = None, compare_no_coref: bool = False,
+    ) -> dict:
+        """All metrics of a run. A metric that fails is reported as its error, the others stay.
+
+        Always: pronoun counts, pronoun-free share, drift, baseline pairs, calibration, hits at 10 (None for a small graph) and
+        entity similarity. With gold (doc_id, seq, arg1, rel, arg2): tuple scores; gold_partition (arg1, arg2, label): B-cubed, pairwise and
+        confusion; gold_hierarchy (label, parent); judged (subject, relation, object, correct): labelled precision;
+        compare_no_coref: the pronoun-free share of a run without resolution beside this one's.
+        """
+        self._need_run()
         r = self.result
         words = F.split(F.regexp_replace(F.lower("text"), "[^a-z]+", " "), " ")
-        jobs = {
-            "coreference": lambda: X.pronoun_counts(r["raw"], r["documents"], words),
-            "pronoun_free": lambda: metrics.pronoun_free(r["relations"]),
-            "drift": self.drift,
+        one = lambda df: (df.first() or {}) and clean(df.first())
+        jobs: dict[str, Callable[[], Any]] = {
+            "coreference": lambda: one(X.pronoun_counts(r["raw"], r["documents"], words)),
+            "pronoun_free": lambda: one(metrics.pronoun_free(r["relations"])),
+            "drift": lambda: one(self.drift()),
+            "baseline_pairs": lambda: labels.cooccurrence_tuples(r["pairs"]).count(),
+            "calibration": lambda: one(metrics.calibration_report(labels.calibration_samples(self.records))),
+            "calibration_curve": lambda: [clean(x) for x in metrics.calibration_curve(labels.calibration_samples(self.records)).orderBy("bucket").collect()],
+            "hits_at_10": self._hits,
+            "similarity": lambda: one(metrics.top_similarity(kg.magnitudes(r["entities"]))) if "entities" in r else {"avg_top1_similarity": None, "sampled_entities": 0},
         }
         if gold is not None:
             pred = r["propositions"].select("doc_id", "seq", "arg1", F.col("label").alias("rel"), "arg2")
-            jobs["tuples"] = lambda: metrics.evaluate_tuples(pred, gold)
+            jobs["tuples"] = lambda: one(metrics.evaluate_tuples(pred, gold))
+        if gold_partition is not None:
+            own = metrics.pair_partition(r["propositions"].withColumn("seq", F.struct("doc_id", "seq"))).withColumnRenamed("label", "pred")
+            items = own.join(gold_partition.withColumnRenamed("label", "gold"), ["arg1", "arg2"])
+            jobs["bcubed"] = lambda: one(metrics.bcubed(items))
+            jobs["pairwise"] = lambda: one(metrics.pairwise_prf(items))
+            jobs["confusion"] = lambda: [clean(x) for x in metrics.confusion_cells(items).collect()]
+        if gold_hierarchy is not None:
+            jobs["hierarchy"] = lambda: one(metrics.hierarchy_prf(r["schema"], gold_hierarchy))
+        if judged is not None:
+            jobs["labelled_precision"] = lambda: one(metrics.labelled_precision(r["relations"], judged))
+        if compare_no_coref:
+            jobs["coref_off_vs_on"] = lambda: self._without_coref(judged)
         out = {}
         for name, job in jobs.items():
             try:
-                out[name] = clean(job().first())
+                out[name] = job()
             except Exception as e:  # noqa: BLE001 - one metric's failure is no reason to lose the others
                 out[name] = {"error": str(e)[:300]}
         return out
 
+    def _hits(self) -> float | None:
+        """Hits at 10 of a graph trained without the held-out triples; None without a graph, or below the minimum."""
+        if "triples" not in self.result:
+            return None
+        train, test, valid = kg.split_triples(self.result["triples"], self.cfg)
+        if not valid:
+            return None
+        return kg.hits_at(*kg.train(train, self.cfg), test, 10, self.cfg)
+
+    def _without_coref(self, judged: DataFrame | None) -> dict:
+        other = Learner.for_evaluation(self.spark, annotate=self.annotate, cfg=self.cfg, aliases=self.aliases, resolver="rules")
+        off = other.run(self.result["raw"], resolve_coreference=False, train_model=False, graph=False)["relations"]
+        both = (("off", off), ("on", self.result["relations"]))
+        out = {f"pronoun_free_{n}": metrics.pronoun_free(x).first()[0] for n, x in both}
+        if judged is not None:
+            out |= {f"labelled_{n}": metrics.labelled_precision(x, judged).first()[0] for n, x in both}
+        return out
+
     def drift(self) -> DataFrame:
         """Agreement of the labels in use with those of a fresh full pass."""
         fresh = induce.full_pass(self.store.slot_counts(), None, self.cfg).table(self.spark, "labels")
