@@ -1,12 +1,13 @@
 """Operator 7 - token ids in binary files with Elias-Fano document bounds.
 
 Texts are dealt by ranges of doc_id (one shuffle of the texts; ids are made after it), encoded in order, and each range is
-written as one file: a header, the doc ids, the bounds of the documents as an Elias-Fano sequence with a select directory,
-and the concatenated ids. Bounds of n documents over u ids take n * (2 + log2(u / n)) bits and a directory of 32 bits
+written as one file: a header, the doc ids (less the first) and the bounds of the documents as Elias-Fano sequences with select directories,
+and the concatenated ids. A sequence of n numbers up to u takes n * (2 + log2(u / n)) bits and a directory of 32 bits
 for each 512, instead of 64 bits each; ids take 16 bits while the vocabulary allows (the header says which).
 
-File: magic "RLEF", u32 version, u32 id width, u32 low bits, u64 documents, u64 ids, u64 lengths of the four sections (doc
-ids, low bits, high bits, directory), then the sections and the ids; all little-endian.
+File: magic "RLEF", u32 version, u32 id width, u32 low bits of doc ids, u32 low bits of bounds, i64 first doc id, u64 documents, u64 ids,
+u64 lengths of six sections (low bits, high bits and directory of the doc ids, then of the bounds), then the sections and the ids; all
+little-endian.
 
 Defined results: null text is empty (the end id alone); equal doc_ids go by text; a null id sorts first and is kept as the
 smallest long; an empty table gives no file and no row. Extra columns are ignored.
@@ -14,6 +15,7 @@ smallest long; an empty table gives no file and no row. Extra columns are ignore
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +30,7 @@ from relata.llm import files
 from relata.llm.common import fresh_dir, id_bucket, lean, load, order_key, slices, stored
 from relata.llm.tokens import WORD_VOCABULARY, encoder, with_end
 
-_HEAD = struct.Struct("<4sIIIQQQQQQ")
+_HEAD = struct.Struct("<4sIIIIqQQ6Q")
 _BLOCK_BITS = 512
 _MOST_IDS = 32 << 20  # of a file; a longer range goes on in the next file
 
@@ -79,11 +81,13 @@ class EliasFano:
 
 
 def pack(doc_ids: np.ndarray, bounds: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
-    """A file's bytes; bounds: n + 1 from 0."""
-    ef = EliasFano.encode(bounds)
+    """A file's bytes; doc_ids: ascending; bounds: n + 1 from 0."""
+    doc_ids = np.asarray(doc_ids, np.int64)
+    base = doc_ids[0] if len(doc_ids) else np.int64(0)
+    keys, ends = EliasFano.encode(doc_ids.view(np.uint64) - base.view(np.uint64)), EliasFano.encode(bounds)  # modulo 2^64, so the range is no matter
     width = ids.dtype.itemsize
-    parts = [np.asarray(doc_ids, "<i8").tobytes(), ef.low.tobytes(), ef.high.tobytes(), ef.directory.tobytes()]
-    yield _HEAD.pack(b"RLEF", 1, width, ef.width, len(doc_ids), len(ids), *map(len, parts))
+    parts = [x.tobytes() for ef in (keys, ends) for x in (ef.low, ef.high, ef.directory)]
+    yield _HEAD.pack(b"RLEF", 2, width, keys.width, ends.width, int(base), len(doc_ids), len(ids), *map(len, parts))
     yield from parts
     yield ids.astype(f"<u{width}").tobytes()
 
@@ -93,16 +97,24 @@ class TokenFile:
 
     def __init__(self, source):
         self.source = source
-        magic, version, self.width, low_width, self.n, self.n_ids, *sizes = _HEAD.unpack(source.read_at(_HEAD.size, 0))
-        if magic != b"RLEF" or version != 1:
+        magic, version, self.width, key_width, end_width, self.base, self.n, self.n_ids, *sizes = _HEAD.unpack(source.read_at(_HEAD.size, 0))
+        if magic != b"RLEF" or version != 2:
             raise ValueError("not a token file")
         at, parts = _HEAD.size, []
         for size in sizes:
             parts.append(np.frombuffer(source.read_at(size, at), np.uint8))
             at += size
         self.body = at
-        self.doc_ids = parts[0].view("<i8")
-        self.bounds = EliasFano(self.n + 1, low_width, parts[1], parts[2], parts[3].view("<u4"))
+        self.keys = EliasFano(self.n, key_width, parts[0], parts[1], parts[2].view("<u4"))
+        self.bounds = EliasFano(self.n + 1, end_width, parts[3], parts[4], parts[5].view("<u4"))
+
+    @functools.cached_property
+    def doc_ids(self) -> np.ndarray:
+        return self.ids_of(0, self.n)
+
+    def ids_of(self, start: int, end: int) -> np.ndarray:
+        """Ids of the documents at places start to end."""
+        return (self.keys.select(np.arange(start, end)).view(np.uint64) + np.int64(self.base).view(np.uint64)).view(np.int64)
 
     def ids(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self.source.read_at((end - start) * self.width, self.body + start * self.width), f"<u{self.width}")
@@ -172,7 +184,7 @@ def read_documents(spark: SparkSession, folder: str, listing: list[tuple[str, in
                         ids = f.ids(int(at[0]), int(at[-1])).astype("<u4")
                         own = at - at[0]
                         crcs = [zlib.crc32(ids[a:b]) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids[lo : lo + len(crcs)].astype(np.int64)), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        yield pa.RecordBatch.from_arrays([pa.array(f.ids_of(lo, lo + len(crcs))), pa.array(at[:-1] + before), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = spark.createDataFrame(listing, "name string, before long").repartition(min(len(listing), 4 * spark.sparkContext.defaultParallelism))
     return rows.mapInArrow(lean(read), schema)

@@ -122,6 +122,17 @@ def test_deep_and_unclosed_pages_take_linear_time():
         assert time.time() - began < 15
 
 
+def test_document_ids_take_few_bits():
+    r = np.random.default_rng(1)
+    for ids in (np.sort(r.integers(-(2**63), 2**63 - 1, 3000)), np.arange(5000) * 3 - 7000, np.full(700, -(2**63)), np.array([-(2**63), 0, 2**63 - 1]), np.zeros(0, np.int64)):
+        tokens = np.arange(len(ids), dtype=np.uint16)
+        raw = b"".join(tokenfiles.pack(ids, np.arange(len(ids) + 1), tokens))
+        f = tokenfiles.TokenFile(type("Source", (), {"read_at": lambda self, n, at, raw=raw: raw[at : at + n]})())
+        assert f.doc_ids.tolist() == ids.tolist() and f.ids_of(len(ids) // 3, len(ids) // 2).tolist() == ids[len(ids) // 3 : len(ids) // 2].tolist()
+        if len(ids) == 5000:  # ids in steps of 3: about 3 bits each instead of 64
+            assert len(f.keys.low) + len(f.keys.high) + len(f.keys.directory) * 4 < 5000 * 4 / 8 + 200
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None, 3), (1, "u", None, 3), (None, None, "<p>" + "long " * 50_000, 4)]
     out = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
