@@ -1,6 +1,6 @@
 """Operator 8 - packing into sequences of at most 2048 tokens by minimum bin slack.
 
-Each document is cut into full windows and a rest. Rests are dealt at random (by hash) to tasks of about ``group`` pieces and
+Each document is cut into full windows and a rest. Rests are dealt at random (by a hash of their row number) to tasks of about ``group`` pieces and
 packed there: a window starts with the longest rest left; a subset-sum dynamic program over the counts of the lengths
 left (a bitset of reachable sums, counts split into powers of two) finds the multiset closest to the room; steps are
 walked back to counts; and the same filling is used again as often as the counts allow. Lengths are tried from long to
@@ -103,7 +103,8 @@ def pack(docs: DataFrame, text: str = "text", vocabulary: str = WORD_VOCABULARY,
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, [ids,] sequence_id, offset."""
     cut = stored(pieces(docs, text, vocabulary, capacity, keep_ids), "pieces")
     parts = max(1, -(-cut.count() // group))
-    dealt = cut.repartition(parts, F.xxhash64("doc_id", "start", "ids_crc32"))
+    # by a number of its own for each stored row, so that equal rows spread
+    dealt = cut.withColumn("_row", F.monotonically_increasing_id()).repartition(parts, "_row").drop("_row")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
