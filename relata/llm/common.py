@@ -46,34 +46,96 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*plain), [f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, df.schema)]
 
 
-def id_bucket(df: DataFrame, key: str, rows_per_bucket: int = 2048, splits: int = 512, most: int = 65536) -> Column:
-    """Expression that numbers ranges of ``key`` in ascending order, of about equal row counts.
-
-    The range bounds are approximate percentiles (at most ``splits`` values reach the driver); each
-    range is cut further into parts of equal width when the table is large, ``most`` buckets at most.
-    Only the balance depends on the approximation: bucket order always agrees with key order.
-    """
+def key_cuts(df: DataFrame, key: str, rows_per_bucket: int = 2048, splits: int = 512, most: int = 65536) -> tuple[list[int], int, int, int]:
+    """(cuts, parts, lowest, highest): approximate percentiles of ``key`` (at most ``splits`` values reach the driver), and into how many
+    parts of equal width each range between them is cut further when the table is large, ``most`` ranges at most in all."""
     n = df.count()
     want = max(1, min(most, math.ceil(n / rows_per_bucket)))
     k = min(splits, want)
-    parts = max(1, want // k)
     if k == 1:
-        return F.lit(0).cast("long")
+        return [], 1, 0, 0
     q = F.percentile_approx(F.col(key), [i / k for i in range(1, k)], max(1000, 20 * k))
     row = df.agg(q.alias("q"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    cuts = sorted({int(x) for x in row["q"]} - {int(row["lo"])})
+    return sorted({int(x) for x in row["q"]} - {int(row["lo"])}), max(1, want // k), int(row["lo"]), int(row["hi"])
+
+
+def _range_of(key: Column, cuts: list[int], parts: int, low: int, high: int) -> Column:
     if not cuts:
         return F.lit(0).cast("long")
     cut = F.lit(np.array(cuts, dtype=np.int64))
-    i = F.size(F.filter(cut, lambda s: s <= F.col(key))).cast("long")
+    i = F.size(F.filter(cut, lambda s: s <= key)).cast("long")
     if parts == 1:
         return i
-    edges = F.lit(np.array([int(row["lo"]), *cuts, int(row["hi"]) + 1], dtype=np.int64))
+    edges = F.lit(np.array([low, *cuts, min(high, 2**63 - 2) + 1], dtype=np.int64))
     lo, hi = F.element_at(edges, (i + 1).cast("int")), F.element_at(edges, (i + 2).cast("int"))
-    sub = F.floor((F.col(key).cast("double") - lo) / (hi.cast("double") - lo) * parts)
+    sub = F.floor((key.cast("double") - lo) / (hi.cast("double") - lo) * parts)
     return i * parts + F.least(F.greatest(sub, F.lit(0)), F.lit(parts - 1))
 
 
+def id_bucket(df: DataFrame, key: str, rows_per_bucket: int = 2048, splits: int = 512, most: int = 65536) -> Column:
+    """Expression that numbers ranges of ``key`` in ascending order, of about equal row counts.
+
+    Only the balance depends on the approximation of the bounds: bucket order always agrees with key order.
+    """
+    return _range_of(F.col(key), *key_cuts(df, key, rows_per_bucket, splits, most))
+
+
+def _hot(df: DataFrame, keys: list[str], rows: int, most: int) -> list:
+    """Keys with more than ``rows`` rows each, or so many more that there are ``most`` of them at most."""
+    n = df.count()
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > max(rows, n // most)).sort(*keys).collect()
+
+
+def id_ranges(df: DataFrame, key: str = "_key", text: str = "text", rows_per_bucket: int = 2048, most_hot: int = 2048) -> DataFrame:
+    """Adds _h (a hash of the text) and _bucket: ranges of about equal row counts, in the order of (key, _h).
+
+    A key with very many rows (a null id, say) has ranges of its own, cut by _h; very many rows of one key and one text are equal, and
+    are dealt over ranges by their row number. At most ``most_hot`` of either reach the driver.
+    """
+    spark = df.sparkSession
+    ids = df.select(key)
+    cuts, parts, low, high = key_cuts(ids, key, rows_per_bucket)
+    d = df.withColumn("_h", F.xxhash64(text))
+    hot = _hot(ids, [key], 4 * rows_per_bucket, most_hot)
+    if not hot:
+        return d.withColumn("_bucket", _range_of(F.col(key), cuts, parts, low, high))
+    # hot keys stand alone between two cuts; each range of keys then has a number of places
+    alone = {int(r[key]): int(r["n"]) for r in hot}
+    cuts = sorted({*cuts, *(k for k in alone if k > low), *(k + 1 for k in alone if k < high)})
+    starts = [low, *cuts]
+    known = spark.createDataFrame([(k,) for k in alone], "_hk long")
+    twice = _hot(d.join(F.broadcast(known), F.col(key) == F.col("_hk")), [key, "_h"], 4 * rows_per_bucket, most_hot)
+    again: dict[int, list] = {}
+    for r in twice:
+        again.setdefault(int(r[key]), []).append((int(r["_h"]), -(-int(r["n"]) // rows_per_bucket)))
+    base, table, at = [], [], 0
+    for start in starts:
+        base.append(at)
+        if start not in alone:
+            at += parts
+            continue
+        many = min(4096, -(-alone[start] // rows_per_bucket))
+        equal = dict(again.get(start, []))
+        inner = sorted({-(2**63) + i * 2**64 // many for i in range(1, many)} | {h for h in equal if h > -(2**63)} | {h + 1 for h in equal if h < 2**63 - 1})
+        offs, sizes, own = [], [], 0
+        for h in [-(2**63), *inner]:
+            offs.append(own)
+            sizes.append(equal.get(h, 1))
+            own += sizes[-1]
+        table.append((start, inner, offs, sizes))
+        at += own
+    i = F.size(F.filter(F.lit(np.array(cuts, dtype=np.int64)), lambda s: s <= F.col(key))) if cuts else F.lit(0)
+    first = F.element_at(F.lit(np.array(base, dtype=np.int64)), (i + 1).cast("int"))
+    inside = _range_of(F.col(key), cuts, parts, low, high) - i * parts
+    hots = spark.createDataFrame(table, "_hk long, _cuts array<long>, _offs array<long>, _sizes array<long>")
+    j = F.size(F.filter("_cuts", lambda s: s <= F.col("_h"))) + 1
+    size = F.element_at("_sizes", j)
+    deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), size)  # equal rows: any may stand in any of their places
+    place = F.element_at("_offs", j) + F.when(size > 1, deal).otherwise(0)
+    out = d.join(F.broadcast(hots), F.col(key) == F.col("_hk"), "left")  # ``most_hot`` rows
+    return out.withColumn("_bucket", first + F.when(F.col("_hk").isNull(), inside if parts > 1 else F.lit(0)).otherwise(place)).drop("_hk", "_cuts", "_offs", "_sizes")
+
+
 def lean(step):
     """Wrap an Arrow step so that its worker gives freed memory back when a partition ends (workers stay and share an
     executor's memory with later stages)."""

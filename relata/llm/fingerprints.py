@@ -12,7 +12,7 @@ lower edge, whatever the corpus size; it is checked before the broadcast.
 Defined results: null text is empty; a text without lexicon terms is fingerprinted by its own hash
 ("t" + 16 hex digits), so equal texts always have equal fingerprints; two different fingerprints
 share nothing in that case (likeness 0). A text with fewer than ``FEW`` terms in the band (in a large group of copies the
-terms of the group are above it) also uses the terms above the band; two texts are compared in that way if either needs it. Equal ids are ordered by text. Extra columns are ignored.
+terms of the group are above it) also uses the terms above the band; two texts are compared in that way if either needs it. Equal ids are ordered by a hash of the text (descending, as ids are). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relata.llm.common import id_bucket, load, order_key, stored
+from relata.llm.common import id_ranges, load, order_key, stored
 
 RATES = (16, 64, 256, 1024)  # a subset holds one lexicon term in so many
 SUBSETS = 16  # of each rate: 64 in all, a bit each in a long
@@ -93,13 +93,14 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_key", order_key("doc_id"))
-    d = d.withColumn("_bucket", id_bucket(d.select("_key"), "_key"))
-    tops = sorted((r[0], r[1]) for r in d.groupBy("_bucket").agg(F.max("_key")).collect())  # 65536 rows at most
-    after = [(b, tops[i - 1][1]) for i, (b, _) in enumerate(tops)]  # the range below; for the lowest, the highest
-    heads = F.broadcast(spark.createDataFrame(after, "_of long, _head long"))
-    border = d.join(heads, F.col("_key") == F.col("_head")).groupBy("_of", "doc_id", "_key").agg(F.min("text").alias("text"))
-    both = d.withColumn("_extra", F.lit(0)).unionByName(border.select("doc_id", "text", "_key", F.col("_of").alias("_bucket"), F.lit(1).alias("_extra")))
-    w = Window.partitionBy("_bucket").orderBy("_extra", F.desc("_key"), "text")
+    d = id_ranges(d)
+    tops = sorted((r[0], r[1][0], r[1][1]) for r in d.groupBy("_bucket").agg(F.max(F.struct("_key", "_h"))).collect())  # a row a range, about 65536 at most
+    after = [(b, *tops[i - 1]) for i, (b, _, _) in enumerate(tops)]  # the range below; for the lowest, the highest
+    heads = F.broadcast(spark.createDataFrame(after, "_of long, _b long, _k long, _t long"))
+    border = d.join(heads, (F.col("_bucket") == F.col("_b")) & (F.col("_key") == F.col("_k")) & (F.col("_h") == F.col("_t")))
+    border = border.groupBy("_of", "doc_id", "_key", "_h").agg(F.max("text").alias("text")).select("doc_id", "text", "_key", "_h", F.col("_of").alias("_bucket"), F.lit(1).alias("_extra"))
+    both = d.select("doc_id", "text", "_key", "_h", "_bucket", F.lit(0).alias("_extra")).unionByName(border)
+    w = Window.partitionBy("_bucket").orderBy("_extra", F.desc("_key"), F.desc("_h"), F.desc("text"))
     return both.withColumn("next_text", F.lead("text").over(w)).withColumn("_rn", F.row_number().over(w))
 
 

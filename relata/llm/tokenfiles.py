@@ -9,7 +9,7 @@ File: magic "RLEF", u32 version, u32 id width, u32 low bits of doc ids, u32 low
 u64 lengths of six sections (low bits, high bits and directory of the doc ids, then of the bounds), then the sections and the ids; all
 little-endian.
 
-Defined results: null text is empty (the end id alone); equal doc_ids go by text; a null id sorts first and is kept as the
+Defined results: null text is empty (the end id alone); equal doc_ids go by a hash of the text; a null id sorts first and is kept as the
 smallest long; an empty table gives no file and no row. Extra columns are ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm import files
-from relata.llm.common import fresh_dir, id_bucket, lean, load, order_key, slices, stored
+from relata.llm.common import fresh_dir, id_ranges, lean, load, order_key, slices, stored
 from relata.llm.tokens import WORD_VOCABULARY, encoder, with_end
 
 _HEAD = struct.Struct("<4sIIIIqQQ6Q")
@@ -127,9 +127,9 @@ class TokenFile:
 def write_ids(docs: DataFrame, folder: str, text: str = "text", vocabulary: str = WORD_VOCABULARY) -> list[tuple[str, int]]:
     """Write all documents; (file name, ids before it) of each file in order of doc_id. One row a file reaches the driver."""
     d = docs.select(order_key("doc_id").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    d = d.withColumn("_bucket", id_bucket(d.select("_key"), "_key"))
+    d = id_ranges(d, "_key", "_text")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    d = d.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_key", "_text")
+    d = d.repartition(parts, "_bucket").sortWithinPartitions("_bucket", "_key", "_h", "_text")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task = encoder(vocabulary), TaskContext.get().partitionId()

@@ -65,6 +65,45 @@ def test_id_ranges_follow_the_order(spark):
     assert [r.b for r in rows] == sorted(r.b for r in rows) and len({r.b for r in rows}) > 20
 
 
+def test_hot_ids_have_ranges_of_their_own(spark):
+    from collections import Counter
+
+    from relata.llm.common import id_ranges
+
+    rows = [(i * 7, f"t{i}") for i in range(300)] + [(700, f"u{i}") for i in range(400)] + [(-(2**63), "same")] * 300 + [(2**63 - 1, "same")] * 90 + [(2**63 - 1, f"v{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "_key long, text string").repartition(7)
+    out = id_ranges(df, rows_per_bucket=16)
+    got = out.collect()
+    assert sorted((r._key, r.text) for r in got) == sorted(rows)
+    order = sorted((r._bucket, r._key, r._h) for r in got)
+    assert [x[1:] for x in order] == sorted(x[1:] for x in order)  # ranges agree with the order of key and hash
+    assert max(Counter(r._bucket for r in got).values()) < 90
+    assert len({r._bucket for r in id_ranges(df.limit(0), rows_per_bucket=16).collect()}) == 0
+    equal = Counter(r._bucket for r in id_ranges(spark.createDataFrame([(5, "x")] * 40, "_key long, text string"), rows_per_bucket=4).collect())
+    assert 5 <= len(equal) <= 10 and max(equal.values()) < 16
+
+
+def test_hot_ids_in_fingerprints_and_token_files(spark, monkeypatch):
+    from collections import Counter
+
+    from relata.llm import common, tokenfiles
+    from relata.llm.common import fresh_dir
+
+    whole = common.id_ranges
+    for m in (fingerprints, tokenfiles):
+        monkeypatch.setattr(m, "id_ranges", lambda df, *a: whole(df, *a, rows_per_bucket=8))
+    rows = [(i, f"word{i} and word{i + 1} again") for i in range(60)] + [(None, f"null {i} text") for i in range(50)] + [(7, "copy of seven")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = fingerprints.imatch(df, df_low=0.001, df_high=0.9).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    seven = [r for r in out if r.doc_id == 7 and r.n_chars == len("copy of seven")]
+    assert len(seven) == 60 and sum(r.near_next == 1.0 for r in seven) >= 59  # each but the last is followed by a copy
+    folder = fresh_dir(spark, "hot")
+    got = sorted(map(tuple, tokenfiles.read_documents(spark, folder, tokenfiles.write_ids(df, folder)).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted(-(2**63) if r[0] is None else r[0] for r in rows)
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:i]) for i in range(len(got))]
+
+
 # ---- 2 ----------------------------------------------------------------------------------------------------------------------
 
 
