@@ -32,6 +32,8 @@ def tuple_matches(pred: DataFrame, gold: DataFrame, arg_threshold: float = 0.5,
     else:
         p, g = p.withColumn("_k", F.lit("")), g.withColumn("_k", F.lit(""))
     j = p.join(g, [*by, "_k"]).drop("_k")
+    for a, b in (("_p1", "_g1"), ("_p2", "_g2")):  # sets of sizes too far apart can't reach the threshold
+        j = j.where(F.least(F.size(a), F.size(b)) >= arg_threshold * F.greatest(F.size(a), F.size(b)) - 1e-9)
     ok = (T.set_jaccard(F.col("_p1"), F.col("_g1")) >= arg_threshold) & (T.set_jaccard(F.col("_p2"), F.col("_g2")) >= arg_threshold)
     if rel_threshold > 0:
         ok = ok & (T.set_jaccard(F.col("_pr"), F.col("_gr")) >= rel_threshold)
@@ -43,15 +45,15 @@ def greedy_matches(matches: DataFrame, by: tuple[str, ...] = ("doc_id",)) -> Dat
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
+            rows = []
+            for *doc, matches in batch[[*by, "m"]].itertuples(index=False, name=None):
                 used: set[int] = set()
-                rows = []
-                for m in r.m:
+                for m in matches:
                     g = next((x for x in m["g"] if x not in used), None)
                     if g is not None:
                         used.add(g)
-                        rows.append((m["pseq"], g))
-                yield pd.DataFrame({**{c: [getattr(r, c)] * len(rows) for c in by}, "pseq": [x[0] for x in rows], "gseq": [x[1] for x in rows]})
+                        rows.append((*doc, m["pseq"], g))
+            yield pd.DataFrame(rows, columns=[*by, "pseq", "gseq"])
 
     per = matches.groupBy(*by, "pseq").agg(F.sort_array(F.collect_list("gseq")).alias("g")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pseq", "g"))).alias("m"))
     kinds = dict(matches.dtypes)

@@ -66,7 +66,7 @@ class Learner:
         self.store = PathStore(spark, self.path and f"{self.path}/paths", cfg.compact_every)
         self.state = load_state(self.path and f"{self.path}/state", spark)
         self.records = self._load_labels()
-        self.model = active.Model()
+        self._model: active.Model | None = active.Model()  # None: to be trained when it is asked for
         self.result: dict[str, Any] | None = None
         self.asked: dict[str, dict] = {}
 
@@ -75,6 +75,17 @@ class Learner:
         """Nothing read or written outside the session."""
         return cls(spark, cfg=replace(kw.pop("cfg", DEFAULT), persist=False), **kw)
 
+    @property
+    def model(self) -> active.Model:
+        """The classifier of the records as they are now, trained when it is first asked for."""
+        if self._model is None:
+            self._model = active.train(self.records, self.cfg)
+        return self._model
+
+    def _can_fit(self) -> bool:
+        """What ``model.is_fitted`` will be, without training."""
+        return self._model.is_fitted if self._model is not None else self.records.select("label").distinct().limit(2).count() == 2
+
     def _load_labels(self) -> DataFrame:
         """The log's records, none where there is no log. A log that can't be read is an error: a run would replace it."""
         if self.labels_path and log_exists(self.spark, self.labels_path):
@@ -120,7 +131,7 @@ class Learner:
             self.records = stored(labels.seed(self.records, pairs, examples, negatives), "records")
             if use_active_learning and oracle is not None:
                 self.records, _ = active.run_rounds(pairs, self.records, oracle, 1, self.cfg.al_batch, self.cfg)
-            self.model = active.train(self.records, self.cfg)
+            self._model = None
         self.result = dict(concepts=concepts, pairs=pairs, propositions=props, patterns=patterns, negatives=negatives, schema=schema.with_depth(stored(schema.parents(label, counts, self.cfg), "schema")), pass_kind=kind, documents=text, raw=docs)
         self._calibrate()
         self._consolidate()
@@ -148,7 +159,7 @@ class Learner:
         r = self.result
         by = ("doc_id",)
         similar = similarity.similar_to(r["patterns"], self.cfg).withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("evidence", "subject", "object")).cast("long"))
-        if self.model.is_fitted and labels.has_human(self.records):
+        if labels.has_human(self.records) and self.model.is_fitted:  # without human labels the model decides nothing, and isn't trained
             main = labels.model_edges(self.model.predict(r["pairs"]), self.model.n_train, self.cfg)
         else:
             bins = self.spark.createDataFrame([(b, *v) for b, v in self.state.calibration.items()], "bucket int, correct int, total int")
@@ -167,7 +178,7 @@ class Learner:
     def queries(self, k: int = 6) -> list[dict]:
         """The most uncertain pairs with their key, the induced suggestion and the model's prediction."""
         self._need_run()
-        self.model = active.train(self.records, self.cfg)
+        self._model = None
         chosen = self.model.predict(active.select_queries(self.result["pairs"], self.records, self.model, k, self.cfg).drop("probabilities", "prediction", "probability"))
         self.asked = {r["key"]: r.asDict() for r in chosen.drop("probabilities").collect()}
         return [clean(q | {"suggestion": q["frame_agreement"]}) for q in self.asked.values()]
@@ -188,7 +199,7 @@ class Learner:
         self.records = stored(labels.latest(self.records.withColumn("seq", F.lit(0)).unionByName(new.withColumn("seq", F.lit(1)))).drop("seq"), "records")
         if self.labels_path:
             append_label_log(new, self.labels_path)
-        self.model = active.train(self.records, self.cfg)
+        self._model = None
         self._calibrate()
         self._consolidate()
         return [clean(r) for r in self.result["relations"].collect()]
@@ -196,7 +207,7 @@ class Learner:
     def active_loop(self, oracle: Any, rounds: int = 3, k: int = 5) -> list[dict]:
         self._need_run()
         self.records, history = active.run_rounds(self.result["pairs"], self.records, oracle, rounds, k, self.cfg)
-        self.model = active.train(self.records, self.cfg)
+        self._model = None
         self._calibrate()
         self._consolidate()
         self._save()
@@ -211,7 +222,7 @@ class Learner:
     def status(self) -> dict:
         return {
             "ready": self.result is not None, "mode": "persistent" if self.path else "memory", "has_run": self.result is not None, "annotator": getattr(self.annotate, "__name__", type(self.annotate).__name__),
-            "coref_backend": self.coref_backend, "evaluation": True, "model_fitted": self.model.is_fitted, "n_train": self.model.n_train, "graph_model": self.cfg.kg_model, "no_relation": NO_RELATION,
+            "coref_backend": self.coref_backend, "evaluation": True, "model_fitted": self._can_fit(), "n_train": self.records.count(), "graph_model": self.cfg.kg_model, "no_relation": NO_RELATION,
         }
 
     @staticmethod

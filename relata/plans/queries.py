@@ -646,8 +646,8 @@ def link_prediction(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def complete_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Relations of the whole pipeline over the whole texts of all documents."""
+    """Relations of the whole pipeline over the whole texts of all documents (link_prediction has the graph)."""
     from relata.plans.learner import Learner
 
     docs = V.table(spark, d, "documents").select("doc_id", "text")
-    return Learner.for_evaluation(spark).run(docs)["relations"].select("doc_id", "subject", "relation", "object", "confidence", "source")
+    return Learner.for_evaluation(spark).run(docs, graph=False)["relations"].select("doc_id", "subject", "relation", "object", "confidence", "source")

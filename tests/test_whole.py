@@ -29,7 +29,7 @@ def test_the_whole_pipeline_gets_all_documents(spark, monkeypatch):
     from relata.plans import learner
 
     class Stub:
-        def run(self, docs):
+        def run(self, docs, graph=True):
             return {"relations": docs.selectExpr("doc_id", "text AS subject", "'' AS relation", "'' AS object", "0.5 AS confidence", "'' AS source")}
 
     monkeypatch.setattr(learner.Learner, "for_evaluation", lambda spark: Stub())
