@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.common import load, order_key, stored
+from relata.llm.common import load, order_key, quoted, stored
 from relata.llm.decontam import contamination
 from relata.llm.jaccard import similar, text_hash
 from relata.llm.linededup import dedup_lines
@@ -26,14 +26,14 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return score(docs, load(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    return score(docs, load(spark, sf_dir, "labels")).where("predicted = 1").select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = dedup_lines(docs)
     kept = cut.where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_lines")))
     changed = kept.withColumn("n_chars", F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    return changed.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     alone = F.col("root").isNull()
     first = classes.groupBy("root", F.when(alone, F.col("doc_id")).alias("_d"), F.when(alone, F.col("text_hash")).alias("_h")).agg(F.min(F.struct("doc_id", "text_hash")).alias("_first")).select(F.col("_first.doc_id").alias("_k"), F.col("_first.text_hash").alias("_t"))
     rows = docs.withColumns({"_k": order_key("doc_id"), "_t": text_hash("text")})
-    return rows.join(first, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]).select(*docs.columns)  # by the join's own keys: no second shuffle
+    return rows.join(first, ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"]).select(*[F.col(quoted(c)) for c in docs.columns])  # by the join's own keys: no second shuffle
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return contamination(docs, load(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+    return contamination(docs, load(spark, sf_dir, "benchmark")).where("not contaminated").select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
