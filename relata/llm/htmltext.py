@@ -2,8 +2,8 @@
 
 1. The parser's events are cut into lines at block boundaries.
 2. A line's text-to-tag ratio is its characters per tag since the line before, times a weight: 1 in plain elements, 0 in menus,
-   sidebars, page headers and footers, dialogs and hidden elements, FORM in forms, NAMED where a whole class name or id is made of
-   words for boilerplate ("ad", "cookie-notice"), and NAMED outside <article>, <main> and role=main where these hold a tenth of the text.
+   sidebars, page headers and footers, dialogs and hidden elements, FORM in forms, NAMED where a class name or id means
+   boilerplate ("ad", "cookie-notice", "reader-comments"), and NAMED outside <article>, <main> and role=main where these hold a tenth of the text.
 3. The logarithms of the ratios are smoothed by a Gaussian, each weighted element by itself, so that an advert among paragraphs
    isn't lifted by them.
 4. Two-means on the levels gives the threshold. Lines at or above it are content; weights alone exclude nothing that has text
@@ -46,7 +46,12 @@ CHROME_NAMES = frozenset(
     "promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 PAGE_NAMES = frozenset("header alert".split())  # boilerplate only outside an article
-PLAIN_NAMES = frozenset("area bar block body bottom box container content group holder inner item left link links list outer page right section site slot text the top unit wrap wrapper".split())
+PLAIN_NAMES = frozenset(
+    "area article articles bar big block body bottom box btn button buttons card cards col column component container content feed fixed flex form grid group holder "
+    "icon icons inner item items large layout left link links list main mini module outer page panel post posts primary reader region right row secondary section "
+    "site slot small space sticky stories story strip text the top unit user wrap wrapper zone".split()
+)
+NO_NAMES = frozenset("has hide is no non not show with without".split())  # "has-sidebar" is no sidebar
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 FLOW = frozenset("blockquote dd dl dt figcaption figure hgroup li ol table tbody td tfoot th thead tr ul".split())
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -82,10 +87,13 @@ class _Line:
 
 
 def named(value: str, names: frozenset[str]) -> bool:
-    """Whether one of the names in a class or id attribute is made of boilerplate words, and plain ones, only."""
+    """Whether one of the names in a class or id attribute means boilerplate: its last word does, or one of its words, beside plain ones
+    only ("reader-comments", "ad-slot-2"; not "social-contract", "has-sidebar")."""
     for name in value.split():
         words = [w.lower() for w in _WORDS.findall(name)]
-        if not names.isdisjoint(words) and all(len(w) == 1 or w in names or w in PLAIN_NAMES for w in words):
+        if names.isdisjoint(words) or not NO_NAMES.isdisjoint(words):
+            continue
+        if words[-1] in names or all(len(w) == 1 or w in names or w in PLAIN_NAMES for w in words):
             return True
     return False
 

@@ -78,6 +78,13 @@ def test_regions(page, want):
     assert len(got) == want and not {"no", "one two", "a b x"} & set(got)
 
 
+def test_names_of_boilerplate():
+    yes = "ad ads-2 cookie-notice readerComments ad_slot related-articles comments-section site-footer newsletterSignupForm user-comments sidebar-left"
+    no = "social-contract has-sidebar content article page-with-comments adventure no-ads header-text-of-article comment-free"
+    assert all(htmltext.named(x, htmltext.CHROME_NAMES) for x in yes.split())
+    assert not any(htmltext.named(x, htmltext.CHROME_NAMES) for x in no.split()) and htmltext.named("lead promo-box", htmltext.CHROME_NAMES)
+
+
 def test_the_threshold_decides(spark, monkeypatch):
     pages = [r.html for r in load(spark, SF, "pages").select("html").limit(40).collect()]
     pages += [f"<div><div><div><a>a</a><a>b</a></div></div><div>{P * 3}</div></div>", f"<article>{P}<div class=ad>Buy this.</div>{P}</article>"]
