@@ -35,8 +35,9 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     return stored(pathstats.slot_counts(V.trade_propositions(spark, d)), "counts")
 
 
-def _dist(counts: DataFrame) -> DataFrame:
-    return stored(dirt.path_distance(dirt.slot_similarity(dirt.slot_pmi(counts))), "distances")
+def _dist(counts: DataFrame, block: DataFrame | None = None) -> DataFrame:
+    """Pair distances: of all pairs, or of those inside blocks, where nothing else is asked for."""
+    return stored(dirt.path_distance(dirt.slot_similarity(dirt.slot_pmi(counts), block)), "distances")
 
 
 def _distances(spark: SparkSession, d: str) -> DataFrame:
@@ -145,13 +146,14 @@ def top_similar_paths(spark: SparkSession, d: str) -> DataFrame:
 def block_gap_threshold(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
     block = stored(_blocks(counts), "blocks")
-    return dirt.block_thresholds(block, _dist(counts)).select("sx", "sy", "size", *_r6("threshold"))
+    return dirt.block_thresholds(block, _dist(counts, block)).select("sx", "sy", "size", *_r6("threshold"))
 
 
 @query
 def ema_threshold(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
-    now = stored(dirt.block_thresholds(stored(_blocks(counts), "blocks"), _dist(counts)), "thresholds")
+    block = stored(_blocks(counts), "blocks")
+    now = stored(dirt.block_thresholds(block, _dist(counts, block)), "thresholds")
     before = now.where("size >= 3").select("sx", "sy", F.lit(0.5).alias("threshold"))
     return dirt.ema_threshold(before, now).select("sx", "sy", *_r6("threshold"))
 
@@ -165,7 +167,8 @@ def type_smoothing(spark: SparkSession, d: str) -> DataFrame:
 @query
 def nearest_medoid(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
-    block, dist = stored(_blocks(counts), "blocks"), _dist(counts)
+    block = stored(_blocks(counts), "blocks")
+    dist = _dist(counts, block)
     # the two strongest paths of each block stand for its clusters
     med = block.where("place <= 2").select(F.upper("path").alias("label"), F.col("path").alias("medoid"), "sx", "sy")
     near = dirt.nearest_medoid(block.select("path", "sx", "sy", F.lit(0.6).alias("threshold")), med, dist.withColumn("distance", F.round("distance", 6)))
@@ -612,8 +615,8 @@ def cosine_neighbors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def complete_linkage_clusters(spark: SparkSession, d: str) -> DataFrame:
     counts = _counts(spark, d)
-    block = _blocks(counts)
-    dist = induce.distances(counts, block)
+    block = stored(_blocks(counts), "blocks")
+    dist = stored(induce.distances(counts, block), "distances")
     return cluster.cluster_blocks(block, dist, dirt.block_thresholds(block, dist))
 
 

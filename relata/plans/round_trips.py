@@ -268,7 +268,7 @@ def join_nearest(spark: SparkSession, d: str) -> DataFrame:
     medoids = block.where("place <= 2").select(F.upper("path").alias("label"), F.col("path").alias("medoid"), "sx", "sy")
     paths = block.where("place > 2").select("path", "sx", "sy", F.lit(0.6).alias("threshold"), F.struct("place", "path").alias("ord"))
     leaders = paths.limit(0).select(F.lit("").alias("label"), F.col("path").alias("medoid"), "sx", "sy", "ord")
-    return induce.join_nearest(paths, medoids, leaders, _dist(counts).withColumn("distance", F.round("distance", 6)))
+    return induce.join_nearest(paths, medoids, leaders, _dist(counts, block).withColumn("distance", F.round("distance", 6)))
 
 
 _GIVEN = "given AS (SELECT DISTINCT path, CASE WHEN length(path) % 2 = 0 THEN 'EVEN' END AS label FROM f1)"
