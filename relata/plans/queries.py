@@ -622,7 +622,7 @@ def complete_linkage_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def induced_labels(spark: SparkSession, d: str) -> DataFrame:
-    return induce.label_table(spark, induce.full_pass(_counts(spark, d)))
+    return induce.label_table(spark, induce.full_pass(_counts(spark, d))).select("path", "label", *_r6("cohesion"))
 
 
 @query

@@ -362,12 +362,27 @@ c AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT a1, a2 FROM tok WHERE seq %
 SELECT round(tp / np, 4) AS precision, round(tp / ng, 4) AS recall, round(2 * (tp / np) * (tp / ng) / (tp / np + tp / ng), 4) AS f1, round(c, 4) AS coverage, tp, np - tp AS fp, ng - tp AS fn, np AS n_pred, ng AS n_gold FROM n, c"""
 
 # complete linkage in SQL: in each step every block merges the two clusters whose farthest members are closest, while that is below its threshold
-SQL["complete_linkage_clusters"] = "WITH RECURSIVE " + ",\n".join((O._F1, O._COUNTS, O._MI, O._DIST, O._SUPPORT, O._DOMINANT, O._BLOCKS, O._THRESHOLDS)) + """,
+_LINKED = ",\n".join((O._F1, O._COUNTS, O._MI, O._DIST, O._SUPPORT, O._DOMINANT, O._BLOCKS, O._THRESHOLDS)) + """,
 near AS (SELECT p AS a, q AS b, distance FROM dist UNION ALL SELECT q, p, distance FROM dist),
 state AS (SELECT 0 AS step, sx, sy, path, path AS c FROM blocks
   UNION ALL SELECT s.step + 1, s.sx, s.sy, s.path, CASE WHEN s.c = m.b THEN m.a ELSE s.c END FROM state s JOIN (
     SELECT sx, sy, a, b FROM (
       SELECT x.sx, x.sy, x.c AS a, y.c AS b, max(coalesce(n.distance, 1.0)) AS far FROM state x JOIN state y ON x.sx = y.sx AND x.sy = y.sy AND x.c < y.c LEFT JOIN near n ON n.a = x.path AND n.b = y.path GROUP BY ALL) l
     JOIN thr USING (sx, sy) WHERE far < threshold QUALIFY row_number() OVER (PARTITION BY sx, sy ORDER BY far, a, b) = 1) m ON m.sx = s.sx AND m.sy = s.sy),
-ends AS (SELECT * FROM state QUALIFY step = max(step) OVER (PARTITION BY sx, sy))
-SELECT sx, sy, path, first(path) OVER (PARTITION BY sx, sy, c ORDER BY support DESC, path) AS cluster FROM ends JOIN support USING (path)"""
+ends AS (SELECT * FROM state QUALIFY step = max(step) OVER (PARTITION BY sx, sy)),
+linked AS (SELECT sx, sy, path, support, first(path) OVER (PARTITION BY sx, sy, c ORDER BY support DESC, path) AS cluster FROM ends JOIN support USING (path))"""
+SQL["complete_linkage_clusters"] = "WITH RECURSIVE " + _LINKED + "\nSELECT sx, sy, path, cluster FROM linked"
+
+# labels of a full pass: blocks of two use the reference that the merged clusters of larger blocks leave, folded by halves in their order
+_INSIDE = "SELECT cluster, count(*) AS size, (SELECT sum(1 - distance) FROM dist d JOIN {0} a ON a.path = d.p JOIN {0} b ON b.path = d.q WHERE a.cluster = c.cluster AND b.cluster = c.cluster) / (count(*) * (count(*) - 1) / 2.0) AS cohesion FROM {0} c GROUP BY cluster HAVING count(*) > 1"
+SQL["induced_labels"] = "WITH RECURSIVE " + _LINKED + f""",
+large AS (SELECT l.* FROM linked l JOIN sizes USING (sx, sy) WHERE size >= 3),
+merged AS ({_INSIDE.format("large")}),
+folded AS (SELECT 1 - cohesion AS d, row_number() OVER (ORDER BY l.sx, l.sy, l.support DESC, l.path) AS k, count(*) OVER () AS n FROM merged m JOIN large l ON l.path = m.cluster),
+ref AS (SELECT sum(d * CASE WHEN k = 1 THEN pow(0.5, n - 1) ELSE pow(0.5, n - k + 1) END) AS r FROM folded),
+small AS (SELECT b.sx, b.sy, b.path, b.support, size, first(b.path) OVER (PARTITION BY b.sx, b.sy ORDER BY b.support DESC, b.path) AS top FROM blocks b JOIN sizes USING (sx, sy) WHERE size < 3),
+pair AS (SELECT x.sx, x.sy, coalesce(d.distance, 1.0) AS d FROM small x JOIN small y ON x.sx = y.sx AND x.sy = y.sy AND x.path < y.path LEFT JOIN dist d ON d.p = x.path AND d.q = y.path),
+joined AS (SELECT path, cluster FROM large UNION ALL SELECT s.path, CASE WHEN p.d < CASE WHEN p.d <= 1e-12 THEN 0.75 ELSE least(greatest(coalesce((SELECT r FROM ref), 0.3) + 1e-9, 0.3), 0.75) END THEN s.top ELSE s.path END FROM small s LEFT JOIN pair p USING (sx, sy)),
+whole AS ({_INSIDE.format("joined")}),
+named AS (SELECT *, coalesce(nullif(substr(regexp_replace(upper(cluster), '[^A-Z0-9_]', '', 'g'), 1, 40), ''), 'RELATED_TO') AS label FROM joined)
+SELECT path, label, round(cohesion, 6) AS cohesion FROM named LEFT JOIN whole USING (cluster)"""
