@@ -1,8 +1,9 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
+"""Connected components by hooking and shortcutting on parent tables (FastSV: Zhang, Azad and Hu, 2020).
 
-Only aggregates and joins on vertex numbers: no vertex's neighbours are gathered, so a vertex that is linked to a third
-of all others is a skewed join key and no more. Each step is stored in the shared folder; the steps grow with the
-logarithm of the component sizes.
+Each vertex has a parent, at first the smallest of its neighbours and itself. In a round it sees the grandparents of its neighbours; the
+smallest becomes its parent's parent and, if smaller, its own. Rounds grow with the logarithm of the component sizes. Only aggregates
+(partial minima first) and joins with a stored table: no vertex's neighbours are gathered, and a vertex that is linked to a third
+of all others is a skewed key of a plain join, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -13,29 +14,24 @@ from pyspark.sql import functions as F
 from relata.llm.common import forget, stored
 
 
-def _star(edges: DataFrame, name: str) -> DataFrame:
-    """Link each vertex's neighbours (of ``edges`` u -> v) and itself to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    links = edges.join(least, "u")
-    kept = links.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return stored(kept.where("u <> v").distinct(), name)
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(vertex, root) for each vertex of the edges (u long, v long): root is the smallest vertex of its component."""
-    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(vertex, root), stored, for each vertex of the edges (u long, v long; links of a vertex to itself are none): root is the smallest
+    vertex of its component."""
+    pair = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    e = stored(edges.where("u <> v").select(F.inline(pair)).distinct(), "edges")
+    at = stored(e.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("_m")).select("vertex", F.least("vertex", "_m").alias("root")), "parents")
     for _ in range(most_rounds):
-        if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():  # all parents are roots ...
-            if e.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # ... and each vertex has one
-                break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "large-star")
-        small = _star(large, "small-star")
-        forget(e)
-        forget(large)
-        e = small
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct())
+        up = at.join(at.select(F.col("vertex").alias("root"), F.col("root").alias("above")), "root")
+        seen = e.join(up.select(F.col("vertex").alias("v"), "above"), "v").groupBy(F.col("u").alias("vertex")).agg(F.min("above").alias("low"))
+        own = up.join(seen, "vertex")
+        offers = F.array(F.struct(F.col("vertex").alias("x"), F.least("root", "above", "low").alias("o"), F.col("root").alias("old")), F.struct(F.col("root").alias("x"), F.col("low").alias("o"), F.lit(None).cast("long").alias("old")))
+        new = own.select(F.inline(offers)).groupBy("x").agg(F.min("o").alias("root"), F.max("old").alias("old"))
+        new = stored(new.select(F.col("x").alias("vertex"), "root", "old"), "parents")
+        forget(at)
+        at = new
+        if at.where("root <> old").isEmpty():
+            forget(e)
+            out = at.drop("old")
+            out._relata_path = at._relata_path  # callers forget it
+            return out
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -191,10 +191,10 @@ def _units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
 
 
 def candidate_ties(classes: DataFrame, share: float, hashes: int) -> DataFrame:
-    """(u, v): classes (c, bands, sig) of one bucket whose signatures are tied, as forests."""
+    """(u, v), stored: classes (c, bands, sig) of one bucket whose signatures are tied, as forests."""
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     entry = classes.select("c", F.posexplode("bands").alias("j", "h"))
-    many = entry.groupBy("j", "h").agg(F.count("*").alias("k")).where("k > 1")
+    many = stored(entry.groupBy("j", "h").agg(F.count("*").alias("k")).where("k > 1"), "buckets")  # so that the join below is a plain one
     member = entry.join(many, ["j", "h"]).join(classes.select("c", "sig"), "c")
     units = _blocks_of(member, F.ceil(F.col("k") / BLOCK_SIGNATURES), F.col("c"), False).select("j", "h", "p", "q", "c", "sig")
     units = units.repartition(parts, "j", "h", "p", "q").sortWithinPartitions("j", "h", "p", "q", "c")
@@ -208,7 +208,9 @@ def candidate_ties(classes: DataFrame, share: float, hashes: int) -> DataFrame:
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[own]), pa.array(c[root[own]])], names=["u", "v"])
 
-    return units.mapInArrow(lean(compare), "u long, v long")
+    out = stored(units.mapInArrow(lean(compare), "u long, v long").distinct(), "ties")
+    forget(many)
+    return out
 
 
 class Verifier:
@@ -282,7 +284,7 @@ def similar(docs: DataFrame, text: str = "text", n: int = N, share: tuple[int, i
     with_words = sig.where(F.col("_set").isNotNull())
     classes = with_words.groupBy("_set").agg(F.min(F.struct("_d", "_t")).alias("_r"), F.count("*").alias("size"), F.first("_n").alias("n"), F.first("_bands").alias("bands"), F.first("_sig").alias("sig"))
     classes = stored(classes.select("_set", F.col("_r._d").alias("rep"), F.col("_r._t").alias("rep_t"), "size", "n", "bands", "sig", F.monotonically_increasing_id().alias("c")), "classes")
-    edges = stored(candidate_ties(classes, share[0] / share[1], bands * rows).distinct(), "ties")
+    edges = candidate_ties(classes, share[0] / share[1], bands * rows)
     part = components(edges)
     groups = stored(part.join(classes.select(F.col("c").alias("vertex"), "rep", "rep_t", "size", "n", F.col("_set").alias("_want")), "vertex"), "groups")
     # the texts are shuffled once, by id and text hash (rows of one id that differ do not meet), and go on as shingle hashes; a merge
@@ -324,7 +326,7 @@ def similar(docs: DataFrame, text: str = "text", n: int = N, share: tuple[int, i
     low = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     out = named.join(low, "root").join(counts, "c", "left").select("_set", "class_id", F.col("rep").alias("copy_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "root")
     out = stored(out, "classes-linked")
-    for old in (edges, groups, checked, classes):
+    for old in (edges, part, groups, checked, linked, classes):
         forget(old)
     more = ["text_hash", "root"] if keep_hash else []
     # rows without words have no key: they need no join, and don't meet in one task
