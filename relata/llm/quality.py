@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.common import lean, load, mix, numbered, others, quoted, slices, stored, trim, utf8_parts, word_hashes, word_spans
+from relata.llm.common import forget, lean, load, mix, numbered, others, quoted, slices, stored, trim, utf8_parts, word_hashes, word_spans
 
 MOST_LABELLED = 4096
 WORDS, SHAPES = 2048, 1024  # features: words first
@@ -163,7 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most_labelled: i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([i.astype("<u2").tobytes() for i in at], pa.binary()), pa.array([x[i].astype("<f4").tobytes() for x, i in zip(raw, at)], pa.binary())], names=["doc_id", "y", "f", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = stored(d.mapInArrow(lean(run), f"doc_id {kind}, y int, f binary, x binary"), "labelled").sort("doc_id", "f", "x").limit(most_labelled).collect()
+    labelled = stored(d.mapInArrow(lean(run), f"doc_id {kind}, y int, f binary, x binary"), "labelled")
+    rows = labelled.sort("doc_id", "f", "x").limit(most_labelled).collect()
+    forget(labelled)
     raw = np.zeros((len(rows), DIMENSIONS), np.float32)
     for i, r in enumerate(rows):
         raw[i, np.frombuffer(r["f"], "<u2")] = np.frombuffer(r["x"], "<f4")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm import files
-from relata.llm.common import fresh_dir, id_ranges, lean, load, order_key, slices, stored
+from relata.llm.common import forget, fresh_dir, id_ranges, lean, load, order_key, slices, stored
 from relata.llm.tokens import WORD_VOCABULARY, encoder, with_end
 
 _HEAD = struct.Struct("<4sIIIIqQQ6Q")
@@ -165,6 +165,7 @@ def write_ids(docs: DataFrame, folder: str, text: str = "text", vocabulary: str
     for row in sorted(made.collect(), key=lambda r: (r["bucket"], r["part"])):
         out.append((row["name"], before))
         before += row["n_ids"]
+    forget(made)
     return out
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.llm import files
-from relata.llm.common import fresh_dir, lean, load, slices, stored
+from relata.llm.common import forget, fresh_dir, lean, load, slices, stored
 
 DATE = "2024-01-01T00:00:00Z"
 BLOCK_LINES = 2000
@@ -146,7 +146,9 @@ def build_index(entries: DataFrame, folder: str, block_lines: int = BLOCK_LINES)
             out.close()
 
     made = stored(ranged.mapInArrow(lean(save), "first binary, file string, offset long, length long"), "directory")
-    return sorted((bytes(r[0]), r[1], r[2], r[3]) for r in made.collect())  # about MOST_BLOCKS rows at most
+    out = sorted((bytes(r[0]), r[1], r[2], r[3]) for r in made.collect())  # about MOST_BLOCKS rows at most
+    forget(made)
+    return out
 
 
 class Index:
@@ -215,5 +217,7 @@ def look_up(wanted: DataFrame, directory: list[tuple[bytes, str, int, int]], fol
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
     folder = fresh_dir(spark, "warc")
-    directory = build_index(write_archives(pages, folder), folder)
+    entries = write_archives(pages, folder)
+    directory = build_index(entries, folder)
+    forget(entries)
     return look_up(pages, directory, folder)
