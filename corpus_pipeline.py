@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relata.llm.common import load, order_key, quoted, stored
+from relata.llm.common import forget, load, order_key, quoted, stored
 from relata.llm.decontam import contamination
 from relata.llm.jaccard import similar, text_hash
 from relata.llm.linededup import dedup_lines
@@ -62,5 +62,6 @@ STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates",
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)  # the first stage's is the table itself, which stays
     return STAGES[-1][1](spark, docs, sf_dir)
