@@ -247,10 +247,15 @@ def cluster_resolution(spark: SparkSession, d: str) -> DataFrame:
 # ---- induction, similarity and graph operators ----------------------------------------------------------------------------------------------
 
 
-@query(O._sql(O._F1, O._SUPPORT, "SELECT path, support FROM support WHERE support >= 900"))
+_MEDIAN = "med AS (SELECT max(support) AS m FROM (SELECT support, row_number() OVER (ORDER BY support, path) AS k, count(*) OVER () AS n FROM support) WHERE k = n // 2 + 1)"
+
+
+@query(O._sql(O._F1, O._SUPPORT, _MEDIAN, "SELECT path, support FROM support, med WHERE support >= m"))
 def path_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Paths with a minimum support above one."""
-    return pathstats.candidates(pathstats.path_support(V.trade_propositions(spark, d)), Config(min_path_support=900)).select("path", "support")
+    """Paths with a minimum support above one: the corpus median."""
+    support = stored(pathstats.path_support(V.trade_propositions(spark, d)), "support")
+    least = int(pathstats.median_support(support).first()["median"])
+    return pathstats.candidates(support, Config(min_path_support=least)).select("path", "support")
 
 
 @query(
