@@ -278,10 +278,10 @@ class Learner:
             "coreference": lambda: one(X.pronoun_counts(r["raw"], r["documents"], words)),
             "pronoun_free": lambda: one(metrics.pronoun_free(r["relations"])),
             "drift": lambda: one(self.drift()),
-            "baseline_pairs": lambda: labels.cooccurrence_tuples(r["pairs"]).count(),
+            "baseline_pairs": lambda: {"pairs": labels.cooccurrence_tuples(r["pairs"]).count()},
             "calibration": lambda: one(metrics.calibration_report(labels.calibration_samples(self.records))),
             "calibration_curve": lambda: [clean(x) for x in metrics.calibration_curve(labels.calibration_samples(self.records)).orderBy("bucket").collect()],
-            "hits_at_10": self._hits,
+            "hits_at_10": lambda: {"hits_at_10": self._hits()},
             "similarity": lambda: one(metrics.top_similarity(kg.magnitudes(r["entities"]))) if "entities" in r else {"avg_top1_similarity": None, "sampled_entities": 0},
         }
         if gold is not None:

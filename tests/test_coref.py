@@ -74,7 +74,7 @@ def test_evaluation_and_status(spark):
     e = learner.evaluate(gold, part, tree, judged, compare_no_coref=True)
     assert not [k for k, v in e.items() if isinstance(v, dict) and "error" in v]
     assert {"coreference", "pronoun_free", "drift", "baseline_pairs", "calibration", "calibration_curve", "hits_at_10", "similarity", "tuples", "bcubed", "pairwise", "confusion", "hierarchy", "labelled_precision", "coref_off_vs_on"} == set(e)
-    assert e["tuples"]["f1"] == 1.0 and e["labelled_precision"]["labelled_precision"] == 1.0 and e["baseline_pairs"] == learner.result["pairs"].count()
+    assert e["tuples"]["f1"] == 1.0 and e["labelled_precision"]["labelled_precision"] == 1.0 and e["baseline_pairs"]["pairs"] == learner.result["pairs"].count()
     assert {"entities", "rotations"} <= set(learner.result) and learner.status()["ready"]
 
 
