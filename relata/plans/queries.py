@@ -627,7 +627,8 @@ def induced_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def similarity_components(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.similarity_patterns(X.context_profiles(_sentences(spark, d)))
+    p = similarity.similarity_patterns(stored(X.context_profiles(_sentences(spark, d)), "profiles"))
+    return p.select("doc_id", F.col("cluster_id").cast("long").alias("cluster_id"), F.array_join("entities", ",").alias("entities"), F.array_join("signature", ",").alias("signature"), F.col("size").cast("long").alias("size"))
 
 
 @query

@@ -391,3 +391,22 @@ joined AS (SELECT path, cluster FROM large UNION ALL SELECT s.path, CASE WHEN p.
 whole AS ({_INSIDE.format("joined")}),
 named AS (SELECT *, coalesce(nullif(substr(regexp_replace(upper(cluster), '[^A-Z0-9_]', '', 'g'), 1, 40), ''), 'RELATED_TO') AS label FROM joined)
 SELECT path, label, round(cohesion, 6) AS cohesion FROM named LEFT JOIN whole USING (cluster)"""
+
+# clusters of entities with similar contexts in each document; labels spread by the smallest over close pairs, as often as the widest component needs
+SQL["similarity_components"] = "WITH RECURSIVE " + O._SENT + """,
+said AS (SELECT m.doc_id, m.sent_id, m.i, m.word AS entity, w.word FROM men m LEFT JOIN words w ON w.doc_id = m.doc_id AND w.sent_id = m.sent_id AND w.i = m.i + 1 AND w.word NOT IN (SELECT word FROM stops)),
+ent AS (SELECT doc_id, entity, count(word) AS k FROM said GROUP BY doc_id, entity QUALIFY count(*) OVER (PARTITION BY doc_id) >= 3),
+num AS (SELECT doc_id, count(*) AS n FROM ent GROUP BY doc_id),
+bag AS (SELECT doc_id, entity, 'empty' AS term, 1 AS tf FROM ent WHERE k = 0 UNION ALL SELECT doc_id, entity, word, count(*) FROM said SEMI JOIN ent USING (doc_id, entity) WHERE length(word) > 1 GROUP BY ALL),
+voc AS (SELECT doc_id, term, sum(tf) AS a, count(*) AS df FROM bag GROUP BY doc_id, term QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(tf) DESC, term) <= 50),
+wgt AS (SELECT doc_id, entity, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM bag JOIN voc USING (doc_id, term) JOIN num USING (doc_id)),
+vec AS (SELECT doc_id, entity, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, entity)) AS w FROM wgt),
+close AS (SELECT a.doc_id, a.entity AS a, b.entity AS b FROM vec a JOIN vec b ON a.doc_id = b.doc_id AND a.term = b.term AND a.entity <> b.entity GROUP BY ALL HAVING 1 - sum(a.w * b.w) <= 0.4 + 1e-9),
+state AS (SELECT 0 AS step, doc_id, a AS entity, a AS root FROM (SELECT DISTINCT doc_id, a FROM close)
+  UNION ALL SELECT s.step + 1, s.doc_id, s.entity, least(min(s.root), min(o.root)) FROM state s JOIN close c ON c.doc_id = s.doc_id AND c.a = s.entity JOIN state o ON o.doc_id = c.doc_id AND o.entity = c.b WHERE s.step < 30 GROUP BY ALL),
+part AS (SELECT doc_id, entity, root FROM state WHERE step = 30),
+grp AS (SELECT doc_id, root, list(entity ORDER BY entity) AS entities, count(*) AS size, row_number() OVER (PARTITION BY doc_id ORDER BY root) - 1 AS cluster_id FROM part GROUP BY doc_id, root),
+firsts AS (SELECT doc_id, entity, row_number() OVER (PARTITION BY doc_id ORDER BY min((sent_id, i))) AS o FROM said GROUP BY doc_id, entity),
+top AS (SELECT p.doc_id, p.root, s.word, count(*) AS k, min((f.o, s.sent_id, s.i)) AS place FROM part p JOIN said s USING (doc_id, entity) JOIN firsts f USING (doc_id, entity) WHERE s.word IS NOT NULL GROUP BY ALL),
+sig AS (SELECT doc_id, root, list(word ORDER BY k DESC, place) AS words FROM (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY doc_id, root ORDER BY k DESC, place) <= 3) GROUP BY ALL)
+SELECT g.doc_id, g.cluster_id, array_to_string(g.entities, ',') AS entities, coalesce(array_to_string(s.words, ','), '') AS signature, g.size FROM grp g LEFT JOIN sig s USING (doc_id, root)"""
