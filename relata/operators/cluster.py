@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FOLD = 64  # terms of a reference folded by halves that a double can hold
+
+
 def complete_linkage(d: np.ndarray, threshold: float) -> np.ndarray:
     """Cluster numbers; clusters merge, closest first, while their largest pair distance is below the threshold.
 
@@ -105,12 +108,12 @@ def medoids(clusters: DataFrame, distances: DataFrame) -> DataFrame:
 def merge_reference(clusters: DataFrame, distances: DataFrame, block_size: DataFrame, min_block: int = 3, start: float | None = None) -> DataFrame:
     """One row (reference): mean distances of the merged clusters of populated blocks, folded in order by halves.
 
-    clusters carry sx, sy and seq (the order of processing). The fold's weights halve at each step, so it is a sum over
-    clusters with weight 2^-(number of later ones) - an aggregate over a window, no loop.
+    clusters carry sx, sy and seq (the order of processing). The fold's weights halve at each step, so only the last FOLD clusters
+    count in a double, and no more are gathered.
     """
     c = cohesion(clusters.select("cluster", "path"), distances).where("size >= 2")
     order = clusters.groupBy("cluster", "sx", "sy").agg(F.min("seq").alias("seq")).join(block_size.where(F.col("size") >= min_block).select("sx", "sy"), ["sx", "sy"])
-    d = c.join(order, "cluster").select("seq", (1 - F.col("cohesion")).alias("d"))
+    d = c.join(order, "cluster").select("seq", (1 - F.col("cohesion")).alias("d")).orderBy(F.desc("seq")).limit(FOLD)
     folded = F.aggregate(F.sort_array(F.collect_list(F.struct("seq", "d"))), F.lit(start).cast("double"), lambda r, x: F.coalesce(0.5 * r + 0.5 * x["d"], x["d"]))
     return d.agg(folded.alias("reference"))
 

@@ -30,7 +30,6 @@ COHESION = "label string, cohesion double"
 PREVIOUS = "part string, path string, label string"
 SUPPORT = "path string, support long"
 TABLES = {"labels": LABELS, "medoids": MEDOIDS, "cohesion": COHESION, "previous": PREVIOUS, "support": SUPPORT}
-_FOLD = 64  # terms of the running reference that a double can hold
 
 
 @dataclass
@@ -228,7 +227,7 @@ def running_reference(clusters: DataFrame, dist: DataFrame, start: float | None)
     before it, so only the last terms count."""
     ends = C.cohesion(clusters.select("cluster", "path"), dist).where("size >= 2")
     order = clusters.where("cluster = path").select("cluster", F.struct("sx", "sy", -F.col("support"), "path").alias("_o"))
-    last = [1 - r["cohesion"] for r in ends.join(order, "cluster").orderBy(F.desc("_o")).limit(_FOLD).collect()][::-1]
+    last = [1 - r["cohesion"] for r in ends.join(order, "cluster").orderBy(F.desc("_o")).limit(C.FOLD).collect()][::-1]
     for d in last:
         start = d if start is None else 0.5 * start + 0.5 * d
     return start
