@@ -1,6 +1,7 @@
 """What a run leaves on disk, and what it doesn't make at all."""
 
 import pathlib
+import random
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
@@ -48,6 +49,16 @@ def test_paths_meet_no_medoid_that_they_share_nothing_with(spark, monkeypatch):
     assert {x.path for x in induce.follow_leaders(paths, med, dist).where("leads").collect()} == {"p1", "p2", "p3"}
 
 
+def test_distances_of_blocks_in_one_aggregate(spark):
+    r = random.Random(7)
+    rows = [(s, f"p{i:02d}", f"f{f}", r.random()) for s in "xy" for i in range(30) for f in r.sample(range(40), 6)]
+    mi = spark.createDataFrame(rows, "slot string, path string, filler string, mi double")
+    block = spark.createDataFrame([(f"p{i:02d}", "A", "AB"[i % 2]) for i in range(28)], "path string, sx string, sy string")
+    want = {(x.p, x.q): round(x.distance, 9) for x in dirt.path_distance(dirt.slot_similarity(mi, block)).collect()}
+    assert len(want) > 20
+    assert {(x.p, x.q): round(x.distance, 9) for x in dirt.block_distances(mi, block).collect()} == want
+
+
 def test_a_scope_ends_with_its_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(scratch, "shared_dir", lambda spark: f"file://{tmp_path}")
     with scratch.scope() as outer:
