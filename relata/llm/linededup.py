@@ -17,6 +17,9 @@ Classes are aggregated (partial sums first), written, and joined back, never gat
 share is a skewed key of a plain join, which adaptive execution broadcasts or splits. Suffixes that end have no class there
 and are joined to nothing.
 
+Words are counted where lines are hashed, and a run's are a difference of sums over its document's repeated lines; so only runs that are
+deleted meet the texts, and a text travels once, where it travels at all.
+
 Defined results: null text stays null and has no lines; rows with the same id and text are one document and get the same
 result; null ids sort first; blank lines count as lines of no words. Extra columns pass through unchanged, but for those that
 have the name of an added one (in any case): these are replaced.
@@ -37,7 +40,7 @@ _MOST_LEVELS = 40
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     d = docs.where(F.col(text).isNotNull()).select(order_key(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.split(F.col(text), "\n").alias("_l"))
     d = d.select(*_ID, F.posexplode("_l").alias("_i", "_x"))
-    return d.select(*_ID, "_i", F.xxhash64(F.lit(3), F.col("_x")).alias("_a"), F.xxhash64(F.lit(5), F.col("_x")).alias("_b"))
+    return d.select(*_ID, "_i", F.xxhash64(F.lit(3), F.col("_x")).alias("_a"), F.xxhash64(F.lit(5), F.col("_x")).alias("_b"), F.regexp_count("_x", F.lit(r"\S+")).alias("_w"))
 
 
 def _at() -> Column:
@@ -48,14 +51,14 @@ def _shared_classes(ranks: DataFrame, name: str, repeats: bool = False) -> DataF
     """The suffixes whose class (_a, _b) others have too, and whether each is the first of its class. repeats: rows may repeat (documents
     of one id and text); they count as others here, and one of each stays."""
     groups = stored(ranks.groupBy("_a", "_b").agg(F.count("*").alias("_n"), F.min(_at()).alias("_first")).where("_n > 1"), f"{name}-classes")
-    shared = ranks.join(groups, ["_a", "_b"]).select(*_ID, "_i", "_a", "_b", (F.col("_first") < _at()).alias("_later"))
+    shared = ranks.join(groups, ["_a", "_b"]).select(*ranks.columns, (F.col("_first") < _at()).alias("_later"))
     out = stored(shared.dropDuplicates([*_ID, "_i"]) if repeats else shared, name)
     forget(groups)
     return out
 
 
 def suffix_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> list[DataFrame]:
-    """Level k: (_d, _t, _i, class _a _b, _later) of all suffixes whose first 2^k lines occur elsewhere too."""
+    """Level k: (_d, _t, _i, class _a _b, _later) of all suffixes whose first 2^k lines occur elsewhere too; level 0 has the words _w of each line."""
     levels = [_shared_classes(_lines(docs, doc_id, text), "runs0", repeats=True)]
     while len(levels) < _MOST_LEVELS and not levels[-1].isEmpty():
         step = 2 ** (len(levels) - 1)
@@ -102,36 +105,50 @@ def longest_earlier(levels: list[DataFrame]) -> DataFrame:
     raise ValueError("no level")
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_d, _t, _runs): for each document the maximal line runs that occurred earlier, as (start, length)."""
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(_d, _t, _runs), stored: for each document that has some, the maximal line runs of ``min_words`` words or more that occurred earlier,
+    as (start, length)."""
     levels = suffix_classes(docs, doc_id, text)
-    runs = longest_earlier(levels)
+    longest = longest_earlier(levels)
+    # the repeated lines with their words, and the runs, in one shuffle; every line of a run is a repeated line
+    none = F.lit(None).cast("int")
+    both = longest.select(*_ID, "_i", "_length", none.alias("_w")).unionByName(levels[0].select(*_ID, "_i", none.alias("_length"), "_w"))
+    w = Window.partitionBy(*_ID).orderBy("_i")
+    upto, here = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, 0)
+    end = F.col("_i") + F.col("_length")
+    both = both.withColumns({"_before": F.max(end).over(w.rangeBetween(-1, -1)), "_place": F.count("_w").over(upto), "_sum": F.sum("_w").over(upto), "_own": F.sum("_w").over(here)})
     # a suffix's match reaches at least as far as the one before it: keep those that reach further
-    w = Window.partitionBy(*_ID).orderBy("_i").rangeBetween(-1, -1)
-    ends = runs.withColumn("_before", F.max(F.col("_i") + F.col("_length")).over(w))
-    kept = ends.where(F.col("_before").isNull() | (F.col("_before") < F.col("_i") + F.col("_length")))
-    out = stored(kept.groupBy(*_ID).agg(F.sort_array(F.collect_list(F.struct(F.col("_i").alias("s"), F.col("_length").alias("n")))).alias("_runs")), "runs")
-    for old in (*levels, runs):
+    further = F.col("_length").isNotNull() & (F.col("_before").isNull() | (F.col("_before") < end))
+    run = F.when(further, F.struct(F.col("_i").alias("s"), F.col("_length").alias("n"), "_place", (F.col("_sum") - F.col("_own")).alias("_less")))
+    line = F.when(F.col("_w").isNotNull(), F.struct("_i", "_sum"))
+    found = both.groupBy(*_ID).agg(F.sort_array(F.collect_list(run)).alias("_runs"), F.sort_array(F.collect_list(line)).alias("_sums"))
+    many = lambda r: F.element_at("_sums", (r["_place"] + r["n"] - 1).cast("int"))["_sum"] - r["_less"] >= min_words
+    runs = F.transform(F.filter("_runs", many), lambda r: F.struct(r["s"].alias("s"), r["n"].alias("n")))
+    out = stored(found.where(F.exists("_runs", many)).select(*_ID, runs.alias("_runs")), "runs")
+    for old in (*levels, longest):
         forget(old)
     return out
 
 
+def _with_runs(docs: DataFrame, kept: list[str], doc_id: str, text: str, runs: DataFrame) -> DataFrame:
+    """(_row, _text, _runs) of every row; _runs is null where there are none. The columns kept travel in one struct, so that no name of theirs
+    meets one of these; the text travels beside it, not in it too."""
+    row = F.struct(*[F.col(quoted(c)) for c in others(kept, [text])])
+    d = docs.select(row.alias("_row"), F.col(text).alias("_text"), order_key(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_t"))
+    of = runs.withColumnsRenamed({"_d": "_rd", "_t": "_rt"})
+    return d.join(of, (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")) & F.col("_text").isNotNull(), "left").select("_row", "_text", "_runs")
+
+
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with later copies of repeated runs deleted from ``text``.
 
     Added columns: n_lines long, n_deleted long, deleted_runs array of (start, length) in the old text.
     """
-    runs = repeated_runs(docs, doc_id, text)
+    runs = repeated_runs(docs, doc_id, text, min_words)
     kept = others(docs.columns, ["n_lines", "n_deleted", "deleted_runs"])
-    # all columns of a row travel in one struct, so that no name of theirs meets one of these
-    d = docs.select(F.struct(*[F.col(quoted(c)) for c in kept]).alias("_row"), F.col(text).alias("_text"), order_key(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_t"))
-    d = d.join(runs.withColumnsRenamed({"_d": "_rd", "_t": "_rt"}), (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")) & F.col("_text").isNotNull(), "left")
-    words = lambda line: F.size(F.filter(F.split(line, r"\s+"), lambda x: x != ""))
-    many = lambda r: F.aggregate(F.slice(F.col("_lines"), r["s"] + 1, r["n"]), F.lit(0), lambda n, x: n + words(x)) >= min_words
-    d = d.withColumn("_lines", F.when(F.col("_runs").isNotNull(), F.split(F.col("_text"), "\n")))
-    d = d.withColumn("_runs", F.filter("_runs", many))
+    d = _with_runs(docs, kept, doc_id, text, runs).withColumn("_lines", F.when(F.col("_runs").isNotNull(), F.split(F.col("_text"), "\n")))
     gone = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["s"], r["s"] + r["n"] - 1))))
-    d = d.withColumn("_gone", F.when(F.size("_runs") > 0, F.map_from_arrays(gone, gone)))
+    d = d.withColumn("_gone", F.when(F.col("_runs").isNotNull(), F.map_from_arrays(gone, gone)))
     left = F.filter("_lines", lambda x, i: ~F.array_contains(F.map_keys("_gone"), i))
     cut = F.when(F.col("_gone").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("_text"))
     n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(F.split(F.col("_text"), "\n"))).cast("long")

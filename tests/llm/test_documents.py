@@ -1,5 +1,7 @@
 """Fingerprints, line dedup, decontamination, Jaccard join and quality against brute force."""
 
+import re
+
 import brute
 import pytest
 from conftest import SF, corpus, prose
@@ -132,6 +134,19 @@ def test_line_dedup_edges(spark, none):
     assert out == [(-1, long), (1, ""), (1, ""), (2, ""), (3, "")]  # the null id is first; equal rows are one document
 
 
+def test_line_dedup_joins_only_what_is_deleted(spark):
+    long, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 30), ("b", 19)))
+    odd = " \t" + short + "\u00a0x \f "  # white space is ASCII's: 19 words
+    rows = [(1, f"{long}\n{short}\n\nend"), (2, f"x\n{long}\n{short}\n\ny"), (3, f"{short}\nz\n{long}"), (4, f"{odd}\n{long}"), (5, f"\n{odd}\n{long}\n"), (6, None), (2, f"x\n{long}\n{short}\n\ny")]
+    df = spark.createDataFrame([(*r, "other") for r in rows], "doc_id long, text string, source string").repartition(3)
+    runs = {n: {r._d: [tuple(x) for x in r._runs] for r in linededup.repeated_runs(df, min_words=n).collect()} for n in (49, 50, 1)}
+    assert runs[49] == {2: [(1, 3)], 5: [(1, 2)]} and runs[50] == {}  # all others have shorter runs
+    assert runs[1] == {2: [(1, 3)], 3: [(0, 1), (2, 1)], 4: [(1, 1)], 5: [(1, 2)]}
+    plan = linededup.dedup_lines(df, min_words=49)._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(x for x in plan.split("\n") if " AS _row#" in x)
+    assert len(re.findall(r"\btext#", joined)) == 2  # as a value and in its hash, not in the row's struct once more
+
+
 def test_line_dedup_is_native(docs):
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
