@@ -18,7 +18,7 @@ share is a skewed key of a plain join, which adaptive execution broadcasts or sp
 and are joined to nothing.
 
 Words are counted where lines are hashed, and a run's are a difference of sums over its document's repeated lines; so only runs that are
-deleted meet the texts, and a text travels once, where it travels at all.
+deleted meet the texts. A bit set of bounded size tells which texts may have some: these are shuffled, once each, and the others stay where they are.
 
 Defined results: null text stays null and has no lines; rows with the same id and text are one document and get the same
 result; null ids sort first; blank lines count as lines of no words. Extra columns pass through unchanged, but for those that
@@ -35,6 +35,7 @@ from relata.llm.common import forget, load, order_key, others, quoted, stored
 MIN_WORDS = 50
 _ID = ["_d", "_t"]  # a document: id and text hash
 _MOST_LEVELS = 40
+_PLACES = 1 << 22  # of the bit set of documents with runs: 65,536 rows at most are broadcast
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -130,13 +131,23 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return out
 
 
+def _place() -> Column:
+    return F.pmod(F.xxhash64(*_ID), F.lit(_PLACES))
+
+
 def _with_runs(docs: DataFrame, kept: list[str], doc_id: str, text: str, runs: DataFrame) -> DataFrame:
     """(_row, _text, _runs) of every row; _runs is null where there are none. The columns kept travel in one struct, so that no name of theirs
-    meets one of these; the text travels beside it, not in it too."""
+    meets one of these; the text travels beside it, not in it too. Rows whose bit is not set have no runs and are not joined; a bit that
+    other documents set (more of them, the larger the table) only costs a row's shuffle."""
     row = F.struct(*[F.col(quoted(c)) for c in others(kept, [text])])
     d = docs.select(row.alias("_row"), F.col(text).alias("_text"), order_key(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_t"))
+    word, bit = F.floor(_place() / 64), (_place() % 64).cast("int")
+    bits = runs.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    d = d.withColumns({"_at": word, "_bit": bit}).join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
+    may = F.col("_text").isNotNull() & F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))
     of = runs.withColumnsRenamed({"_d": "_rd", "_t": "_rt"})
-    return d.join(of, (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")) & F.col("_text").isNotNull(), "left").select("_row", "_text", "_runs")
+    met = d.where(may).join(of, (F.col("_d") == F.col("_rd")) & (F.col("_t") == F.col("_rt")), "left").select("_row", "_text", "_runs")
+    return met.unionByName(d.where(~may).select("_row", "_text", F.lit(None).cast(runs.schema["_runs"].dataType).alias("_runs")))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
