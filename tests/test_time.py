@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from relata.config import Config
 from relata.operators import similarity
+from relata.operators import text as X
+from relata.plans.learner import Learner
+from relata.sources import annotate
 
 
 def _profiles(spark):
@@ -55,3 +58,21 @@ def test_links_of_large_documents_are_searched_breadth_first():
     for _ in range(7):
         reach = (reach @ reach > 0).astype(float)
     assert (reach.argmax(1) == parts[0]).all()
+
+
+def test_kept_sentences_of_shapes_are_made_of_bytes(spark, monkeypatch):
+    """The same rows as token by token, and these are what a run reads."""
+    texts = ["", None, "...\n\n.", "he.she", "Extraordinary\nACCOUNTABILITY meets KKelvinscales it", "İstanbulites étés naïvetéabcdefghi 3abcdefghij4klmnopqrs.", "a.b", "their theirs THEM. the of hem", "wonderful", "wonderful.", ".wonderfully the, wonderful; is wonderful\r\nit", "\U0001f600abcdefghijkl\U0001f600it mnopqrstuvw x", "中文. abcdefghi 中 mnopqrstuvw 文.中"]
+    r = random.Random(2)
+    texts += ["".join(r.choice(["extraordinary", "it", "he", "the", " ", " ", ".", "\n", "é", "abcdefghi", "KK", "x,", "0", ""]) for _ in range(r.randint(0, 60))) for _ in range(150)]
+    docs = spark.createDataFrame([(k if k != 7 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    want = X.kept_sentences(annotate.shape_sentences(docs))
+    got = annotate.shape_sentences.kept(docs)
+    assert got.schema == want.schema
+    rows = sorted(map(repr, want.collect()))
+    assert len(rows) > 150 and sorted(map(repr, got.collect())) == rows
+    small = [x for b in docs.where("doc_id is not null").selectExpr("cast(doc_id as string) doc_id", "lower(coalesce(text, '')) text").toArrow().to_batches() for k in annotate._kept_of([b], 40) for x in k.to_pylist()]
+    assert small == [x for x in got.where("doc_id is not null").toArrow().to_pylist()]
+    monkeypatch.setattr(X, "kept_sentences", lambda *a: 1 / 0)
+    monkeypatch.setattr(annotate.shape_sentences, "kept", lambda docs: got)
+    assert Learner.for_evaluation(spark)._sentences(docs).count() == len(rows)
